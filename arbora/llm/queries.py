@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import contamination, packing, repetition
+from arbora.llm import contamination, handwritten, packing, repetition
 from arbora.plans.registry import Registry
 from arbora.sources.tables import table
 
 R = Registry()
 
 
+@R.add("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.found(table(spark, sf_dir, "files"), table(spark, sf_dir, "documents"), table(spark, sf_dir, "library_hashes"))
+
+
+@R.add("p6_judged")
+def p6_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.judged_files(table(spark, sf_dir, "files"), table(spark, sf_dir, "documents"), table(spark, sf_dir, "library_hashes"))
+
+
 @R.add("p7_pack")
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
