@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import contamination, handwritten, packing, repetition
+from arbora.llm import contamination, handwritten, packing, repetition, syntax
 from arbora.plans.registry import Registry
 from arbora.sources.tables import table
 
 R = Registry()
 
 
+@R.add("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "files"))
+
+
+@R.add("p5_faults")
+def p5_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every flagged file with its edit cost, the kind of fault and the line of the first edit."""
+    return syntax.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "files")).filter("cost > 0")
+
+
+@R.add("p5_rates")
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "files"))
+
+
 @R.add("p6_found")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handwritten.found(table(spark, sf_dir, "files"), table(spark, sf_dir, "documents"), table(spark, sf_dir, "library_hashes"))
