@@ -121,6 +121,8 @@ newexp = '.' ID | ( ID | '=this' | '=class' B:classbody | P:cond | '=new' newexp
 newtail = '.' ( word | '#' ID ) | S:idx
 arrow = '=async'? ( ID | tparams? P:params ret? ) '=>' ( B:block | expr )
 postnb = primnb tail*
+fnblock = ( '=export' '=default'? )? func ';'?
+fnclass = deco* mod* '*'? pname '?'? tparams? P:params ret? B:block ';'?
 estmt = ( preop+ post ( '++' | '--' )? cast* | postnb ( '++' | '--' )? cast* ) ( binop operand )* tern? ( ',' expr )* | arrow
 """
 _JS_ONLY = r"""
@@ -199,6 +201,7 @@ annarg = ( ID '=' )? ( expr | ann | B:arrinit )
 qname = ID ( '.' ID )*
 classbody :: member
 member = ';' | typedecl | mod* tparams? ( type | '=void' ) ID P:params dims* throws? ( B:block | ';' | '=default' ( expr | B:arrinit ) ';' ) | mod* type declr ( ',' declr )* ';' | mod* tparams? ID P:params throws? B:block | mod* ID B:block | '=static'? B:block
+fnclass = mod* tparams? ( type | '=void' ) ID P:params dims* throws? ( B:block | ';' ) | mod* tparams? ID P:params throws? B:block
 throws = '=throws' types
 types = type ( ',' type )*
 enumbody = ( econst ( ',' econst )* ','? )? ( ';' member* )?
@@ -278,6 +281,7 @@ mod = '=public' | '=private' | '=protected' | '=internal' | '=static' | '=readon
 qname = ID ( ( '.' | '::' ) ID )*
 classbody :: member
 member = ';' | typedecl | attr* mod* type mname tparams? P:params where* ( B:block | '=>' expr ';' | ';' ) | attr* mod* type declr ( ',' declr )* ';' | attr* mod* type mname ( B:accs ( '=' expr ';' )? | '=>' expr ';' ) | attr* mod* '~'? ID P:params ( ':' ( '=base' | '=this' ) P:args )? ( B:block | '=>' expr ';' | ';' ) | attr* mod* '=event' type ID ( ',' ID )* ( B:accs | ';' ) | attr* mod* type '=this' S:params ( B:accs | '=>' expr ';' ) | attr* mod* ( type '=operator' opname | ( '=implicit' | '=explicit' ) '=operator' type ) P:params ( B:block | '=>' expr ';' )
+fnclass = attr* mod* type mname tparams? P:params where* ( B:block | '=>' expr ';' | ';' ) | attr* mod* ID P:params ( ':' ( '=base' | '=this' ) P:args )? ( B:block | '=>' expr ';' )
 mname = ID targs? ( '.' ID targs? )*
 opname = '+' | '-' | '*' | '/' | '%' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '!' | '~' | '++' | '--' | '&' | '|' | '^' | '=true' | '=false'
 accs :: acc
@@ -356,6 +360,7 @@ unit :: decl
 decl = top ';'? | ';'
 top = '=package' ID | '=import' ( impspec | P:impspecs ) | '=func' P:params? ID S:tparams? P:params result? B:block? | vard
 vard = '=type' ( typespec | P:typespecs ) | ( '=var' | '=const' ) ( varspec | P:varspecs )
+fnblock = '=func' P:params? ID S:tparams? P:params result? B:block ';'?
 impspec = ( ID | '.' )? STR
 impspecs = ( impspec ( ';' impspec )* ';'? )?
 typespec = ID S:tparams? '='? type
@@ -429,6 +434,7 @@ uses := usei
 usei = usetree
 mod = '=unsafe'? '=mod' ID ( ';' | B:unit )
 fn = ( '=const' | '=async' | '=unsafe' | '=extern' STR? | '=default' )* '=fn' ID gpar? P:params ( '->' type )? where? ( B:block | ';' )
+fnblock = attr* vis? fn
 struct = '=struct' ID gpar? ( where? B:fields | P:tfields where? ';' | ';' )
 union = '=union' ID gpar? B:fields
 enum = '=enum' ID gpar? where? B:variants
@@ -521,6 +527,7 @@ def _quoted(rules: str) -> str:
 _PY = r"""
 line = simple ( ';' simple )* ';'? | head ( simple ( ';' simple )* ';'? )?
 head = '=async'? ( for | with | def ) | class | '=if' named ':' | '=elif' named ':' | '=else' ':' | '=while' named ':' | '=try' ':' | '=except' '*'? ( exprs ( '=as' ID )? )? ':' | '=finally' ':' | '=match' exprs ':' | '=case' patterns ( '=if' named )? ':'
+fnblock = '=async'? def
 for = '=for' targets '=in' exprs ':'
 with = '=with' ( withi ( ',' withi )* | P:withs ) ':'
 withi = test ( '=as' target )?

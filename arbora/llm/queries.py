@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import contamination, handwritten, packing, repetition, syntax
+from arbora.llm import contamination, handwritten, packing, pairs, repetition, syntax
 from arbora.plans.registry import Registry
 from arbora.sources.tables import table
 
 R = Registry()
 
 
+@R.add("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.found(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "documents"))
+
+
+@R.add("p3_pairs")
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.pairs(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "documents"))
+
+
 @R.add("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "files"))
