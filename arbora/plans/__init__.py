@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 import importlib.util
 
-CORE = ("pipeline", "graph_queries", "search_queries", "resolve_queries")
+CORE = ("pipeline", "graph_queries", "search_queries", "resolve_queries", "change_queries")
 #: Optional packages that bring a ``queries`` module with a registry ``R``.
 OPTIONAL = ("arbora.llm",)
 
