@@ -122,10 +122,10 @@ def routes(path: str, text: str) -> list[tuple]:
         for m in re.finditer(r"\b(\w+)\.Map(Get|Post|Put|Delete|Patch)\(\s*\"([^\"]*)\"\s*,", src):
             end = balanced(src, src.index("(", m.start()))
             add(m.start(), m[2], join_prefix(groups.get(m[1], ""), m[3]), _tail(src[m.end() : end - 1]) if end > 0 else "", "aspnet")
-        for c in re.finditer(r"((?:\[[^\]]*\]\s*)*)(?:public\s+|sealed\s+|abstract\s+|partial\s+)*class\s+(\w+)[^{]*\{", src):
+        for c in re.finditer(r"((?:\[(?:\"[^\"]*\"|[^\]\"])*\]\s*)*)(?:public\s+|sealed\s+|abstract\s+|partial\s+)*class\s+(\w+)[^{]*\{", src):
             base = re.search(r"\[Route\(\s*\"([^\"]*)\"", c[1])
             end = balanced(src, c.end() - 1)
-            for m in re.finditer(r"\[Http(Get|Post|Put|Delete|Patch)(?:\(\s*\"([^\"]*)\"[^\]]*\))?\]\s*(?:\[[^\]]*\]\s*)*(?:public\s+|async\s+|virtual\s+)*[\w<>\[\]?, .]+\s+(\w+)\s*\(", src[c.end() : end if end > 0 else None]):
+            for m in re.finditer(r"\[Http(Get|Post|Put|Delete|Patch)(?:\(\s*\"([^\"]*)\"[^\]]*\))?\]\s*(?:\[(?:\"[^\"]*\"|[^\]\"])*\]\s*)*(?:public\s+|async\s+|virtual\s+)*[\w<>\[\]?, .]+\s+(\w+)\s*\(", src[c.end() : end if end > 0 else None]):
                 add(c.end() + m.start(), m[1], expand_tokens(join_prefix(base[1] if base else "", m[2] or ""), c[2], m[3]), m[3], "aspnet")
     return out
 

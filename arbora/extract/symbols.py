@@ -113,6 +113,7 @@ def _braces(text: str, language: str, out: Rows) -> None:
                 got.append(re.sub(r"^(?://+!?|/\*+|\*+/?|#+)\s?|\s*\*+/$", "", s))
         return "\n".join(reversed(got)).strip() or None
 
+    declared: set[int] = set()  # where the names of functions end
     spans: list[tuple[int, int, str, str, str]] = []  # start, end, kind, name, extra
     for m in _TYPE.finditer(plain):
         end = balanced(plain, m.end() - 1)
@@ -127,6 +128,7 @@ def _braces(text: str, language: str, out: Rows) -> None:
         name = m[1] or m[2]
         if not name or name in _NOT_CALLS:
             continue
+        declared.add(m.end(1) if m[1] else m.end(2))
         at = plain.find("(", m.end())
         close = balanced(plain, at) if at >= 0 else -1
         brace = plain.find("{", close) if close > 0 else -1
@@ -169,7 +171,7 @@ def _braces(text: str, language: str, out: Rows) -> None:
             open_owners.pop()
         name = re.split(r"\.|::", m[2])[-1].strip()
         before = plain[max(0, m.start() - 12) : m.start()]
-        if name in _NOT_CALLS or re.search(r"\b(?:function|func|fn|fun|def)\s*\*?\s*$", before) or any(m.start() < plain.find("(", o[0]) + 1 and o[3].split("::")[-1] == name for o in open_owners[-2:]):
+        if name in _NOT_CALLS or re.search(r"\b(?:function|func|fn|fun|def)\s*\*?\s*$", before) or m.end(2) in declared:
             continue
         out.ref(open_owners[-1][2] if open_owners else out.file, name, "instantiates" if m[1] else "calls", line(m.start()))
 
