@@ -63,7 +63,8 @@ _JS = r"""
 block :: stmt
 cases :: case
 classbody :: member
-case = '=case' expr ':' | '=default' ':' | stmt
+case = label+ | label* stmt
+label = '=case' expr ':' | '=default' ':'
 stmt = ';' | core | core ';'
 core = simple | B:block | ifst | forst | whilest | dost | tryst | switchst | func | class | export | ID ':' stmt | decltype | '=declare' decltype | '=abstract' class
 simple = estmt | var | '=return' expr? | '=throw' expr | '=break' ID? | '=continue' ID? | '=debugger' | import
@@ -138,7 +139,7 @@ _TS_ONLY = r"""
 decltype = '=interface' ID tparams? ( '=extends' type ( ',' type )* )? B:membs | '=type' ID tparams? '=' type | '=const'? '=enum' ID B:enumb | ( '=namespace' | '=module' ) ( ID ( '.' ID )* | STR ) B:block | '=declare' ( var | func | class | decltype | '=abstract' class | '=global' B:block )
 ann = ':' type
 ret = ':' ( '=asserts'? ( ID | '=this' ) '=is' type | type )
-tparams = '<' tparam ( ',' tparam )* '>'
+tparams = '<' tparam ( ',' tparam )* ','? '>'
 tparam = '=const'? ID ( '=extends' type )? ( '=' type )?
 targs = '<' type ( ',' type )* '>'
 cast = '=as' ( type | '=const' ) | '=satisfies' type
@@ -229,7 +230,8 @@ res = resi ( ';' resi )* ';'?
 resi = mod* type ID '=' expr | expr
 catchp = mod* type ( '|' type )* ID
 cases :: caseb
-caseb = '=case' label ( ',' label )* ( '=when' expr )? ( ':' | '->' ( stmt | expr ';' ) ) | '=default' ( ':' | '->' ( stmt | expr ';' ) ) | stmt
+caseb = lab+ | lab* stmt | ( '=case' label ( ',' label )* ( '=when' expr )? | '=default' ) '->' ( stmt | expr ';' )
+lab = '=case' label ( ',' label )* ( '=when' expr )? ':' | '=default' ':'
 label = expr | type ID | '=default'
 args := expr
 arrinit := arri
@@ -309,7 +311,8 @@ forhead = ( local | exprs )? ';' expr? ';' exprs? | type ( ID | P:names ) '=in'
 exprs = expr ( ',' expr )*
 catchp = type ID?
 cases :: caseb
-caseb = '=case' pat ( '=when' expr )? ':' | '=default' ':' | stmt
+caseb = lab+ | lab* stmt
+lab = '=case' pat ( '=when' expr )? ':' | '=default' ':'
 pat = '=not'? patom ( ( '=and' | '=or' ) '=not'? patom )*
 patom = expr | type ID | B:props ID? | type B:props ID? | ( '<' | '>' | '<=' | '>=' ) expr | P:pat
 props := propp
@@ -382,7 +385,8 @@ methods = ( methd ( ';' methd )* ';'? )?
 methd = ID P:params result? | '~'? type ( '|' '~'? type )*
 block :: stmt
 cases :: caseb
-caseb = '=case' ( exprs | types2 | simple ) ':' | '=default' ':' | stmt
+caseb = lab+ ';'? | lab* stmt
+lab = '=case' ( exprs | types2 | simple ) ':' | '=default' ':'
 types2 = type ( ',' type )*
 stmt = ';' | core | core ';'
 core = simple | vard | '=go' expr | '=defer' expr | '=return' exprs? | ( '=break' | '=continue' | '=goto' ) ID? | '=fallthrough' | ifst | forst | switchst | '=select' B:cases | B:block | ID ':' stmt
@@ -562,15 +566,19 @@ unary = ( '+' | '-' | '~' | '=not' )* '=await'? post
 post = atom trailer*
 trailer = '.' ID | P:args | S:sub
 atom = ID | NUM | STR+ | '=None' | '=True' | '=False' | '...' | P:tuple | S:list | B:dict
-tuple = | yield | starred ( ',' starred )* ','? | starred comp
-list = | starred ( ',' starred )* ','? | starred comp
+tuple := starred
+tuple = yield | starred comp
+list := starred
+list = starred comp
 comp = '=async'? '=for' targets '=in' or ( '=if' or2 )* comp?
 or2 = or | named
-args = | arg ( ',' arg )* ','? | named comp
+args := arg
+args = named comp
 arg = named | ID '=' test | '*' test | '**' test
-sub = slice ( ',' slice )* ','?
+sub := slice
 slice = starred | test? ':' test? ( ':' test? )?
-dict = | ditem ( ',' ditem )* ','? | test ':' test comp | starred comp
+dict := ditem
+dict = test ':' test comp | starred comp
 ditem = test ':' test | '**' or | starred
 patterns = pattern ( ',' pattern )* ','?
 pattern = pat1 ( '|' pat1 )* ( '=as' ID )? | '*' ID

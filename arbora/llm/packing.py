@@ -11,7 +11,7 @@ container takes, of the items that still fit, the one whose size vector has the
 room left, until nothing fits.  A shard leaves a few containers with room, so the loss from sharding is
 below one in a thousand; the working memory follows the shard, not the corpus.
 
-Defined results: null and empty texts have no tokens and are left out; special-token strings are ordinary
+Defined results: null and empty texts have no tokens and are left out, so are rows without an id; special-token strings are ordinary
 text; a repeated row is an item of its own (``copy`` tells them apart in ties); an empty table gives none.
 """
 
@@ -85,7 +85,7 @@ def token_sizes(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> D
                 loss.append(rest)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "copy": pdf["copy"], "n_tokens": total, "n_loss": loss})
 
-    texts = documents.select("doc_id", F.monotonically_increasing_id().alias("copy"), "text").filter("text <> ''")
+    texts = documents.select("doc_id", F.monotonically_increasing_id().alias("copy"), "text").filter("doc_id IS NOT NULL AND text <> ''")
     return texts.mapInPandas(run, "doc_id long, copy long, n_tokens long, n_loss long").filter("n_tokens > 0")
 
 

@@ -240,37 +240,36 @@ def _is_code(s: str) -> bool:
     """Whether the generalised LL parser reads it as a statement, and it is not plain words."""
     if not re.search(r"[()=;{}\[\]]", s) or len(s) > 400:
         return False
-    for lang, start in (("python", "line"), ("typescript", "stmt"), ("java", "stmt"), ("go", "stmt"), ("rust", "stmt")):
-        p = parser(lang)
-        sink: list = []
-        stack: list = []
-        kinds: list[str] = []
-        lines: list[int] = []
-        spots: list[int] = []
-        ok = True
-        for sort, kind, at, _ in p.tokens(s):
-            if sort == "t":
-                kinds.append(kind)
-                lines.append(0)
-                spots.append(at)
-            elif sort == "o":
-                stack.append((kind, at, kinds, lines, spots))
-                kinds, lines, spots = [], [], []
-            elif sort == "c" and stack and {"(": ")", "[": "]", "{": "}"}[stack[-1][0]] == kind:
-                kinds, lines, spots = p._reduce(stack, kinds, lines, spots, sink, 0)
-            elif sort != "n":
-                ok = False
-                break
-        if ok and not stack and not sink and kinds:
-            # Snippets may use another language's keywords as names, so they are tried as names too.
-            for unit in {tuple(kinds), tuple("ID" if k[0] == "=" and len(k) > 2 and k[1:].isalpha() else k for k in kinds)}:
-                key = (lang + start, unit)
-                got = _FUNCTIONS.get(key)
-                if got is None:
-                    got = _FUNCTIONS[key] = gll.recognises(p.lang.grammar, start, [p.terminal_set(k) for k in unit])
-                if got:
-                    return True
-    return False
+    # Snippets may use another language's keywords as names, so they are read with and without keywords.
+    return any(_reads_as(s, lang, start, names) for lang, start in (("python", "line"), ("typescript", "stmt"), ("java", "stmt"), ("go", "stmt"), ("rust", "stmt")) for names in (False, True))
+
+
+def _reads_as(s: str, lang: str, start: str, names: bool) -> bool:
+    p = parser(lang)
+    sink: list = []
+    stack: list = []
+    kinds: list[str] = []
+    lines: list[int] = []
+    spots: list[int] = []
+    for sort, kind, at, _ in p.tokens(s):
+        if sort == "t":
+            kinds.append("ID" if names and kind[0] == "=" and kind[1:].isalpha() else kind)
+            lines.append(0)
+            spots.append(at)
+        elif sort == "o":
+            stack.append((kind, at, kinds, lines, spots))
+            kinds, lines, spots = [], [], []
+        elif sort == "c" and stack and {"(": ")", "[": "]", "{": "}"}[stack[-1][0]] == kind:
+            kinds, lines, spots = p._reduce(stack, kinds, lines, spots, sink, 0)
+        elif sort != "n":
+            return False
+    if stack or sink or not kinds:
+        return False
+    key = (lang + start, tuple(kinds))
+    got = _FUNCTIONS.get(key)
+    if got is None:
+        got = _FUNCTIONS[key] = gll.recognises(p.lang.grammar, start, [p.terminal_set(k) for k in kinds])
+    return got
 
 
 def _is_signature(s: str, own: set[str]) -> bool:

@@ -12,7 +12,8 @@ do not matter.  A word is repeated if it lies in five words that occurred before
 run of one to four words said at least three times in a row (the first time is not counted).
 
 Defined results: null, blank and short texts measure 0 and are never found; texts of any length are measured
-whole; a null repository is the host ``''``; a repeated doc_id gives one found row; an empty table gives none;
+whole; a null repository is the host ``''``; a repeated doc_id gives one found row; rows without an
+id are left out; an empty table gives none;
 other columns are not read.
 """
 
@@ -108,7 +109,7 @@ def measures(documents: DataFrame) -> DataFrame:
         for pdf in slices(batches):
             yield measure_slice(pdf)
 
-    return documents.select("doc_id", "text", "repo").mapInPandas(run, _MEASURES)
+    return documents.filter("doc_id IS NOT NULL").select("doc_id", "text", "repo").mapInPandas(run, _MEASURES)
 
 
 def host_verdicts(measured: DataFrame, share: float = 0.3, rate: float = 0.5) -> DataFrame:
