@@ -1,18 +1,11 @@
-"""Runnable queries.  The core registries are listed here; a subpackage that is not there is left out."""
+"""Runnable queries of the core."""
 
 from __future__ import annotations
 
 import importlib
-import importlib.util
 
 CORE = ("pipeline", "graph_queries", "search_queries", "resolve_queries", "change_queries")
-#: Optional packages that bring a ``queries`` module with a registry ``R``.
-OPTIONAL = ("arbora.llm",)
 
 
-def all_registries() -> list:
-    out = [importlib.import_module(f"arbora.plans.{m}").R for m in CORE]
-    for package in OPTIONAL:
-        if importlib.util.find_spec(package) is not None and importlib.util.find_spec(f"{package}.queries") is not None:
-            out.append(importlib.import_module(f"{package}.queries").R)
-    return out
+def core_registries() -> list:
+    return [importlib.import_module(f"arbora.plans.{m}").R for m in CORE]
