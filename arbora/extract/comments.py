@@ -29,3 +29,18 @@ def balanced(text: str, at: int) -> int:
             if depth == 0:
                 return m.end()
     return -1
+
+
+def single_edit(old: str, new: str) -> tuple[int, int, int] | None:
+    """(start, old end, new end) of the one stretch that differs; None where a file is better read anew:
+    more than a quarter of it, more than 100 lines, or a size that changes by more than half."""
+    a = 0
+    while a < min(len(old), len(new)) and old[a] == new[a]:
+        a += 1
+    b = 0
+    while b < min(len(old), len(new)) - a and old[-1 - b] == new[-1 - b]:
+        b += 1
+    before, after = old[a : len(old) - b], new[a : len(new) - b]
+    if max(len(before), len(after)) > 0.25 * max(len(old), 1) or max(before.count("\n"), after.count("\n")) > 100 or abs(len(new) - len(old)) > 0.5 * max(len(old), 1):
+        return None
+    return a, len(old) - b, len(new) - b

@@ -145,3 +145,131 @@ def extracted_routes(documents: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in ROUTES.split(", ")])
 
     return documents.filter("path IS NOT NULL AND text IS NOT NULL").select("path", "text").mapInPandas(run, ROUTES)
+
+
+# ---------------------------------------------------------------- nested route tables
+
+
+def _objects(text: str, at: int) -> list[str]:
+    """The objects of the array that opens at ``at``."""
+    end = balanced(text, at)
+    out, i = [], at + 1
+    while 0 < i < (end if end > 0 else len(text)):
+        j = text.find("{", i, end)
+        if j < 0:
+            break
+        stop = balanced(text, j)
+        if stop < 0:
+            break
+        out.append(text[j + 1 : stop - 1])
+        i = stop
+    return out
+
+
+def nested_routes(text: str, at: int, parent: str = "") -> list[tuple[str, str, list[str]]]:
+    """(address, component or lazy import, guards) of a route table and the tables inside it."""
+    out: list[tuple[str, str, list[str]]] = []
+    for body in _objects(text, at):
+        inner = re.search(r"\bchildren\s*:\s*\[", body)
+        flat = body
+        if inner:
+            stop = balanced(body, inner.end() - 1)
+            flat = body[: inner.start()] + (body[stop:] if stop > 0 else "")
+        path = re.search(r"\bpath\s*:\s*['\"`]([^'\"`]*)['\"`]", flat)
+        address = compose_nested(parent, path[1]) if path else parent
+        target = re.search(r"\b(?:component|element)\s*:\s*<?\s*(\w+)", flat)
+        lazy = re.search(r"import\(\s*['\"`]([^'\"`]+)['\"`]\s*\)(?:\s*\.then\(\s*\(?\w+\)?\s*=>\s*\w+\.(\w+))?", flat)
+        guards = [g for part in re.findall(r"\b(?:canActivate|canMatch|canDeactivate|canLoad|resolve|beforeEnter)\s*:\s*[\[{]?([^\]}]*)", flat) for g in re.findall(r"[A-Za-z_]\w*(?!\s*:)\b", part)]
+        name = target[1] if target and not (lazy and target[1] == "import") else (lazy[2] or lazy[1]) if lazy else ""
+        if path and not (re.search(r"\bredirectTo\b|\bredirect\s*:", flat) and not name):
+            out.append((address if address.startswith("/") else join_prefix(address), name, guards))
+        if inner:
+            out += nested_routes(body, inner.end() - 1, address)
+    return out
+
+
+def route_tables(text: str) -> list[tuple[int, str, str, list[str]]]:
+    """(line, address, component, guards) of every router table in a script."""
+    opener = r"(?:RouterModule\.for(?:Root|Child)\(|provideRouter\(|\bRoutes\s*=|\broutes\s*(?::[^=\n]+)?[=:])\s*\["
+    return [(text.count("\n", 0, m.start()) + 1, *r) for m in re.finditer(opener, text) for r in nested_routes(text, m.end() - 1)]
+
+
+# ---------------------------------------------------------------- declarations and uses
+
+#: File names that make a folder of a routes tree an address.
+PAGE_FILES = ("+page.svelte", "+page.ts", "+page.js", "+page.server.ts", "+page.server.js", "+layout.svelte", "+layout.ts", "+layout.js", "+layout.server.ts", "+layout.server.js", "+server.ts", "+server.js")
+
+
+def page_route(path: str) -> str | None:
+    """The address that a page file stands for by its place in the tree."""
+    name = path.rsplit("/", 1)[-1]
+    if name in PAGE_FILES and "routes/" in path:
+        folder = path.split("routes/", 1)[1].rsplit("/", 1)[0] if "/" in path.split("routes/", 1)[1] else ""
+        return file_route(re.sub(r"\([^)]*\)/?", "", folder) + "/index.x")
+    m = re.search(r"(?:^|/)(?:pages|server/(?:api|routes))/(.+)\.(?:vue|ts|js|mjs)$", path)
+    if m:
+        prefix = "api/" if "/server/api/" in f"/{path}" else ""
+        return file_route(prefix + re.sub(r"\.(?:get|post|put|delete|patch)$", "", m[1]) + ".x")
+    return None
+
+
+def declarations(path: str, text: str) -> list[tuple[int, str, str, str]]:
+    """(line, kind, name, framework) of what frameworks add to a language."""
+    src = strip_comments(text, language_of(path) or "c")
+    line = lambda at: src.count("\n", 0, at) + 1
+    out: list[tuple[int, str, str, str]] = []
+    kinds = {"Component": "component", "Directive": "component", "Pipe": "class", "Injectable": "class", "NgModule": "module"}
+    for m in re.finditer(r"@(Component|Directive|Pipe|Injectable|NgModule)\(", src):
+        end = balanced(src, m.end() - 1)
+        c = re.compile(r"(?:\s|@\w+(?:\([^)]*\))?|export|default|abstract)*class\s+(\w+)").match(src, end) if end > 0 else None
+        if c:
+            out.append((line(m.start()), kinds[m[1]], c[1], "angular"))
+    if path.endswith((".jsx", ".tsx", ".js", ".ts")):
+        for m in re.finditer(r"\b(?:function\s+([A-Z]\w*)\s*\([^)]*\)[^{;]*\{|const\s+([A-Z]\w*)\s*(?::[^=]+)?=\s*(?:\w+(?:\.\w+)?\(\s*)?(?:function\b[^{]*\{|\([^)]*\)\s*(?::[^=]+)?=>\s*[({]?))", src):
+            if re.search(r"<[A-Za-z][\w.]*[\s/>]|<>", src[m.end() : m.end() + 2000]):
+                out.append((line(m.start()), "component", m[1] or m[2], "react"))
+        for m in re.finditer(r"\b(?:function\s+|const\s+)(use[A-Z]\w*)\s*(?:\(|=)", src):
+            out.append((line(m.start()), "function", m[1], "vue" if "/composables/" in path else "react"))
+        for m in re.finditer(r"\bconst\s+(\w+)\s*=\s*defineStore\(", src):
+            out.append((line(m.start()), "class", m[1], "vue"))
+    address = page_route(path)
+    if address:
+        out.append((1, "route", address, "svelte" if "+" in path else "vue"))
+        for m in re.finditer(r"\bexport\s+(?:async\s+)?(?:function|const)\s+(GET|POST|PUT|DELETE|PATCH|OPTIONS|HEAD)\b", src) if "+server" in path else ():
+            out.append((line(m.start()), "route", f"{m[1]} {address}", "svelte"))
+    return out
+
+
+def injected(text: str) -> list[str]:
+    """Types that a class asks its container for: constructor parameters and ``inject(X)``."""
+    out = []
+    for m in re.finditer(r"\bconstructor\s*\(", text):
+        end = balanced(text, m.end() - 1)
+        out += re.findall(r":\s*([A-Z]\w*)", text[m.end() : end if end > 0 else m.end()])
+    return list(dict.fromkeys(out + re.findall(r"\binject\(\s*([A-Z]\w*)", text)))
+
+
+def workspace_members(text: str) -> tuple[list[str], list[tuple[str, str]]]:
+    """(members, (name, path) dependencies) of a workspace's project file."""
+    try:
+        import tomllib
+
+        data = tomllib.loads(text)
+    except (ValueError, ImportError):
+        return [], []
+    deps = [(k, v["path"]) for part in ("dependencies", "dev-dependencies", "build-dependencies") for k, v in data.get(part, {}).items() if isinstance(v, dict) and "path" in v]
+    return list(data.get("workspace", {}).get("members", [])), deps
+
+
+DECLARATIONS = "file_path string, line int, kind string, name string, framework string"
+
+
+def extracted_declarations(documents: DataFrame) -> DataFrame:
+    """Framework declarations of all source texts (path, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, *r) for p, t in zip(pdf["path"], pdf["text"], strict=True) for r in declarations(p, t)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in DECLARATIONS.split(", ")])
+
+    return documents.filter("path IS NOT NULL AND text IS NOT NULL").select("path", "text").mapInPandas(run, DECLARATIONS)

@@ -113,20 +113,45 @@ def components(pairs: DataFrame) -> DataFrame:
 def cyclic_groups(steps: DataFrame) -> DataFrame:
     """(node, group): nodes on cycles, by the smallest node of their strongly connected set.
 
-    Nodes without an incoming or outgoing step are peeled off first; what is left is decided by forward and
-    backward reach of every remaining node.
+    By colouring: nodes without an incoming or outgoing step are peeled off; the smallest node that reaches a
+    node is spread forwards as its colour; what reaches a colour's own node within the colour is one connected
+    set.  Sets are taken out and the rest is coloured again.  Every round is linear in the steps left.
     """
-    e = materialise(steps.filter("src <> dst"), "cycle_steps")
+    e = materialise(steps.select("src", "dst").filter("src <> dst").distinct(), "cycle_steps")
+    found: DataFrame | None = None
     while True:
-        live = e.select(F.col("src").alias("node")).distinct().intersect(e.select(F.col("dst").alias("node")).distinct())
-        kept = materialise(e.join(live.withColumnRenamed("node", "src"), "src", "left_semi").join(live.withColumnRenamed("node", "dst"), "dst", "left_semi"), "peeled")
-        if kept.count() == e.count():
+        size = e.count()
+        while size:
+            live = e.select(F.col("src").alias("node")).distinct().intersect(e.select(F.col("dst").alias("node")).distinct())
+            e = materialise(e.join(live.withColumnRenamed("node", "src"), "src", "left_semi").join(live.withColumnRenamed("node", "dst"), "dst", "left_semi"), "peeled")
+            size, before = e.count(), size
+            if size == before:
+                break
+        if not size:
             break
-        e = kept
-    seeds = e.select(F.col("src").alias("seed")).distinct()
-    r = materialise(reach(e, seeds), "reach").filter("depth > 0").select("seed", "node")
-    mutual = r.join(r.select(F.col("node").alias("seed"), F.col("seed").alias("node")), ["seed", "node"])
-    return mutual.groupBy(F.col("seed").alias("node")).agg(F.least(F.min("node"), F.first("seed")).alias("group"))
+        colour = e.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node"))
+        while True:
+            low = e.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("low"))
+            colour = materialise(colour.join(low, "node", "left").select("node", F.least("colour", F.coalesce("low", "colour")).alias("colour"), (F.col("low") < F.col("colour")).alias("moved")), "colour")
+            still = colour.filter("moved").isEmpty()
+            colour = colour.drop("moved")
+            if still:
+                break
+        c = materialise(e.join(colour.withColumnRenamed("node", "src").withColumnRenamed("colour", "a"), "src").join(colour.withColumnRenamed("node", "dst").withColumnRenamed("colour", "b"), "dst")
+                        .filter("a = b").select(F.col("dst").alias("at"), F.col("src").alias("node"), F.col("a").alias("group")), "coloured")
+        part = front = materialise(colour.filter("node = colour").select("node", F.col("colour").alias("group")), "roots")
+        while True:
+            new = materialise(front.withColumnRenamed("node", "at").join(c, ["at", "group"]).select("node", "group").distinct().join(part, ["node", "group"], "left_anti"), "back")
+            if new.isEmpty():
+                break
+            part, front = part.unionByName(new), new
+        part = materialise(part, "set")
+        found = part if found is None else found.unionByName(part)
+        e = materialise(e.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti"), "rest")
+    if found is None:
+        return steps.sparkSession.createDataFrame([], "node string, `group` string")
+    many = found.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group")
+    return found.join(many, "group", "left_semi").select("node", "group")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

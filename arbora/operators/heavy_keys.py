@@ -33,10 +33,5 @@ def heavy_keys(edges: DataFrame, share: float = 0.01) -> DataFrame:
     The states of all keys are shuffled once; those that stay below the threshold are dropped on arrival.
     """
     counts = edges.groupBy("target", norm_kind().alias("kind")).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = edges.agg(F.count(F.lit(1)).alias("total"))  # one row; read as a scalar subquery below
-    name = "arbora_heavy_total"
-    total.createOrReplaceTempView(name)
-    counts.createOrReplaceTempView("arbora_heavy_counts")
-    return edges.sparkSession.sql(
-        f"SELECT target, kind, n_rows FROM arbora_heavy_counts WHERE n_rows >= {share!r} * (SELECT total FROM {name})"
-    )
+    total = edges.agg(F.count(F.lit(1)).alias("total")).scalar()
+    return counts.filter(F.col("n_rows") >= F.lit(share) * total)

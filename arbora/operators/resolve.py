@@ -79,16 +79,19 @@ def _first_in_file(n: DataFrame) -> DataFrame:
 
 
 def match_file_path(r: DataFrame, n: DataFrame, paths: DataFrame) -> DataFrame:
-    """(ref, node, confidence): the reference names a file: .95 by path, .85 by a unique ending, .70 by a unique file name."""
+    """(ref, node, confidence): the reference names a file: .95 by path, .85 by a unique ending, .70 by a unique file name.
+
+    Every path is entered once under each of its endings, counted per ending, so a frequent file name is one row.
+    """
     first = _first_in_file(n)
-    p = paths.select(F.col("path").alias("file_path")).distinct().withColumn("base", F.substring_index("file_path", "/", -1))
-    q = r.filter((F.instr("name", "/") > 0) | ((F.instr("name", ".") > 0) & (F.instr("name", "::") == 0))).select("ref", "name").withColumn("base", F.substring_index("name", "/", -1))
-    j = q.join(p, "base")
-    kind = F.when(F.col("file_path") == F.col("name"), 0.95).when(F.col("file_path").endswith(F.col("name")), 0.85).otherwise(0.70)
-    tier = j.select("ref", "file_path", kind.alias("confidence"))
-    per = tier.groupBy("ref").agg(F.sum((F.col("confidence") >= 0.85).cast("int")).alias("ends"), F.count(F.lit(1)).alias("all"))
-    good = tier.join(per, "ref").filter("confidence = 0.95 OR (confidence = 0.85 AND ends = 1) OR (confidence = 0.70 AND ends <> 1 AND `all` = 1)")
-    return good.join(first, "file_path").select("ref", "node", "confidence")
+    parts = F.split("path", "/")
+    ends = paths.select("path").distinct().select("path", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("at", "name"))
+    key = ends.filter("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("files"), F.min("path").alias("file_path"))
+    q = r.filter((F.instr("name", "/") > 0) | ((F.instr("name", ".") > 0) & (F.instr("name", "::") == 0))).select("ref", "name")
+    whole = q.join(key, "name").select("ref", "file_path", F.when(F.col("file_path") == F.col("name"), 0.95).when(F.col("files") == 1, 0.85).alias("confidence")).filter("confidence IS NOT NULL")
+    left = q.join(whole.select("ref"), "ref", "left_anti").select("ref", F.substring_index("name", "/", -1).alias("name"))
+    base = left.join(key.filter("files = 1"), "name").select("ref", "file_path", F.lit(0.70).alias("confidence"))
+    return whole.unionByName(base).join(first, "file_path").select("ref", "node", "confidence")
 
 
 def match_qualified(r: DataFrame, n: DataFrame) -> DataFrame:

@@ -64,10 +64,10 @@ def bm25(queries: DataFrame, nodes: DataFrame, top: int) -> DataFrame:
     """(qid, node, score, rank): the ``top`` best nodes per query."""
     posts = postings(nodes)
     size = posts.groupBy("node").agg(F.sum("tf").alias("size"))
-    stats = size.agg(F.avg("size").alias("mean"), F.count(F.lit(1)).alias("total"))
+    mean, total = size.agg(F.avg("size").alias("m")).scalar(), size.agg(F.count(F.lit(1)).alias("t")).scalar()
     hits = term_hits(query_terms(queries), posts)
     df = hits.select("term", "node").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    j = hits.join(df, "term").join(size, "node").join(F.broadcast(stats), F.lit(True))  # stats is one row
+    j = hits.join(df, "term").join(size, "node").withColumn("mean", mean).withColumn("total", total)
     idf = F.greatest(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
     scored = j.groupBy("qid", "node").agg(F.round(F.sum(part), 6).alias("score"))

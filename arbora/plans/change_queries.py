@@ -81,6 +81,7 @@ R.add("import_probe", f"""WITH i AS ({_JS}), t AS (SELECT path, module, unnest([
  SELECT path, module, target FROM (SELECT *, row_number() OVER (PARTITION BY path, module ORDER BY place) AS rn FROM h WHERE target IN (SELECT path FROM files)) WHERE rn = 1""")(
     lambda s, d: imports.probe(imports.script_imports(table(s, d, "documents")), table(s, d, "files")))
 R.add("extract_symbols")(lambda s, d: symbols.extracted(table(s, d, "documents")))
+R.add("extract_declarations")(lambda s, d: frameworks.extracted_declarations(table(s, d, "documents")))
 R.add("extract_routes")(lambda s, d: frameworks.extracted_routes(table(s, d, "documents")))
 
 

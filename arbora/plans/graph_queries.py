@@ -97,8 +97,8 @@ R.add("files_grouped", f"WITH {F_SQL} SELECT {LANG} AS language, path, node_coun
 R.add("stale_files", f"WITH {F_SQL} SELECT path, modified_at, row_number() OVER (PARTITION BY {LANG} ORDER BY modified_at, path) AS place FROM f")(
     lambda s, d: files(s, d).withColumn("place", F.row_number().over(Window.partitionBy(T.norm_language()).orderBy("modified_at", "path"))).select("path", "modified_at", "place"))
 R.add("index_health", f"""WITH {F_SQL} SELECT count(*) > 0 AS non_empty, max(indexed_at) AS newest, max(indexed_at) < (SELECT max(scanned_at) FROM file_scans) - 86400000 AS stale FROM f""")(
-    lambda s, d: files(s, d).agg((F.count(F.lit(1)) > 0).alias("non_empty"), F.max("indexed_at").alias("newest")).join(
-        F.broadcast(T.table(s, d, "file_scans").agg(F.max("scanned_at").alias("seen"))), F.lit(True)).select("non_empty", "newest", (F.col("newest") < F.col("seen") - 86_400_000).alias("stale")))
+    lambda s, d: files(s, d).agg((F.count(F.lit(1)) > 0).alias("non_empty"), F.max("indexed_at").alias("newest")).withColumn(
+        "stale", F.col("newest") < T.table(s, d, "file_scans").agg(F.max("scanned_at")).scalar() - 86_400_000))
 
 # ------------------------------------------------------------------ lookups and predicates
 
@@ -113,8 +113,9 @@ R.add("nodes_by_file", f"WITH {N_SQL} SELECT file_path, id, row_number() OVER (P
     lambda s, d: nodes(s, d).filter("kind <> 'file'").withColumn("place", F.row_number().over(Window.partitionBy("file_path").orderBy("start_line", "id"))).select("file_path", "id", "place"))
 R.add("nodes_by_kind_list", f"WITH {N_SQL} SELECT id, name FROM n WHERE kind IN ('class', 'struct')")(
     lambda s, d: nodes(s, d).filter(F.col("kind").isin("class", "struct")).select("id", "name"))
-R.add("nodes_by_lower_name", f"WITH {N_SQL} SELECT r.id AS ref_id, n.id FROM unresolved_refs r JOIN n ON lower(n.name) = lower(r.reference_name)")(
-    lambda s, d: refs(s, d).select(F.col("id").alias("ref_id"), F.lower("reference_name").alias("k")).join(nodes(s, d).select("id", F.lower("name").alias("k")), "k").select("ref_id", "id"))
+R.add("nodes_by_lower_name", f"WITH {N_SQL} SELECT r.id AS ref_id, min(n.id) AS id, count(*) AS bearers FROM unresolved_refs r JOIN n ON lower(n.name) = lower(r.reference_name) GROUP BY 1")(
+    lambda s, d: refs(s, d).select(F.col("id").alias("ref_id"), F.lower("reference_name").alias("k")).join(
+        nodes(s, d).groupBy(F.lower("name").alias("k")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("bearers")), "k").select("ref_id", "id", "bearers"))
 R.add("nodes_by_qualified_name", f"WITH {N_SQL} SELECT b.id AS builtin, n.id FROM builtin_symbols b JOIN n ON n.qualified_name = b.qualified_name")(
     lambda s, d: T.table(s, d, "builtin_symbols").select(F.col("id").alias("builtin"), "qualified_name").join(nodes(s, d).select("id", "qualified_name"), "qualified_name").select("builtin", "id"))
 R.add("exact_name_multi", f"""WITH {N_SQL}, q AS (SELECT DISTINCT lower(reference_name) AS k FROM unresolved_refs)
@@ -322,16 +323,16 @@ def sibling_anchors(s: SparkSession, d: str) -> DataFrame:
     return j.withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy("start_line", "id"))).filter("place <= 5").select("seed", "id", "place")
 
 
-@R.add("shortest_path", f"""WITH RECURSIVE {N_SQL}, {E_SQL}, step AS (SELECT DISTINCT source AS src, target AS dst FROM e WHERE kind IN ('calls', 'contains') AND target IN (SELECT id FROM n)),
- pair AS (SELECT id AS seed, (SELECT max(id) FROM n WHERE kind = 'method') AS goal FROM n WHERE kind IN ('module', 'struct')),
+@R.add("shortest_path", f"""WITH RECURSIVE {N_SQL}, {E_SQL}, step AS (SELECT DISTINCT source AS src, target AS dst FROM e WHERE kind IN ('calls', 'references', 'contains') AND target IN (SELECT id FROM n)),
+ pair AS (SELECT id AS seed, (SELECT target FROM e WHERE target IN (SELECT id FROM n) GROUP BY 1 ORDER BY count(*) DESC, target LIMIT 1) AS goal FROM n WHERE kind IN ('module', 'struct')),
  r(seed, goal, node, path) AS (SELECT seed, goal, seed, [seed] FROM pair UNION SELECT r.seed, r.goal, step.dst, list_append(r.path, step.dst) FROM r JOIN step ON step.src = r.node WHERE len(r.path) <= 4 AND r.node <> r.goal),
  hit AS (SELECT *, row_number() OVER (PARTITION BY seed, goal ORDER BY len(path), path) AS rn FROM r WHERE node = goal)
  SELECT seed, goal, array_to_string(path, ' > ') AS path, CAST(len(path) - 1 AS INTEGER) AS length FROM hit WHERE rn = 1""")
 def shortest_path(s: SparkSession, d: str) -> DataFrame:
     n = nodes(s, d)
-    goal = n.filter("kind = 'method'").agg(F.max("id").alias("goal"))
-    pairs = n.filter(F.col("kind").isin("module", "struct")).select(F.col("id").alias("seed")).join(F.broadcast(goal), F.lit(True))
-    steps = G.arcs(edges(s, d), "out", ("calls", "contains")).join(n.select(F.col("id").alias("dst")), "dst", "left_semi")
+    goal = edges(s, d).join(n.select(F.col("id").alias("target")), "target", "left_semi").groupBy("target").agg(count()).orderBy(F.desc("n"), "target").limit(1).select("target").scalar()
+    pairs = n.filter(F.col("kind").isin("module", "struct")).select(F.col("id").alias("seed"), goal.alias("goal"))
+    steps = G.arcs(edges(s, d), "out", ("calls", "references", "contains")).join(n.select(F.col("id").alias("dst")), "dst", "left_semi")
     return G.shortest_paths(steps, pairs, 4)
 
 
@@ -344,10 +345,10 @@ def connected_files(s: SparkSession, d: str) -> DataFrame:
 
 
 @R.add("file_cycles", f"""WITH RECURSIVE {N_SQL}, {E_SQL}, p AS (SELECT DISTINCT a.file_path AS src, b.file_path AS dst FROM e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target
-  WHERE e.kind = 'imports' AND a.kind = 'class' AND b.kind = 'class' AND a.file_path <> b.file_path), r(seed, node) AS (SELECT src, dst FROM p UNION SELECT r.seed, p.dst FROM r JOIN p ON p.src = r.node),
+  WHERE e.kind = 'imports' AND a.file_path <> b.file_path), r(seed, node) AS (SELECT src, dst FROM p UNION SELECT r.seed, p.dst FROM r JOIN p ON p.src = r.node),
  m AS (SELECT a.seed, a.node FROM r a JOIN r b ON a.seed = b.node AND a.node = b.seed) SELECT seed AS node, least(min(node), seed) AS "group" FROM m GROUP BY seed""")
 def file_cycles(s: SparkSession, d: str) -> DataFrame:
-    return G.cyclic_groups(G.file_dependencies(edges(s, d), nodes(s, d).filter("kind = 'class'"), ("imports",)))
+    return G.cyclic_groups(G.file_dependencies(edges(s, d), nodes(s, d), ("imports",)))
 
 
 @R.add("file_graph", f"""WITH {N_SQL}, {E_SQL}, k AS (SELECT DISTINCT id FROM n), s AS (SELECT DISTINCT file_path AS seed, id FROM n WHERE file_path IS NOT NULL AND kind <> 'file')
@@ -460,3 +461,32 @@ R.add("relationship_summary", f"""WITH {N_SQL}, {E_SQL} SELECT a.kind AS source_
         nodes(s, d).select(F.col("id").alias("target"), F.col("kind").alias("target_kind")), "target").groupBy("source_kind", "kind", "target_kind").agg(count()))
 R.add("file_symbol_coverage", f"WITH {N_SQL} SELECT file_path, count(DISTINCT lower(name)) AS n_names, 20 * (count(DISTINCT lower(name)) - 1) AS bonus FROM n WHERE kind <> 'file' GROUP BY 1")(
     lambda s, d: nodes(s, d).filter("kind <> 'file'").groupBy("file_path").agg(F.countDistinct(F.lower("name")).alias("n_names")).withColumn("bonus", 20 * (F.col("n_names") - 1)))
+
+
+@R.add("subgraph_edges", f"""WITH RECURSIVE {N_SQL}, {E_SQL}, step AS (SELECT DISTINCT src, dst FROM ({_OUT} UNION {_IN}) WHERE dst IN (SELECT id FROM n)),
+ r(node, depth) AS (SELECT id, 0 FROM n WHERE kind = 'module' UNION SELECT step.dst, r.depth + 1 FROM r JOIN step ON step.src = r.node WHERE r.depth < 1), k AS (SELECT DISTINCT node FROM r JOIN n ON n.id = r.node WHERE n.kind <> 'file')
+ SELECT DISTINCT id, source, target, kind FROM e WHERE source IN (SELECT node FROM k) AND target IN (SELECT node FROM k)""")
+def subgraph_edges(s: SparkSession, d: str) -> DataFrame:
+    """Edges among what surrounds the modules, files left out, without dangling ones."""
+    n, e = nodes(s, d), edges(s, d)
+    k = G.reach(G.arcs(e, "both"), seeds(s, d), 1, n).select(F.col("node").alias("id")).distinct().join(n.filter("kind <> 'file'").select("id"), "id", "left_semi")
+    return e.join(k.withColumnRenamed("id", "source"), "source", "left_semi").join(k.withColumnRenamed("id", "target"), "target", "left_semi").select("id", "source", "target", "kind").distinct()
+
+
+R.add("files_depending_on_name", f"""WITH {N_SQL}, {E_SQL} SELECT b.name AS symbol, count(DISTINCT a.file_path) AS n_files, count(DISTINCT a.id) AS n_nodes FROM e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target
+ WHERE b.kind <> 'file' AND a.file_path <> b.file_path GROUP BY 1""")(
+    lambda s, d: edges(s, d).select("source", "target").join(nodes(s, d).select(F.col("id").alias("source"), F.col("file_path").alias("a")), "source").join(
+        nodes(s, d).filter("kind <> 'file'").select(F.col("id").alias("target"), F.col("name").alias("symbol"), F.col("file_path").alias("b")), "target").filter("a <> b").groupBy("symbol").agg(
+        F.countDistinct("a").alias("n_files"), F.countDistinct("source").alias("n_nodes")))
+
+
+@R.add("recall_scoring", f"""WITH {N_SQL}, {E_SQL}, want AS (SELECT DISTINCT e.target AS case_id, e.source AS item FROM e WHERE e.kind = 'calls'), got AS (SELECT DISTINCT e.target AS case_id, e.source AS item FROM e JOIN n ON n.id = e.source WHERE e.kind = 'calls')
+ SELECT want.case_id, count(*) AS required, count(got.item) AS present, round(count(got.item) / count(*), 6) AS recall, CASE WHEN count(got.item) / count(*) >= 0.8 THEN 'PASS' WHEN count(got.item) > 0 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict
+ FROM want LEFT JOIN got ON got.case_id = want.case_id AND got.item = want.item GROUP BY 1""")
+def recall_scoring(s: SparkSession, d: str) -> DataFrame:
+    """Of the callers that edges name, the share that the node table can show, with a verdict per symbol."""
+    want = edges(s, d).filter("kind = 'calls'").select(F.col("target").alias("case_id"), F.col("source").alias("item")).distinct()
+    got = want.join(nodes(s, d).select(F.col("id").alias("item")).distinct(), "item", "left_semi").withColumn("hit", F.lit(1))
+    ratio = F.count("hit") / F.count(F.lit(1))
+    return want.join(got, ["case_id", "item"], "left").groupBy("case_id").agg(F.count(F.lit(1)).alias("required"), F.count("hit").alias("present"), F.round(ratio, 6).alias("recall"),
+                                                                          F.when(ratio >= 0.8, "PASS").when(F.count("hit") > 0, "PARTIAL").otherwise("FAIL").alias("verdict"))

@@ -32,11 +32,11 @@ _BASE = f"WITH {R_SQL}, {C_SQL}"
 _POINTS = """CASE WHEN c.node_lang = {r}.lang THEN 50 ELSE -80 END + CASE WHEN {r}.ref_kind = 'calls' AND c.kind IN ('function', 'method') THEN 25 WHEN {r}.ref_kind = 'instantiates' AND c.kind IN ('class', 'struct') THEN 25
  WHEN {r}.ref_kind = 'decorates' AND c.kind = 'function' THEN 25 WHEN {r}.ref_kind = 'decorates' AND c.kind = 'class' THEN 15 ELSE 0 END + CASE WHEN c.exported THEN 10 ELSE 0 END
  + CASE WHEN c.file_path = {r}.ref_file THEN 100 + CASE WHEN {r}.ref_line IS NULL THEN 0 ELSE 20 - least(abs(c.start_line - {r}.ref_line), 20) END ELSE 0 END"""
-FILE_SQL = """pf AS (SELECT r.ref, f.path AS file_path, CASE WHEN f.path = r.name THEN 0.95 WHEN ends_with(f.path, r.name) THEN 0.85 ELSE 0.70 END AS confidence
+FILE_SQL = """pf AS (SELECT r.ref, f.path AS file_path, CASE WHEN f.path = r.name THEN 0.95 WHEN ends_with(f.path, '/' || r.name) THEN 0.85 ELSE 0.70 END AS confidence
   FROM r JOIN (SELECT DISTINCT path FROM files) f ON regexp_extract(f.path, '[^/]*$') = regexp_extract(r.name, '[^/]*$') WHERE instr(r.name, '/') > 0 OR (instr(r.name, '.') > 0 AND instr(r.name, '::') = 0)),
- pg AS (SELECT *, sum(CASE WHEN confidence >= 0.85 THEN 1 ELSE 0 END) OVER (PARTITION BY ref) AS ends, count(*) OVER (PARTITION BY ref) AS total FROM pf),
+ pg AS (SELECT *, sum(CASE WHEN confidence >= 0.85 THEN 1 ELSE 0 END) OVER (PARTITION BY ref) AS ends, count(*) OVER (PARTITION BY ref) AS total, max(confidence) OVER (PARTITION BY ref) AS best FROM pf),
  w1 AS (SELECT ref, node, confidence::DOUBLE AS confidence FROM pg JOIN (SELECT file_path, node FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY start_line, node) AS rn FROM c) WHERE rn = 1) x ON x.file_path = pg.file_path
-  WHERE confidence = 0.95 OR (confidence = 0.85 AND ends = 1) OR (confidence = 0.70 AND ends <> 1 AND total = 1))"""
+  WHERE confidence = 0.95 OR (confidence = 0.85 AND ends = 1) OR (confidence = 0.70 AND total = 1))"""
 QUAL_SQL = """qa AS (SELECT r.ref, min(c.node) AS node FROM r JOIN c ON c.qualified_name = r.name WHERE instr(r.name, '::') > 0 OR instr(r.name, '.') > 0 GROUP BY 1),
  w2 AS (SELECT ref, node, 0.95::DOUBLE AS confidence FROM qa UNION ALL SELECT r.ref, min(c.node), 0.85::DOUBLE FROM r JOIN c ON c.name = string_split(r.name, '::')[-1] AND ends_with(c.qualified_name, r.name)
   WHERE (instr(r.name, '::') > 0 OR instr(r.name, '.') > 0) AND r.ref NOT IN (SELECT ref FROM qa) GROUP BY 1)"""

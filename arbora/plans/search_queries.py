@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.operators import search as S
@@ -33,8 +33,8 @@ R.add("postings", f"WITH {N_SQL}, {P_SQL} SELECT node, col, token, tf FROM p")(l
 R.add("doc_freq", f"WITH {N_SQL}, {P_SQL} SELECT token, count(DISTINCT node) AS df FROM p WHERE col <> 'id' GROUP BY 1")(
     lambda s, d: S.postings(nodes(s, d)).filter("col <> 'id'").select("token", "node").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df")))
 R.add("term_idf", f"{_ALL} SELECT t.term, round(greatest(1.0, ln((SELECT count(*) FROM n) / (coalesce(max(c.df), 0) + 1.0)) + 1.0), 6) AS idf FROM (SELECT DISTINCT term FROM t) t LEFT JOIN (SELECT term, count(DISTINCT node) AS df FROM h GROUP BY 1) c ON c.term = t.term GROUP BY 1")(
-    lambda s, d: (lambda n, t: t.select("term").distinct().join(S.term_hits(t, S.postings(n)).select("term", "node").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", "left").join(
-        F.broadcast(n.agg(F.count(F.lit(1)).alias("total"))), F.lit(True)).select("term", F.round(F.greatest(F.lit(1.0), F.log(F.col("total") / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0), 6).alias("idf")))(
+    lambda s, d: (lambda n, t: t.select("term").distinct().join(S.term_hits(t, S.postings(n)).select("term", "node").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", "left").withColumn(
+        "total", n.agg(F.count(F.lit(1)).alias("t")).scalar()).select("term", F.round(F.greatest(F.lit(1.0), F.log(F.col("total") / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0), 6).alias("idf")))(
         nodes(s, d), S.query_terms(queries(s, d))))
 R.add("bm25_top", f"{_ALL}, {BM_SQL} SELECT qid, node, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node) AS rank FROM scored) WHERE rank <= 10")(
     lambda s, d: S.bm25(queries(s, d), nodes(s, d), 10))
@@ -44,17 +44,16 @@ R.add("like_tiers", f"""WITH {N_SQL}, {Q_SQL}, x AS (SELECT qid, n.id AS node, C
 R.add("fuzzy_names", f"""WITH {N_SQL}, {Q_SQL} SELECT qid, name, CAST(levenshtein(lower(query), lower(name)) AS INTEGER) AS distance FROM q, (SELECT DISTINCT name FROM n) WHERE len(query) >= 3 AND len(name) >= 3
  AND levenshtein(lower(query), lower(name)) <= CASE WHEN len(query) <= 4 THEN 1 ELSE 2 END""")(lambda s, d: S.fuzzy_names(queries(s, d), nodes(s, d).select("name")))
 R.add("exact_supplement", f"WITH {N_SQL}, {Q_SQL} SELECT qid, id AS node FROM (SELECT qid, n.id, row_number() OVER (PARTITION BY qid ORDER BY n.id) AS rn FROM q JOIN n ON lower(n.name) = lower(query)) WHERE rn <= 20")(
-    lambda s, d: queries(s, d).withColumn("k", F.lower("query")).join(nodes(s, d).select(F.col("id").alias("node"), F.lower("name").alias("k")), "k").groupBy("qid").agg(
-        F.slice(F.array_sort(F.collect_set("node")), 1, 20).alias("m")).select("qid", F.explode("m").alias("node")))
+    lambda s, d: queries(s, d).withColumn("k", F.lower("query")).join(nodes(s, d).select(F.col("id").alias("node"), F.lower("name").alias("k")), "k").withColumn(
+        "rn", F.row_number().over(Window.partitionBy("qid").orderBy("node"))).filter("rn <= 20").select("qid", "node"))
 _KIND = "CASE lower(trim(kind)) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in S.KIND_BONUS.items()) + " ELSE 0 END"
 R.add("kind_bonus", f"WITH {N_SQL} SELECT id, {_KIND} AS bonus FROM n")(lambda s, d: nodes(s, d).select("id", S.kind_bonus().alias("bonus")))
 _NAME = """CASE WHEN lower(name) = lower(query) THEN 80 WHEN starts_with(lower(name), lower(query)) THEN CAST(round(10 + 30 * len(query) / len(name)) AS INTEGER)
  WHEN len(list_filter(regexp_split_to_array(lower(regexp_replace(query, '[_.-]', ' ', 'g')), '\\s+'), lambda t: len(t) >= 2)) > 1
   AND len(list_filter(list_filter(regexp_split_to_array(lower(regexp_replace(query, '[_.-]', ' ', 'g')), '\\s+'), lambda t: len(t) >= 2), lambda t: NOT contains(lower(name), t))) = 0 THEN 15
  WHEN contains(lower(name), lower(query)) THEN 10 ELSE 0 END"""
-R.add("name_match_bonus", f"WITH {N_SQL} SELECT r.id AS ref, n.id, {_NAME} AS bonus FROM (SELECT id, reference_name AS query, file_path FROM unresolved_refs) r JOIN n ON n.file_path = r.file_path")(
-    lambda s, d: refs(s, d).select(F.col("id").alias("ref"), F.col("reference_name").alias("query"), "file_path").join(nodes(s, d).select("id", "name", "file_path"), "file_path").select(
-        "ref", "id", S.name_match_bonus("name", "query").alias("bonus")))
+R.add("name_match_bonus", f"WITH {N_SQL} SELECT id, {_NAME} AS bonus FROM (SELECT id, name, string_split(qualified_name, '::')[1] AS query FROM n WHERE qualified_name <> '')")(
+    lambda s, d: nodes(s, d).filter("qualified_name <> ''").select("id", "name", F.substring_index("qualified_name", "::", 1).alias("query")).select("id", S.name_match_bonus("name", "query").alias("bonus")))
 _TERMS = "list_sort(list_distinct(list_filter(regexp_split_to_array(lower(trim(regexp_replace(regexp_replace({q}, '([A-Z])', ' \\1', 'g'), '[_.]', ' ', 'g'))), '\\s+'), lambda t: len(t) >= 3)))"
 R.add("search_terms", f"SELECT id, array_to_string({_TERMS.format(q='reference_name')}, ' ') AS terms FROM unresolved_refs")(
     lambda s, d: refs(s, d).select("id", F.array_join(S.search_terms(F.col("reference_name")), " ").alias("terms")))

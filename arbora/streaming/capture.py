@@ -159,9 +159,8 @@ def with_run_status(files: DataFrame, runs: DataFrame) -> DataFrame:
                       F.lead("started_at").over(Window.orderBy("started_at")).alias("next_at"))  # one row per run, a fixed number
     day = lambda c: F.floor(F.col(c) / DAY_MS)
     cut = span.select("*", F.explode(F.sequence(day("started_at"), F.coalesce(day("next_at"), day("started_at")))).alias("run_day"))
-    last = own.agg(F.floor(F.max("started_at") / DAY_MS).alias("last_day"))
-    last.createOrReplaceTempView("arbora_last_run_day")
-    keyed = files.withColumn("run_day", F.least(day("indexed_at"), F.expr("(SELECT last_day FROM arbora_last_run_day)")))
+    last = own.agg(F.floor(F.max("started_at") / DAY_MS).alias("last_day")).scalar()
+    keyed = files.withColumn("run_day", F.least(day("indexed_at"), last))
     return keyed.join(cut, "run_day").filter((F.col("started_at") <= F.col("indexed_at")) & (F.col("next_at").isNull() | (F.col("indexed_at") < F.col("next_at"))))
 
 

@@ -90,3 +90,28 @@ def test_probe_and_scan(spark, tmp_path):
         f.write_bytes(data)
     rows = L.scan_source_tree(spark, str(tmp_path), ("gen/*",)).collect()
     assert [(r["path"].rsplit("/", 1)[-1], r["language"], r["text"]) for r in rows] == [("a.py", "python", "x = 1\r\n")]
+
+
+def test_nested_route_tables():
+    text = """const routes: Routes = [
+      { path: '', redirectTo: 'home' },
+      { path: 'users', component: UsersComponent, canActivate: [AuthGuard], children: [{ path: ':id', component: UserComponent }, { path: '/abs', loadComponent: () => import('./x').then(m => m.Lazy) }] },
+    ];"""
+    assert [r[1:] for r in W.route_tables(text)] == [("/users", "UsersComponent", ["AuthGuard"]), ("/users/:id", "UserComponent", []), ("/abs", "Lazy", [])]
+
+
+def test_declarations():
+    ng = "@Component({ selector: 'a-b' })\nexport class AComponent { constructor(private s: UserService, @Inject(X) t: Token) {} z = inject(Store); }"
+    assert W.declarations("a.ts", ng) == [(1, "component", "AComponent", "angular")] and W.injected(ng) == ["UserService", "Token", "Store"]
+    assert ("component", "Card", "react") in [r[1:] for r in W.declarations("a.tsx", "export function Card(p) { return <div/>; }\nconst useX = () => 1;")]
+    assert [r[2] for r in W.declarations("src/routes/(app)/blog/[slug]/+server.ts", "export async function GET() {}")] == ["/blog/:slug", "GET /blog/:slug"]
+    assert W.page_route("server/api/users/[id].get.ts") == "/api/users/:id" and W.page_route("src/a.ts") is None
+    assert W.workspace_members('[workspace]\nmembers = ["a", "b/*"]\n[dependencies]\nx = { path = "../x" }\ny = "1"') == (["a", "b/*"], [("x", "../x")])
+
+
+def test_single_edit():
+    from arbora.extract.comments import single_edit
+
+    base = "line\n" * 50
+    assert single_edit(base, base.replace("line\n", "line\n", 1)[:100] + "X" + base[100:]) == (100, 100, 101)
+    assert single_edit(base, "other") is None and single_edit(base, base) == (250, 250, 250)
