@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.session import materialise
+
 # Names that stand for the language or its standard library.
 JS_NAMES = ("console window document global process Promise Array Object String Number Boolean Date Math JSON RegExp Error Map Set setTimeout setInterval clearTimeout "
             "clearInterval fetch require module exports __dirname __filename useState useEffect useContext useReducer useCallback useMemo useRef useLayoutEffect "
@@ -173,9 +175,9 @@ def edge_kind(ref_kind: Column) -> Column:
 
 def resolve(refs: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """(ref, source, target, kind, confidence, method): the first way that matches; below .3 nothing."""
-    n = candidates(nodes)
+    n = materialise(candidates(nodes), "candidates")  # every way reads both
     r = prepared(refs)
-    live = r.join(is_builtin(n, r).filter("NOT builtin").select("ref"), "ref", "left_semi").join(is_known(n, r), "ref", "left_semi")
+    live = materialise(r.join(is_builtin(n, r).filter("NOT builtin").select("ref"), "ref", "left_semi").join(is_known(n, r), "ref", "left_semi"), "live")
     ways = [("file_path", match_file_path(live, n, paths)), ("qualified", match_qualified(live, n)), ("method_call", match_method_call(live, n)),
             ("exact_name", match_exact_name(live, n)), ("fuzzy_lower", match_fuzzy_lower(live, n))]
     rows = None

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.session import materialise
+
 #: Column weights of the ranking (fixed values); the id counts for the length of a row only.
 WEIGHTS = {"id": 0.0, "name": 20.0, "qualified_name": 5.0, "docstring": 1.0, "signature": 2.0}
 K1, B = 1.2, 0.75
@@ -62,7 +64,7 @@ def term_hits(terms: DataFrame, posts: DataFrame) -> DataFrame:
 
 def bm25(queries: DataFrame, nodes: DataFrame, top: int) -> DataFrame:
     """(qid, node, score, rank): the ``top`` best nodes per query."""
-    posts = postings(nodes)
+    posts = materialise(postings(nodes), "postings")  # read three times below
     size = posts.groupBy("node").agg(F.sum("tf").alias("size"))
     mean, total = size.agg(F.avg("size").alias("m")).scalar(), size.agg(F.count(F.lit(1)).alias("t")).scalar()
     hits = term_hits(query_terms(queries), posts)
@@ -144,9 +146,9 @@ def path_relevance(path: str, query: str) -> Column:
 
 def search(queries: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
     """(qid, node, score, rank): BM25, else substrings, else near names; then the bonuses by kind, name and path."""
-    base = bm25(queries, nodes, max(5 * limit, 100)).select("qid", "node", "score")
+    base = materialise(bm25(queries, nodes, max(5 * limit, 100)).select("qid", "node", "score"), "ranked")
     rest = queries.join(base.select("qid").distinct(), "qid", "left_anti")
-    like = like_tiers(rest, nodes)
+    like = materialise(like_tiers(rest, nodes), "inside")
     rest2 = rest.join(like.select("qid").distinct(), "qid", "left_anti")
     near = fuzzy_names(rest2, nodes.select("name")).join(nodes.select("name", F.col("id").alias("node")), "name").select("qid", "node", (1.0 / (1 + F.col("distance"))).alias("score"))
     hits = base.unionByName(like).unionByName(near).groupBy("qid", "node").agg(F.max("score").alias("score"))

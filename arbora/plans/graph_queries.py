@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.operators import graph as G
+from arbora.plans.pipeline import _LINKS as LINKS_SQL
 from arbora.plans.registry import Registry
 from arbora.sources import tables as T
 
@@ -295,15 +296,12 @@ def type_hierarchy(s: SparkSession, d: str) -> DataFrame:
     return side("out", "above").unionByName(side("in", "below"))
 
 
-@R.add("ancestors", f"""WITH RECURSIVE {E_SQL}, link AS (SELECT target AS child, min(source) AS parent FROM e WHERE kind = 'contains' AND source IS NOT NULL AND target IS NOT NULL GROUP BY 1),
- u(node, ancestor, depth) AS (SELECT child, parent, 1 FROM link UNION SELECT u.node, link.parent, u.depth + 1 FROM u JOIN link ON link.child = u.ancestor WHERE u.depth < 60)
- SELECT node, ancestor FROM u GROUP BY 1, 2 HAVING node <> ancestor""")
+@R.add("ancestors", LINKS_SQL + "SELECT node_id AS node, unnest(list_slice(seen, 2, len(seen))) AS ancestor FROM found WHERE NOT looped")
 def ancestors(s: SparkSession, d: str) -> DataFrame:
-    from arbora.operators.hierarchy import contains_links
+    """The containment chain above every node; none for nodes on or below a cycle."""
+    from arbora.operators import hierarchy as H
 
-    links = contains_links(edges(s, d)).groupBy("child").agg(F.min("parent").alias("parent"))
-    r = G.reach(links.select(F.col("child").alias("src"), F.col("parent").alias("dst")), links.select(F.col("child").alias("seed")))
-    return r.filter("depth > 0 AND seed <> node").select(F.col("seed").alias("node"), F.col("node").alias("ancestor"))
+    return H.descendants(H.forest(H.contains_links(edges(s, d)), paths=True)).select(F.col("node_id").alias("node"), F.col("ancestor_id").alias("ancestor"))
 
 
 @R.add("sibling_anchors", f"""WITH {N_SQL}, {E_SQL}, link AS (SELECT target AS child, min(source) AS parent FROM e WHERE kind = 'contains' GROUP BY 1)
