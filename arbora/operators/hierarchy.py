@@ -24,7 +24,7 @@ from arbora.session import materialise
 
 SEP = " > "
 _FOREST = "node string, root string, steps int, cyclic boolean, trail string"
-#: Links that one merging task may hold (some 200 bytes each).
+#: Links that one merging task may hold (some 200 bytes each); a quarter of them where trails are kept.
 MERGE_ROWS = 1_000_000
 
 
@@ -137,7 +137,7 @@ def forest(links: DataFrame, paths: bool = False, merge_rows: int = MERGE_ROWS)
     tops = local.filter(~F.col("cyclic")).select(F.col("root").alias("node")).distinct()
     bridge = materialise(local.join(tops, "node", "left_semi"), "bridge")
     count = bridge.count()
-    if count <= merge_rows:
+    if count <= (merge_rows // 4 if paths else merge_rows):
         merged = bridge.coalesce(1).mapInPandas(_task(paths), _FOREST)
     else:
         merged = _merge_by_joins(bridge, count)

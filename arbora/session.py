@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -41,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if _OWN_DIR is None:
             _OWN_DIR = tempfile.mkdtemp(prefix="arbora-")
+            atexit.register(shutil.rmtree, _OWN_DIR, ignore_errors=True)
         named = "file://" + _OWN_DIR
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -64,8 +66,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def local_path(uri: str) -> str:
-    return uri[len("file://"):] if uri.startswith("file://") else uri
+def sweep(spark: SparkSession) -> None:
+    """Remove every table that ``materialise`` has written; results that still read them must be saved before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/arbora")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def join_uri(base: str, *parts: str) -> str:
@@ -81,13 +85,11 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="arbora-ship-")) / "arbora.zip"
+    folder = tempfile.mkdtemp(prefix="arbora-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "arbora.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, Path("arbora") / p.relative_to(root))
     sc.addPyFile(str(target))
     _SHIPPED.add(sc.applicationId)
-
-
-def env_int(name: str, default: int) -> int:
-    return int(os.environ.get(name, default))
