@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 
 from arbora.extract.comments import balanced, strip_comments
 from arbora.extract.languages import language_of
+from arbora.session import spread
 
 NODES = ("id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, end_line int, docstring string, signature string, "
          "is_exported boolean, is_async boolean")
@@ -206,4 +207,4 @@ def extracted(documents: DataFrame) -> DataFrame:
                 yield pd.DataFrame({c: pd.array(v, dtype="Int32") if c in ("start_line", "end_line", "line") else pd.array(v, dtype="boolean") if c.startswith("is_") else pd.Series(v, dtype="object")
                                     for c, v in columns.items()})
 
-    return documents.filter("path IS NOT NULL AND text IS NOT NULL").select("path", "text").mapInPandas(run, ROWS)
+    return spread(documents.filter("path IS NOT NULL AND text IS NOT NULL").select("path", "text")).mapInPandas(run, ROWS)

@@ -72,6 +72,15 @@ def sweep(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than there are cores is dealt out to all of them; any other is left alone.
+
+    For scans only (no shuffle below), where counting the splits costs nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.toJavaRDD().getNumPartitions() < cores else df
+
+
 def join_uri(base: str, *parts: str) -> str:
     return "/".join([base.rstrip("/"), *parts])
 
