@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.llm.batches import slices
+from arbora.session import spread
 
 #: Positions looked at are 1; six words each.
 MASKS = ("111111", "1110111", "1101111", "1111011", "11011011", "1011111", "1111101")
@@ -156,7 +157,7 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 20, block: int =
     spark = documents.sparkSession
     passages = own_passages(items).filter("item_id IS NOT NULL AND passage <> ''").dropDuplicates(["item_id"])
     out: DataFrame | None = None
-    docs = documents.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    docs = spread(documents.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL"))
     # The query set goes through the driver block by block; it is never held whole.
     rows: list[tuple[int, str]] = []
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.llm.batches import slices
+from arbora.session import spread
 from arbora.sources.tables import norm_hash
 
 _STRING = r'"""[\s\S]*?(?:"""|\Z)|"(?:\\.|[^"\\\n])*"?|`(?:\\.|[^`\\])*`?|\'(?:\\.|[^\'\\\n])*\''
@@ -161,7 +162,7 @@ def layouts(documents: DataFrame) -> DataFrame:
             rows = [judge(p, t, p.split("/")[2] if p.count("/") > 2 else "") for p, t in zip(pdf["path"], pdf["text"], strict=True)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
 
-    return documents.filter("path IS NOT NULL AND text IS NOT NULL").select("path", "text").mapInPandas(run, _SCHEMA)
+    return spread(documents.filter("path IS NOT NULL AND text IS NOT NULL").select("path", "text")).mapInPandas(run, _SCHEMA)
 
 
 def judged_files(files: DataFrame, documents: DataFrame, library_hashes: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.llm.batches import slices
-from arbora.session import materialise
+from arbora.session import materialise, spread
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that belongs to the vocabulary (a fixed, public value of its tokenizer).
@@ -85,7 +85,7 @@ def token_sizes(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> D
                 loss.append(rest)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "copy": pdf["copy"], "n_tokens": total, "n_loss": loss})
 
-    texts = documents.select("doc_id", F.monotonically_increasing_id().alias("copy"), "text").filter("doc_id IS NOT NULL AND text <> ''")
+    texts = spread(documents.select("doc_id", "text").filter("doc_id IS NOT NULL AND text <> ''")).select("doc_id", F.monotonically_increasing_id().alias("copy"), "text")
     return texts.mapInPandas(run, "doc_id long, copy long, n_tokens long, n_loss long").filter("n_tokens > 0")
 
 

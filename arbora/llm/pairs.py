@@ -29,7 +29,7 @@ from arbora.llm import gll
 from arbora.llm.batches import slices
 from arbora.llm.grammars import language_of
 from arbora.llm.syntax import Parser, parser
-from arbora.session import materialise
+from arbora.session import materialise, spread
 
 # ---------------------------------------------------------------- functions of a text
 
@@ -149,7 +149,7 @@ def extracted(documents: DataFrame, with_code: bool = True) -> DataFrame:
                 rows += [(path, n, s, a, b, "\n".join(parts[a - 1 : b]) if with_code else None) for n, s, a, b in functions(text, lang)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _FUNCTION.split(", ")])
 
-    return documents.filter("path IS NOT NULL AND text IS NOT NULL").select("path", "text").mapInPandas(run, _FUNCTION)
+    return spread(documents.filter("path IS NOT NULL AND text IS NOT NULL").select("path", "text")).mapInPandas(run, _FUNCTION)
 
 
 # ---------------------------------------------------------------- what a description says

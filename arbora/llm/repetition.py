@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.llm.batches import slices
-from arbora.session import materialise
+from arbora.session import materialise, spread
 
 PHRASE = 5
 _WORD = re.compile(r"\b[^\W\d]\w*")
@@ -109,7 +109,7 @@ def measures(documents: DataFrame) -> DataFrame:
         for pdf in slices(batches):
             yield measure_slice(pdf)
 
-    return documents.filter("doc_id IS NOT NULL").select("doc_id", "text", "repo").mapInPandas(run, _MEASURES)
+    return spread(documents.filter("doc_id IS NOT NULL").select("doc_id", "text", "repo")).mapInPandas(run, _MEASURES)
 
 
 def host_verdicts(measured: DataFrame, share: float = 0.3, rate: float = 0.5) -> DataFrame:
