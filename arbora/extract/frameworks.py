@@ -79,6 +79,8 @@ def routes(path: str, text: str) -> list[tuple]:
             end = balanced(src, c.end() - 1)
             for m in re.finditer(r"@(Get|Post|Put|Delete|Patch|Options|Head|All)\(\s*(?:['\"]([^'\"]*)['\"])?\s*\)\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:async\s+)?(\w+)\s*\(", src[c.end() : end if end > 0 else None]):
                 add(c.end() + m.start(), m[1], join_prefix(c[1] or "", m[2] or ""), m[3], "nestjs")
+        for m in re.finditer(r"@(MessagePattern|EventPattern|SubscribeMessage)\(\s*['\"]([^'\"]*)['\"]\s*\)\s*(?:async\s+)?(\w+)", src):
+            add(m.start(), {"MessagePattern": "MESSAGE", "EventPattern": "EVENT", "SubscribeMessage": "WS"}[m[1]], m[2], m[3], "nestjs")
         for m in re.finditer(r"\bpath\s*:\s*['\"]([^'\"]*)['\"]\s*,[^{}]*?\bcomponent\s*:\s*(\w+)", src):
             add(m.start(), "GET", join_prefix(m[1]), m[2], "router")
         if m := re.search(r"(?:^|/)(?:pages|app)/(.+)\.(?:jsx?|tsx?)$", path):
@@ -96,10 +98,10 @@ def routes(path: str, text: str) -> list[tuple]:
             add(m.start(), m[1], join_prefix(m[2]), f"{m[3]}#{m[4]}", "rails")
     elif language in ("java", "kotlin"):
         kinds = r"@(Get|Post|Put|Delete|Patch|Request)Mapping(?:\(\s*(?:(?:value|path)\s*=\s*)?\{?\s*(?:\"([^\"]*)\")?[^)]*\))?"
-        base = re.search(kinds + r"[\s\S]{0,300}?\bclass\s+\w+", src)
-        for m in re.finditer(kinds + r"\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:(?:public|private|protected|static|suspend|fun)\s+)*(?:[\w<>\[\], ?.]+\s+)?(\w+)\s*\(", src):
-            if not base or m.start() != base.start():
-                add(m.start(), m[1], join_prefix(base[2] or "" if base else "", m[2] or ""), m[3], "spring")
+        # A mapping on the class is a route of its own; it is not put before the routes of the methods.
+        for m in re.finditer(kinds, src):
+            method = re.compile(r"[\w<>\])\s]\s(\w+)\s*\([^;{}]*\)\s*(?:throws[^{;]*)?\{").search(src, m.end())
+            add(m.start(), m[1], join_prefix(m[2] or ""), method[1] if method else "", "spring")
     elif language == "go":
         groups = group_prefixes(src, r"(?P<var>\w+)\s*:=\s*(?P<parent>\w+)\.Group\(\s*\"(?P<sub>[^\"]*)\"")
         for m in re.finditer(r"\b(\w+)\.(GET|POST|PUT|DELETE|PATCH|OPTIONS|HEAD|Any|Handle|HandleFunc|Get|Post|Put|Delete|Patch)\(\s*\"([^\"]*)\"\s*,", src):
@@ -122,6 +124,8 @@ def routes(path: str, text: str) -> list[tuple]:
         for m in re.finditer(r"\b(\w+)\.Map(Get|Post|Put|Delete|Patch)\(\s*\"([^\"]*)\"\s*,", src):
             end = balanced(src, src.index("(", m.start()))
             add(m.start(), m[2], join_prefix(groups.get(m[1], ""), m[3]), _tail(src[m.end() : end - 1]) if end > 0 else "", "aspnet")
+        for m in re.finditer(r"\bMapHub<\s*([\w.]+)\s*>\(\s*\"([^\"]*)\"", src):
+            add(m.start(), "HUB", join_prefix(m[2]), m[1].split(".")[-1], "aspnet")
         for c in re.finditer(r"((?:\[(?:\"[^\"]*\"|[^\]\"])*\]\s*)*)(?:public\s+|sealed\s+|abstract\s+|partial\s+)*class\s+(\w+)[^{]*\{", src):
             base = re.search(r"\[Route\(\s*\"([^\"]*)\"", c[1])
             end = balanced(src, c.end() - 1)

@@ -199,3 +199,21 @@ def structural_implements(iface_methods: DataFrame, type_methods: DataFrame) ->
     have = type_methods.select("type_id", "name", "arity").distinct()
     got = need.join(have, ["name", "arity"]).filter("iface_id <> type_id").groupBy("type_id", "iface_id").agg(F.count(F.lit(1)).alias("n"))
     return got.join(size, "iface_id").filter("n = needed").select("type_id", "iface_id", F.when(F.col("needed") >= 2, 0.75).otherwise(0.55).alias("confidence"))
+
+
+#: What a name's last word says about it: kinds, the folder it is expected in, confidence there; .70 elsewhere.
+CONVENTIONS = (
+    ("Service", "/services/", 0.85), ("Repository", "/repositories/", 0.85), ("Controller", "/controllers/", 0.85), ("Store", "/stores/", 0.85),
+    ("Handler", "/handlers/", 0.80), ("Component", "/components/", 0.85), ("Module", "/modules/", 0.80), ("Guard", "/guards/", 0.85), ("Pipe", "/pipes/", 0.75), ("View", "/views/", 0.80), ("Job", "/jobs/", 0.80),
+)
+
+
+def by_convention(r: DataFrame, n: DataFrame) -> DataFrame:
+    """(ref, node, confidence): types found by the last word of the name, first in the folder that the word stands for."""
+    last = F.regexp_extract("name", r"([A-Z][a-z]+)$", 1)
+    folder = F.create_map(*[F.lit(x) for w, f, _ in CONVENTIONS for x in (w, f)])
+    sure = F.create_map(*[F.lit(x) for w, _, c in CONVENTIONS for x in (w, c)])
+    home = F.contains(F.col("file_path"), folder[last])
+    per = n.filter(F.col("kind").isin("class", "struct", "interface") & last.isin(*[c[0] for c in CONVENTIONS])).groupBy("name").agg(
+        F.min(F.struct((~F.coalesce(home, F.lit(False))).alias("away"), "node")).alias("m"))
+    return r.select("ref", "name").join(per, "name").select("ref", F.col("m.node").alias("node"), F.when(F.col("m.away"), 0.70).otherwise(sure[last]).alias("confidence"))

@@ -87,6 +87,14 @@ R.add("commit_resolved", f"{RESOLVED} SELECT ref, source, target, kind FROM reso
 R.add("refs_left", f"{RESOLVED} SELECT id, reference_name FROM unresolved_refs WHERE id NOT IN (SELECT ref FROM resolved)")(
     lambda s, d: refs(s, d).join(V.resolve(refs(s, d), nodes(s, d), files(s, d)).select(F.col("ref").alias("id")), "id", "left_anti").select("id", "reference_name"))
 
+_WORDS = _in([x[0] for x in V.CONVENTIONS])
+_LAST = "regexp_extract(name, '([A-Z][a-z]+)$', 1)"
+_HOME = "CASE " + " ".join(f"WHEN {_LAST} = '{w}' THEN contains(coalesce(file_path, ''), '{f}')" for w, f, _ in V.CONVENTIONS) + " END"
+_SURE = "CASE " + " ".join(f"WHEN {_LAST} = '{w}' THEN {c}" for w, _, c in V.CONVENTIONS) + " END"
+R.add("convention_lookup", f"""{_BASE}, t AS (SELECT name, node, {_HOME} AS home, {_SURE} AS sure, row_number() OVER (PARTITION BY name ORDER BY NOT {_HOME}, node) AS rn FROM c WHERE kind IN ('class', 'struct', 'interface') AND {_LAST} IN {_WORDS})
+ SELECT m.node AS ref, t.node, CASE WHEN t.home THEN t.sure ELSE 0.70 END::DOUBLE AS confidence FROM c m JOIN t ON t.name = string_split(m.qualified_name, '::')[1] WHERE t.rn = 1 AND m.kind = 'method'""")(
+    lambda s, d: V.by_convention(c(s, d).filter("kind = 'method'").select(F.col("node").alias("ref"), F.substring_index("qualified_name", "::", 1).alias("name")), c(s, d)))
+
 _ARITY = "CASE WHEN regexp_extract(m.signature, '^\\(([^)]*)\\)', 1) = '' THEN 0 ELSE len(string_split(regexp_extract(m.signature, '^\\(([^)]*)\\)', 1), ',')) END"
 _METHODS = f"""SELECT DISTINCT e.source AS owner, m.name, {_ARITY} AS arity FROM (SELECT DISTINCT source, target FROM edges WHERE lower(trim(kind)) = 'contains') e JOIN nodes m ON m.id = e.target
  JOIN nodes o ON o.id = e.source WHERE m.kind = 'method' AND m.signature IS NOT NULL AND o.kind"""

@@ -57,7 +57,10 @@ def test_unreadable_gives_the_file():
     ("a.py", "@r.get('/y')\nasync def y(): pass", ("GET", "/y", "y", "fastapi")),
     ("a.py", "urlpatterns = [path('a/', views.home)]", ("ANY", "/a", "home", "django")),
     ("r.rb", "  get '/a', to: 'users#show'", ("GET", "/a", "users#show", "rails")),
-    ("A.java", '@RequestMapping("/api") public class A { @GetMapping("/x") public String x(int a) { } }', ("GET", "/api/x", "x", "spring")),
+    ("A.java", '@RequestMapping("/api") public class A { @GetMapping("/x") public String x(int a) { } }', ("GET", "/x", "x", "spring")),
+    ("A.java", '@RequestMapping("/api") public class A { @GetMapping("/x") public String x(int a) { } }', ("ANY", "/api", "x", "spring")),
+    ("A.cs", 'app.MapHub<Chat.ChatHub>("/chat");', ("HUB", "/chat", "ChatHub", "aspnet")),
+    ("a.ts", "class E { @MessagePattern('sum') add(x) {} }", ("MESSAGE", "sum", "add", "nestjs")),
     ("a.go", 'v := r.Group("/v1")\nv.GET("/p", h.Ping)', ("GET", "/v1/p", "Ping", "go")),
     ("a.php", "Route::post('/a', [AController::class, 'store']);", ("POST", "/a", "store", "laravel")),
     ("a.swift", 'app.get("a", "b", use: c.list)', ("GET", "/a/b", "list", "vapor")),
