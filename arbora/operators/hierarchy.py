@@ -1,8 +1,8 @@
 """Parent-child links to full hierarchies.
 
 A weighted disjoint-set forest is kept per partition: every node points to the topmost node that the
-partition knows above it, with the number of steps to it (its root offset) and, if asked for, the ids on
-the way.  Only the links that cross partitions (a partition's root that is a child elsewhere) are merged
+partition knows above it, with the number of steps to it (its root offset), the least id passed over and,
+if asked for, the ids on the way.  Only the links that cross partitions (a partition's root that is a child elsewhere) are merged
 further, level by level: above ``merge_rows`` links by composing pointers with a join (each round merges
 pairs of levels, so log2(depth) rounds), below it in one indexed forest.  Nothing is collected.
 
@@ -23,13 +23,16 @@ from pyspark.sql import functions as F
 from arbora.session import materialise
 
 SEP = " > "
-_FOREST = "node string, root string, steps int, cyclic boolean, trail string"
+_FOREST = "node string, root string, steps int, cyclic boolean, least string, trail string"
 #: Links that one merging task may hold (some 200 bytes each); a quarter of them where trails are kept.
 MERGE_ROWS = 1_000_000
 
 
-def _compress(par: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Path compression of all nodes at once: (root pointer, root offset, on or below a cycle)."""
+def _compress(par: np.ndarray, weight: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Path compression of all nodes at once: (root pointer, root offset, least id passed over, on or below a cycle).
+
+    On a cycle the pointers go round at least once, so the least id passed over is that of the whole cycle.
+    """
     n = len(par)
     top = par < 0
     ptr = np.where(top, np.arange(n), par)
@@ -39,31 +42,17 @@ def _compress(par: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if np.array_equal(nxt, ptr):
             break
         off = off + off[ptr]
+        low = np.minimum(low, low[ptr])
         ptr = nxt
-    return ptr, off, ~top[ptr]
-
-
-def _cycle_names(par: np.ndarray, ptr: np.ndarray, looped: np.ndarray, names: np.ndarray) -> dict[int, str]:
-    """Smallest name of the cycle for each node on a cycle; every step is taken once."""
-    least: dict[int, str] = {}
-    for start in np.unique(ptr[looped]):
-        if start in least:
-            continue
-        ring, at = [int(start)], int(par[start])
-        while at != start:
-            ring.append(at)
-            at = int(par[at])
-        low = min(names[i] for i in ring)
-        least.update(dict.fromkeys(ring, low))
-    return least
+    return ptr, off, low, ~top[ptr]
 
 
 def _forest(pdf: pd.DataFrame, paths: bool) -> pd.DataFrame:
-    """Weighted forest of links (node, root, steps, cyclic, trail): each node's pointer goes to its top."""
+    """Weighted forest of links (node, root, steps, cyclic, least, trail): each node's pointer goes to its top."""
     n = len(pdf)
-    codes, names = pd.factorize(pd.concat([pdf["node"], pdf["root"]], ignore_index=True), sort=False)
+    codes, names = pd.factorize(pd.concat([pdf["node"], pdf["root"], pdf["least"]], ignore_index=True), sort=True)
     names = np.asarray(names, dtype=object)
-    child, up = codes[:n], codes[n:]
+    child, up = codes[:n], codes[n : 2 * n]
     par = np.full(len(names), -1, dtype=np.int64)
     weight = np.zeros(len(names), dtype=np.int64)
     done = pdf["cyclic"].to_numpy(dtype=bool)
@@ -71,13 +60,12 @@ def _forest(pdf: pd.DataFrame, paths: bool) -> pd.DataFrame:
     weight[child[~done]] = pdf["steps"].to_numpy()[~done]
     known = np.full(len(names), None, dtype=object)
     known[child[done]] = pdf["root"].to_numpy()[done]
-    ptr, off, looped = _compress(par, weight)
+    low = np.arange(len(names))  # codes are in the order of the names
+    low[child] = codes[2 * n :]
+    ptr, off, low, looped = _compress(par, weight, low)
     root = names[ptr]
     bad = looped.copy()
-    if looped.any():
-        least = _cycle_names(par, ptr, looped, names)
-        for i in np.flatnonzero(looped):
-            root[i] = least[int(ptr[i])]
+    root[looped] = names[low[ptr[looped]]]
     for i in np.flatnonzero([known[p] is not None for p in ptr]) if done.any() else ():
         if not looped[i]:
             root[i], bad[i] = known[ptr[i]], True
@@ -98,7 +86,7 @@ def _forest(pdf: pd.DataFrame, paths: bool) -> pd.DataFrame:
         trail = [full[i] for i in child]
     return pd.DataFrame({
         "node": pdf["node"].to_numpy(), "root": root[child], "steps": np.where(bad[child], 0, off[child]).astype("int32"),
-        "cyclic": bad[child], "trail": trail,
+        "cyclic": bad[child], "least": names[low[child]], "trail": trail,
     })
 
 
@@ -131,7 +119,7 @@ def forest(links: DataFrame, paths: bool = False, merge_rows: int = MERGE_ROWS)
     one = clean.groupBy("child").agg(F.min("parent").alias("parent"))
     start = one.select(
         F.col("child").alias("node"), F.col("parent").alias("root"), F.lit(1).alias("steps"), F.lit(False).alias("cyclic"),
-        (F.col("child") if paths else F.lit(None).cast("string")).alias("trail"),
+        F.col("child").alias("least"), (F.col("child") if paths else F.lit(None).cast("string")).alias("trail"),
     )
     local = materialise(start.mapInPandas(_task(paths), _FOREST), "forest")
     tops = local.filter(~F.col("cyclic")).select(F.col("root").alias("node")).distinct()
@@ -165,7 +153,7 @@ def _merge_by_joins(bridge: DataFrame, count: int) -> DataFrame:
     a cycle, and ``least`` of a node on the cycle has seen all of it.  Trails are composed afterwards, only
     for nodes that are known to end at a root.
     """
-    now = bridge.select("node", "root", "steps", "cyclic", F.col("node").alias("least"))
+    now = bridge.select("node", "root", "steps", "cyclic", "least")
     for _ in range(max(1, count.bit_length()) + 1):
         up = now.select(F.col("node").alias("root"), F.col("root").alias("r2"), F.col("steps").alias("s2"),
                         F.col("cyclic").alias("c2"), F.col("least").alias("l2"))

@@ -42,6 +42,18 @@ def test_random_forests_with_cycles(spark, merge_rows):
     assert rows(H.forest(df, merge_rows=merge_rows)) == brute(links)
 
 
+@pytest.mark.parametrize("merge_rows", [10**6, 0])
+def test_cycles_over_partitions(spark, merge_rows):
+    links = [(f"r{k:02}n{i:02}", f"r{k:02}n{(i * 7 + 7) % 23:02}" if i * 7 % 23 else f"r{k:02}n07") for k in range(30) for i in range(23)]
+    links += [(f"a{k:02}", f"r{k:02}n05") for k in range(30)]  # smaller than any id of the cycle that it hangs on
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert rows(H.forest(spark.createDataFrame(links, LINKS), merge_rows=merge_rows)) == brute(links)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+
+
 @pytest.mark.parametrize("merge_rows", [10**6, 0])
 def test_long_chain_with_paths(spark, merge_rows):
     links = [(f"c{i:03}", f"c{i - 1:03}") for i in range(1, 150)] + [("a", "b"), ("b", "a"), ("c", "a")]
