@@ -1,6 +1,7 @@
 """The table function from source texts to nodes, contains edges and references.
 
-Python is read through its own syntax tree; the other languages by a scan of comment-free text that follows
+Python is read through its own syntax tree, and logical line by logical line where the whole is no valid Python, so
+that an error costs its own line only; the other languages by a scan of comment-free text that follows
 their declaration words and matches brackets (lower fidelity than a full parser, and it says so).  A file
 that cannot be read still gives its file node.  One row in, many rows out, so it runs as ``mapInPandas``.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 import ast
 import bisect
 import hashlib
+import inspect
 import re
 from collections.abc import Iterator
 
@@ -70,31 +72,118 @@ class Rows:
 
 
 def _python(text: str, out: Rows) -> None:
-    def walk(body: list[ast.stmt], parent: str, scope: list[str], in_class: bool) -> None:
-        for s in body:
-            if isinstance(s, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
-                kind = "class" if isinstance(s, ast.ClassDef) else "method" if in_class else "function"
-                signature = None if kind == "class" else f"({ast.unparse(s.args)})" + (f" -> {ast.unparse(s.returns)}" if s.returns else "")
-                key = out.node(kind, s.name, "::".join([*scope, s.name]), s.lineno, s.end_lineno or s.lineno, parent, ast.get_docstring(s), signature, not s.name.startswith("_"), isinstance(s, ast.AsyncFunctionDef))
-                if isinstance(s, ast.ClassDef):
-                    for b in s.bases:
-                        out.ref(key, ast.unparse(b).split("[")[0], "extends", s.lineno)
-                walk(s.body, key, [*scope, s.name], isinstance(s, ast.ClassDef))
-                continue
-            if isinstance(s, ast.Import | ast.ImportFrom):
-                for name in [s.module or "."] if isinstance(s, ast.ImportFrom) else [a.name for a in s.names]:
-                    out.ref(parent, name, "imports", s.lineno)
-            elif isinstance(s, ast.Assign) and parent == out.file:
-                for t in s.targets:
-                    if isinstance(t, ast.Name):
-                        out.node("constant" if t.id.isupper() else "variable", t.id, t.id, s.lineno, s.end_lineno or s.lineno, parent)
-            for x in ast.walk(s):
-                if isinstance(x, ast.Call):
-                    name = x.func.id if isinstance(x.func, ast.Name) else x.func.attr if isinstance(x.func, ast.Attribute) else None
-                    if name:
-                        out.ref(parent, name, "calls", x.lineno)
-
-    walk(ast.parse(text).body, out.file, [], False)
+    _walk(ast.parse(text).body, out, out.file, [], False)
+
+
+def _walk(body: list[ast.stmt], out: Rows, parent: str, scope: list[str], in_class: bool, shift: int = 0, top: bool = True) -> str | None:
+    """The rows of statements, ``shift`` lines further down in the file; the id of the last definition."""
+    key = None
+    for s in body:
+        line, end = s.lineno + shift, (s.end_lineno or s.lineno) + shift
+        if isinstance(s, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
+            kind = "class" if isinstance(s, ast.ClassDef) else "method" if in_class else "function"
+            signature = None if kind == "class" else f"({ast.unparse(s.args)})" + (f" -> {ast.unparse(s.returns)}" if s.returns else "")
+            key = out.node(kind, s.name, "::".join([*scope, s.name]), line, end, parent, ast.get_docstring(s), signature, not s.name.startswith("_"), isinstance(s, ast.AsyncFunctionDef))
+            if isinstance(s, ast.ClassDef):
+                for b in s.bases:
+                    out.ref(key, ast.unparse(b).split("[")[0], "extends", line)
+            _walk(s.body, out, key, [*scope, s.name], isinstance(s, ast.ClassDef), shift)
+            continue
+        if isinstance(s, ast.Import | ast.ImportFrom):
+            for name in [s.module or "."] if isinstance(s, ast.ImportFrom) else [a.name for a in s.names]:
+                out.ref(parent, name, "imports", line)
+        elif isinstance(s, ast.Assign) and parent == out.file and top:
+            for t in s.targets:
+                if isinstance(t, ast.Name):
+                    out.node("constant" if t.id.isupper() else "variable", t.id, t.id, line, end, parent)
+        for x in ast.walk(s):
+            if isinstance(x, ast.Call):
+                name = x.func.id if isinstance(x.func, ast.Name) else x.func.attr if isinstance(x.func, ast.Attribute) else None
+                if name:
+                    out.ref(parent, name, "calls", x.lineno + shift)
+    return key
+
+
+_PY_TOKEN = re.compile(r"""(?P<skip>\#[^\n]*|\\\n)|(?P<str>\"{3}(?:\\[\s\S]|[^\\])*?\"{3}|'{3}(?:\\[\s\S]|[^\\])*?'{3}|(?!\"{3}|'{3})(?:"(?:\\[\s\S]|[^"\\\n])*"|'(?:\\[\s\S]|[^'\\\n])*'))|"""
+                       r"""(?P<lost>\"{3}|'{3})|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<nl>\n)|(?P<word>\w+)|(?P<rest>[^\s])""")
+#: Words that begin a line and never stand first in a line inside brackets: a bracket before them has lost its end.
+_PY_LINE = re.compile(r"[ \t]*(?:(?:async[ \t]+)?def[ \t]+\w+[ \t]*\(|class[ \t]+\w+[ \t]*[(:]|(?:return|import|while|try|raise|with|pass|del|global|assert|break|continue)\b(?![ \t]*[=,.)]))")
+#: What makes a head that cannot stand alone a whole statement: (before it, after it).
+_PY_HEADS = {"elif": ("if 0: pass\n", " pass"), "except": ("try: pass\n", " pass"), "case": ("match 0:\n ", " pass"), "match": ("", "\n case _: pass")}
+
+
+def _logical_lines(text: str) -> Iterator[tuple[int, int, int]]:
+    """(indent, start, end) of each logical line; what was never closed ends before the next line that must be one."""
+    pos, start, stop, depth = 0, -1, 0, 0
+    indent = lambda at: len(text[text.rfind("\n", 0, at) + 1 : at].expandtabs(8))
+    while m := _PY_TOKEN.search(text, pos):
+        pos, sort = m.end(), m.lastgroup
+        if sort == "skip":
+            continue
+        if sort == "nl":
+            if start >= 0 and (not depth or _PY_LINE.match(text, pos)):
+                yield indent(start), start, stop
+                start, depth = -1, 0
+            continue
+        if start < 0:
+            start = m.start()
+        if sort == "lost":  # a text in quotes without an end: up to the next definition that stands no deeper
+            most = indent(start)
+            at = pos
+            while (at := text.find("\n", at)) >= 0:
+                at += 1
+                d = _PY_LINE.match(text, at)
+                if d and d[0].rstrip().endswith(("(", ":")) and len(d[0].expandtabs(8)) - len(d[0].expandtabs(8).lstrip()) <= most:
+                    break
+            pos = len(text) if at < 0 else at - 1
+            depth = 0
+        elif sort == "open":
+            depth += 1
+        elif sort == "close":
+            depth = max(0, depth - 1)
+        stop = pos
+    if start >= 0:
+        yield indent(start), start, stop
+
+
+def _python_lines(text: str, out: Rows) -> None:
+    """Rows of a text that is no valid Python as a whole: each logical line is parsed by itself."""
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    # Blocks that are open: indent, row of the definition, id, scope, whether it is a class, whether its body has begun.
+    blocks: list[list] = []
+    for indent, start, end in _logical_lines(text):
+        first, last = bisect.bisect_left(breaks, start), bisect.bisect_left(breaks, end - 1) + 1
+        while blocks and indent <= blocks[-1][0]:
+            blocks.pop()
+        for b in blocks:
+            if b[1] is not None:
+                b[1]["end_line"] = last
+        parent, scope, in_class = blocks[-1][2:5] if blocks else (out.file, [], False)
+        code = text[start:end]
+        word = re.match(r"\w*", code)[0]
+        head = code.endswith(":") and word not in ("lambda", "")
+        before, after = _PY_HEADS.get(word, ("", " pass")) if head else (_PY_HEADS[word][0] if word in ("elif", "except", "case") else "", "")
+        k, key = len(out.rows), None
+        try:
+            if head and word in ("try", "else", "finally") or word == "" and code.startswith("@"):
+                body = []
+            else:
+                body = ast.parse(before + code + after).body
+            key = _walk(body, out, parent, scope, in_class, first - before.count("\n"), not blocks)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            del out.rows[k:]
+            body = []
+        if blocks and not blocks[-1][5]:
+            blocks[-1][5] = True
+            if blocks[-1][1] is not None and len(body) == 1 and isinstance(body[0], ast.Expr) and isinstance(body[0].value, ast.Constant) and isinstance(body[0].value.value, str):
+                blocks[-1][1]["docstring"] = inspect.cleandoc(body[0].value.value)[:2000] or None
+        if head:
+            if key is not None:
+                row = out.rows[k]
+                blocks.append([indent, row, key, [*scope, row["name"]], row["kind"] == "class", False])
+            else:  # a branch belongs to its surroundings; so does the body of a head that cannot be read
+                blocks.append([indent, None, parent, scope, in_class and word not in ("def", "async", "class"), False])
 
 
 def _braces(text: str, language: str, out: Rows) -> None:
@@ -178,12 +267,16 @@ def _braces(text: str, language: str, out: Rows) -> None:
 
 
 def extract(path: str, text: str) -> list[dict]:
-    """All rows of one file; only the file node where the text cannot be read as its language."""
+    """All rows of one file; only the file node where nothing of the text can be read as its language."""
     language = language_of(path) or "unknown"
     out = Rows(path, language, text.count("\n") + 1)
     try:
         if language == "python":
-            _python(text, out)
+            try:
+                _python(text.removeprefix("\ufeff"), out)
+            except (SyntaxError, ValueError, RecursionError, MemoryError):
+                out.rows = out.rows[:1]
+                _python_lines(text.removeprefix("\ufeff"), out)
         elif language in ("vue", "svelte", "razor", "liquid", "dfm"):
             from arbora.extract.templates import extract_template
 

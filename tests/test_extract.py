@@ -44,6 +44,28 @@ def test_extract(path, text, nodes, references):
     assert all(r["source"] in ids and r["target"] in ids for r in out if r["sort"] == "edge")
 
 
+SOUND = "import os\nclass A(Base):\n    'doc'\n    @deco\n    def f(self, x: int = 1) -> int:\n        \"\"\"of\n        f\"\"\"\n        if x:  # why\n            return g(x,\n                     h(x))\n        elif k(x):\n            pass\n    async def n(self): return m()\nLIMIT = 1\n"
+
+
+@pytest.mark.parametrize("error", ["print 'x'\n", "x = (1,\n", "s = 'a\n", "x = )\n", "    y = 1\n", "<<<<<<< HEAD\n", "def (\n", "t = \"\"\"never closed\n"])
+def test_a_syntax_error_costs_its_own_line(error):
+    want = extract("/a.py", SOUND)[1:]
+    after = extract("/a.py", SOUND + error)[1:]
+    assert all(r in after for r in want)
+    if error.startswith("t ="):  # it ends at the next such quotes, as in every lexer
+        return
+    before = extract("/a.py", error + SOUND)[1:]
+    shift = lambda r: {k: v + 1 if k in ("start_line", "end_line", "line") else v for k, v in r.items() if k not in ("id", "source", "target")}
+    got = [{k: v for k, v in r.items() if k not in ("id", "source", "target")} for r in before]
+    assert all(r in got for r in map(shift, want))
+
+
+def test_nested_definitions_of_a_broken_text():
+    out = extract("/a.py", "class A:\n  def f(self):\n    def g(): pass\n    print 'x'\n  def h(self): pass\nclass B\n  pass\n")
+    assert {(r["kind"], r["qualified_name"], r["start_line"], r["end_line"]) for r in out if r["sort"] == "node" and r["kind"] != "file"} == {
+        ("class", "A", 1, 5), ("method", "A::f", 2, 4), ("function", "A::f::g", 3, 3), ("method", "A::h", 5, 5)}
+
+
 def test_unreadable_gives_the_file():
     assert [r["kind"] for r in extract("/a.py", "def (")] == ["file"]
     assert [r["kind"] for r in extract("/a.unknown", "x")] == ["file"]
