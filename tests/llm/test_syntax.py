@@ -78,6 +78,20 @@ def test_broken(lang, text):
     assert cost > 0 and kind and line > 0
 
 
+NAMES = [f"N{i}" for i in range(30)]
+
+
+@pytest.mark.parametrize(("lang", "text"), [
+    ("java", "enum E { " + ", ".join(NAMES) + " }\n"),
+    ("java", "enum E { " + ", ".join(f"{n}({i})" for i, n in enumerate(NAMES)) + " }\n"),
+    ("go", "package a\n\ntype I interface {\n" + "".join(f"\t{n}\n" for n in NAMES) + "}\n"),
+    ("go", "package a\n\ntype S struct {\n" + "".join(f"\tp.{n}\n" for n in NAMES) + "}\n"),
+    ("go", "package a\n\ntype I interface {\n" + "".join(f"\t{n}()\n" for n in NAMES) + "}\n"),
+])
+def test_long_bodies_keep_every_reading(lang, text):
+    assert syntax.judge(text, lang)[0] == 0
+
+
 def test_kinds_of_fault():
     body = "".join(f"def f{i}(a):\n    return a + {i}\n\n" for i in range(12))
     assert syntax.judge(body + "def g(a):\n    return [", "python")[1] == "truncation"
