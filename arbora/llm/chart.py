@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 _PART = re.compile(r"'[^']+'|[PSB]:\w+|\w+|[|()?*+]")
 
@@ -96,6 +97,46 @@ def accepts(g: Grammar, start: str, tokens: list[frozenset[str]]) -> bool:
     return least_edits(g, start, tokens, 0) == 0
 
 
+def ends(g: Grammar, start: str, tokens: list[frozenset[str]], begin: int) -> Iterator[int]:
+    """The ends of all pieces from ``begin`` that are a ``start`` without any edit; reads on only while one can still go on."""
+    rules, alts, n = g.rules, g.alts, len(tokens)
+    waiting: list[dict[str, set[tuple]]] = []
+    there: set[tuple] = {(start, a, 0, begin) for a, first, empty in alts[start] if empty or begin < n and not first.isdisjoint(tokens[begin])}
+    pos = begin
+    while there:
+        token = tokens[pos] if pos < n else frozenset()
+        here, there = there, set()
+        waits: dict[str, set[tuple]] = {}
+        waiting.append(waits)
+        done: set[tuple[str, int]] = set()
+        begun = {start} if pos == begin else set()
+        queue = list(here)
+        while queue:
+            item = queue.pop()
+            name, alt, dot, origin = item
+            new: list[tuple] = []
+            if dot == len(alt):
+                if (name, origin) not in done:
+                    done.add((name, origin))
+                    new = [(w[0], w[1], w[2] + 1, w[3]) for w in waiting[origin - begin].get(name, ())]
+            elif (sym := alt[dot]) in rules:
+                waits.setdefault(sym, set()).add(item)
+                if sym not in begun:
+                    begun.add(sym)
+                    new = [(sym, a, 0, pos) for a, first, empty in alts[sym] if empty or not first.isdisjoint(token)]
+                if (sym, pos) in done:
+                    new.append((name, alt, dot + 1, origin))
+            elif sym in token:
+                there.add((name, alt, dot + 1, origin))
+            for x in new:
+                if x not in here:
+                    here.add(x)
+                    queue.append(x)
+        if (start, begin) in done:
+            yield pos
+        pos += 1
+
+
 def least_edits(g: Grammar, start: str, tokens: list[frozenset[str]], budget: int) -> int | None:
     """The least number of edits that make the tokens a ``start``, or None if more than ``budget``.
 

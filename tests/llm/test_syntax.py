@@ -3,7 +3,7 @@ import itertools
 import pytest
 
 from arbora.llm import gll, syntax
-from arbora.llm.chart import Grammar, accepts, least_edits
+from arbora.llm.chart import Grammar, accepts, ends, least_edits
 
 G = Grammar("""
 s = e ';'?
@@ -92,6 +92,24 @@ def test_long_bodies_keep_every_reading(lang, text):
     assert syntax.judge(text, lang)[0] == 0
 
 
+@pytest.mark.parametrize(("lang", "text"), [
+    ("javascript", "".join(f"export * from './m{i}'\n" for i in range(300))),
+    ("typescript", "type T =\n" + "".join(f"  | 'a{i}'\n" for i in range(40)) + "const x = 1\n"),
+    ("javascript", "const x = a\n" + "".join(f"  .f{i}(1)\n" for i in range(200)) + "let y = 2\nz()\n"),
+])
+def test_line_ends_serve_at_every_length(lang, text):
+    assert syntax.judge(text, lang)[0] == 0
+    assert syntax.judge(text + "let = = 1\n", lang)[0] > 0
+
+
+def test_prefixes_against_the_chart():
+    for n in range(6):
+        for w in itertools.product(ALPHABET, repeat=n):
+            t = tokens(*w)
+            for begin in range(n + 1):
+                assert set(ends(G, "s", t, begin)) == {e for e in range(begin, n + 1) if accepts(G, "s", t[begin:e])}
+
+
 def test_kinds_of_fault():
     body = "".join(f"def f{i}(a):\n    return a + {i}\n\n" for i in range(12))
     assert syntax.judge(body + "def g(a):\n    return [", "python")[1] == "truncation"
