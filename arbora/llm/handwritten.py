@@ -50,6 +50,7 @@ _NOTICE = re.compile(r"(?:" + "|".join(GENERATOR_NOTICES) + r")", re.I)
 _VERSIONED = re.compile(r"\b[\w.@/-]*[A-Za-z][\w.@/-]*\s*(?:-\s*)?(?:at\s+)?(?:version|tag|v\.?)?\s*v?\d+\.\d+", re.I)
 _THIRD = re.compile(
     r"licen[cs]e|permission is hereby|upstream|\(c\)|copyright|distributed under|maintainers|all rights reserved", re.I)
+_LICENCE = re.compile(r"(?:\W*(?:the|apache|gnu|mozilla|public|general|lesser|affero|boost|software|eclipse|creative|commons|licen[cs]e|[al]?gpl|mpl|epl|bsl|cc|mit|bsd|spdx[\w-]*))*\W*(?:version|v)?\W*\d|version\b|v?\d", re.I)
 _OWNER = re.compile(r"(?:copyright(?: \(c\))?|\(c\))\s+(?:\d{4}(?:\s*[-,]\s*\d{4})?,?\s+)?(?:the\s+)?([\w.-]+)\s+(?:authors|project|team|contributors|developers)|"
                     r"\bpart of\s+(?:the\s+)?([\w.-]+)", re.I)
 
@@ -69,7 +70,7 @@ def top_comment(text: str) -> list[str]:
     """The comment lines before any code, without their marks."""
     out: list[str] = []
     block = False
-    for line in text.lstrip("﻿").splitlines()[:60]:
+    for line in text.lstrip("﻿").splitlines():
         s = line.strip()
         starts = s.startswith(("/*", "<!--"))
         if not s and not block:
@@ -91,18 +92,19 @@ def top_comment(text: str) -> list[str]:
 
 def signed_by(text: str, repo: str) -> tuple[bool, bool]:
     """(a generator's notice is on top, another project's header is on top)."""
-    lines = top_comment(text)[:12]
+    lines = top_comment(text)
     notice = any(_NOTICE.match(line) for line in lines)
-    head = " ".join(lines[:6])
     foreign = False
     own = re.sub(r"[^a-z0-9]", "", repo.lower())
-    for line in lines[:6]:
+    for line in lines:
         for m in _OWNER.finditer(line):
             who = re.sub(r"[^a-z0-9]", "", (m[1] or m[2] or "").lower())
             foreign |= bool(who) and who != own and who not in ("project", "this", "the")
-    if not notice and lines and _VERSIONED.search(" ".join(lines[:2])) and _THIRD.search(head):
-        named = re.sub(r"[^a-z0-9]", "", " ".join(lines[:2]).lower())
-        foreign |= not own or own not in named
+    if not notice and lines and _THIRD.search(" ".join(lines)):
+        # Further down a component's name and version begin their line, as prose and licences have versions, too.
+        named = [" ".join(lines[:2])] if _VERSIONED.search(" ".join(lines[:2])) else []
+        named += [line for line in lines[2:] if _VERSIONED.match(line) and not _LICENCE.match(line)]
+        foreign |= any(not own or own not in re.sub(r"[^a-z0-9]", "", line.lower()) for line in named)
     return notice, foreign
 
 

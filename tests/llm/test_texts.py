@@ -167,3 +167,17 @@ def test_found_files(spark):
     got = {r[0] for r in H.found(spark.createDataFrame(files, f), d, libs).collect()}
     assert got == {"/w/r/lib.go", "/w/r/vendor/a/b.go", "/w/r/dist/x.js", "/w/r/a_pb2.py", "/w/r/x.min.js", "/w/r/zz_generated.a_b.go"}
     assert H.found(spark.createDataFrame([], f), d, libs).count() == 0 and H.found(spark.createDataFrame(files, f), d.limit(0), libs.limit(0)).count() == 5
+
+
+def test_signatures_after_a_long_licence():
+    from arbora.llm.handwritten import signed_by
+
+    licence = "".join(f"// {x}\n" for x in ["MIT License", "", *(f"Permission is hereby granted, clause {i}" for i in "abcdefghijklmnopqrst"), "Apache License, Version 2.0"])
+    code = "\npackage a\n"
+    assert signed_by(licence + code, "mine") == (False, False)
+    assert signed_by(licence + "\n// Code generated by protoc-gen-go. DO NOT EDIT." + code, "mine") == (True, False)
+    assert signed_by("//\n// x\n" * 80 + "// Code generated by stringer. DO NOT EDIT." + code, "mine")[0]
+    assert signed_by(licence + "// Copyright (c) 2020 The Other Authors" + code, "mine") == (False, True)
+    assert signed_by(licence + "// leftpad v1.3.0" + code, "mine") == (False, True)
+    assert signed_by(licence + "// mine v1.3.0\n// Requires Python 3.8" + code, "mine") == (False, False)
+    assert signed_by(licence + code + "// Code generated by x. DO NOT EDIT.\n", "mine") == (False, False)
