@@ -110,6 +110,16 @@ def test_prefixes_against_the_chart():
                 assert set(ends(G, "s", t, begin)) == {e for e in range(begin, n + 1) if accepts(G, "s", t[begin:e])}
 
 
+def test_costs_do_not_hang_on_earlier_texts():
+    lines = [f"x = a {'+ b ' * i}c d\n" for i in range(1, 10)]
+    text = "".join(lines)
+    alone = sum(f.cost for f in syntax.Parser(syntax.language("python")).check(text))
+    p = syntax.Parser(syntax.language("python"))
+    for line in lines:
+        p.check(line)
+    assert sum(f.cost for f in p.check(text)) == alone
+
+
 def test_kinds_of_fault():
     body = "".join(f"def f{i}(a):\n    return a + {i}\n\n" for i in range(12))
     assert syntax.judge(body + "def g(a):\n    return [", "python")[1] == "truncation"
