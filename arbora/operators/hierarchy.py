@@ -1,10 +1,18 @@
 """Parent-child links to full hierarchies.
 
-A weighted disjoint-set forest is kept per partition: every node points to the topmost node that the
-partition knows above it, with the number of steps to it (its root offset), the least id passed over and,
-if asked for, the ids on the way.  Only the links that cross partitions (a partition's root that is a child elsewhere) are merged
-further, level by level: above ``merge_rows`` links by composing pointers with a join (each round merges
-pairs of levels, so log2(depth) rounds), below it in one indexed forest.  Nothing is collected.
+1. Every child gets one parent, and links that stood close together in the input are put into blocks of about
+   ``BLOCK_LINKS`` links.  Each block becomes a weighted disjoint-set forest: a node points to the topmost node
+   that its block knows above it, with the number of steps to it (its root offset), the least id passed over
+   and, if asked for, the ids on the way.
+2. Only the links that cross blocks (a block's top that is a child in another block) are merged further, level
+   by level: each level composes every open pointer with the pointer of the node it ends at, so that after r
+   levels it spans 2**r blocks.  A pointer that ends at a root is settled and takes no further part.
+3. When a level settles nothing, what is still open lies on or below cycles (of the open nodes nearest to a
+   root, some would have settled).  Their pointers go on until they all end on cycles and the least ids have
+   gone round.
+4. The blocks' pointers meet the merged ones, which gives root, depth and path of every node.
+
+One way for every size: nothing is collected, no task holds more than a block or a shuffle partition.
 
 Defined results for dirty input: links with a null end are ignored; repeated links count once; of two
 parents of one child the smaller id wins; a node that contains itself is a cycle of one; an empty table
@@ -13,8 +21,6 @@ gives an empty result; other columns of the input are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,11 +30,11 @@ from arbora.session import materialise
 
 SEP = " > "
 _FOREST = "node string, root string, steps int, cyclic boolean, least string, trail string"
-#: Links that one merging task may hold (some 200 bytes each); a quarter of them where trails are kept.
-MERGE_ROWS = 1_000_000
+#: Links that one block holds at most before repeated ones are folded, as a power of two (some 200 bytes a link).
+BLOCK_BITS = 16
 
 
-def _compress(par: np.ndarray, weight: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _compress(par: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Path compression of all nodes at once: (root pointer, root offset, least id passed over, on or below a cycle).
 
     On a cycle the pointers go round at least once, so the least id passed over is that of the whole cycle.
@@ -36,7 +42,7 @@ def _compress(par: np.ndarray, weight: np.ndarray, low: np.ndarray) -> tuple[np.
     n = len(par)
     top = par < 0
     ptr = np.where(top, np.arange(n), par)
-    off = np.where(top, 0, weight).astype(np.int64)
+    off = np.where(top, 0, 1).astype(np.int64)
     for _ in range(max(1, int(n).bit_length()) + 1):
         nxt = ptr[ptr]
         if np.array_equal(nxt, ptr):
@@ -48,59 +54,34 @@ def _compress(par: np.ndarray, weight: np.ndarray, low: np.ndarray) -> tuple[np.
 
 
 def _forest(pdf: pd.DataFrame, paths: bool) -> pd.DataFrame:
-    """Weighted forest of links (node, root, steps, cyclic, least, trail): each node's pointer goes to its top."""
+    """Weighted forest of links (child, parent), one per child: each child's pointer goes to its top."""
     n = len(pdf)
-    codes, names = pd.factorize(pd.concat([pdf["node"], pdf["root"], pdf["least"]], ignore_index=True), sort=True)
+    codes, names = pd.factorize(pd.concat([pdf["child"], pdf["parent"]], ignore_index=True), sort=True)
     names = np.asarray(names, dtype=object)
-    child, up = codes[:n], codes[n : 2 * n]
+    child, up = codes[:n], codes[n:]
     par = np.full(len(names), -1, dtype=np.int64)
-    weight = np.zeros(len(names), dtype=np.int64)
-    done = pdf["cyclic"].to_numpy(dtype=bool)
-    par[child[~done]] = up[~done]
-    weight[child[~done]] = pdf["steps"].to_numpy()[~done]
-    known = np.full(len(names), None, dtype=object)
-    known[child[done]] = pdf["root"].to_numpy()[done]
-    low = np.arange(len(names))  # codes are in the order of the names
-    low[child] = codes[2 * n :]
-    ptr, off, low, looped = _compress(par, weight, low)
-    root = names[ptr]
-    bad = looped.copy()
-    root[looped] = names[low[ptr[looped]]]
-    for i in np.flatnonzero([known[p] is not None for p in ptr]) if done.any() else ():
-        if not looped[i]:
-            root[i], bad[i] = known[ptr[i]], True
-    trail: list[str | None] | np.ndarray = [None] * n
+    par[child] = up
+    ptr, off, low, looped = _compress(par, np.arange(len(names)))  # codes are in the order of the names
+    root = names[np.where(looped, low[ptr], ptr)]
+    trail: list[str | None] = [None] * n
     if paths:
-        own = np.full(len(names), None, dtype=object)
-        own[child] = pdf["trail"].to_numpy()
         full: list[str | None] = [None] * len(names)
         for i in child:
             chain = []
             at = int(i)
-            while not bad[at] and par[at] >= 0 and full[at] is None:
+            while not looped[at] and par[at] >= 0 and full[at] is None:
                 chain.append(at)
                 at = int(par[at])
             for j in reversed(chain):
                 above = full[int(par[j])]
-                full[j] = own[j] if above is None else above + SEP + own[j]
+                full[j] = names[j] if above is None else above + SEP + names[j]
         trail = [full[i] for i in child]
     return pd.DataFrame({
-        "node": pdf["node"].to_numpy(), "root": root[child], "steps": np.where(bad[child], 0, off[child]).astype("int32"),
-        "cyclic": bad[child], "least": names[low[child]], "trail": trail,
+        "node": pdf["child"].to_numpy(), "root": root[child], "steps": np.where(looped[child], 0, off[child]).astype("int32"),
+        "cyclic": looped[child], "least": names[low[child]], "trail": trail,
     })
 
 
-def _task(paths: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if parts:
-            out = _forest(pd.concat(parts, ignore_index=True), paths)
-            for k in range(0, len(out), 50_000):
-                yield out.iloc[k : k + 50_000]
-
-    return run
-
-
 def contains_links(edges: DataFrame) -> DataFrame:
     """(child, parent) of the edges whose kind is ``contains`` in whatever spelling."""
     from arbora.sources.tables import norm_kind
@@ -110,25 +91,17 @@ def contains_links(edges: DataFrame) -> DataFrame:
     )
 
 
-def forest(links: DataFrame, paths: bool = False, merge_rows: int = MERGE_ROWS) -> DataFrame:
+def forest(links: DataFrame, paths: bool = False, block_bits: int = BLOCK_BITS) -> DataFrame:
     """(node_id, root_id, depth[, path]) of every node at either end of a link.
 
     A node on or below a cycle has the smallest id on that cycle as root, depth -1 and a null path.
     """
-    clean = links.filter(F.col("child").isNotNull() & F.col("parent").isNotNull())
-    one = clean.groupBy("child").agg(F.min("parent").alias("parent"))
-    start = one.select(
-        F.col("child").alias("node"), F.col("parent").alias("root"), F.lit(1).alias("steps"), F.lit(False).alias("cyclic"),
-        F.col("child").alias("least"), (F.col("child") if paths else F.lit(None).cast("string")).alias("trail"),
-    )
-    local = materialise(start.mapInPandas(_task(paths), _FOREST), "forest")
+    clean = links.filter(F.col("child").isNotNull() & F.col("parent").isNotNull()).select("child", "parent")
+    near = F.shiftright(F.monotonically_increasing_id(), block_bits)  # any blocks give the right rows; neighbours of the input give few links between blocks
+    one = clean.withColumn("near", near).groupBy("child").agg(F.min("parent").alias("parent"), F.min("near").alias("near"))
+    local = materialise(one.groupBy("near").applyInPandas(lambda pdf: _forest(pdf, paths), _FOREST), "forest")
     tops = local.filter(~F.col("cyclic")).select(F.col("root").alias("node")).distinct()
-    bridge = materialise(local.join(tops, "node", "left_semi"), "bridge")
-    count = bridge.count()
-    if count <= (merge_rows // 4 if paths else merge_rows):
-        merged = bridge.coalesce(1).mapInPandas(_task(paths), _FOREST)
-    else:
-        merged = _merge_by_joins(bridge, count)
+    merged = _merge(materialise(local.join(tops, "node", "left_semi"), "bridge"))
     above = merged.select(F.col("node").alias("root"), F.col("root").alias("up"), F.col("steps").alias("more"),
                           F.col("cyclic").alias("loops"), F.col("trail").alias("before"))
     j = local.join(above, "root", "left")
@@ -146,42 +119,50 @@ def forest(links: DataFrame, paths: bool = False, merge_rows: int = MERGE_ROWS)
     return rows.unionByName(roots)
 
 
-def _merge_by_joins(bridge: DataFrame, count: int) -> DataFrame:
-    """Pointer composition without a bound on the number of links.
-
-    After r rounds a pointer spans 2**r links, so what still moves after log2(count) rounds is on or below
-    a cycle, and ``least`` of a node on the cycle has seen all of it.  Trails are composed afterwards, only
-    for nodes that are known to end at a root.
-    """
-    now = bridge.select("node", "root", "steps", "cyclic", "least")
-    for _ in range(max(1, count.bit_length()) + 1):
-        up = now.select(F.col("node").alias("root"), F.col("root").alias("r2"), F.col("steps").alias("s2"),
-                        F.col("cyclic").alias("c2"), F.col("least").alias("l2"))
-        go = ~F.col("cyclic") & F.col("r2").isNotNull()
-        now = materialise(now.join(up, "root", "left").select(
-            "node", F.when(go, F.col("r2")).otherwise(F.col("root")).alias("root"),
-            F.when(go, F.least(F.col("steps").cast("long") + F.col("s2"), F.lit(2**31 - 1))).otherwise(F.col("steps")).cast("int").alias("steps"),
-            F.when(go, F.col("c2")).otherwise(F.col("cyclic")).alias("cyclic"),
-            F.when(go, F.least("least", "l2")).otherwise(F.col("least")).alias("least"), go.alias("moved"),
-        ), "merge")
-        if now.filter("moved").isEmpty():
-            break
-    ring = now.filter("moved").select(F.col("node").alias("root"), F.col("least").alias("name"))
-    looped = F.col("moved") & F.col("name").isNotNull()
-    flat = now.join(ring, "root", "left").select(
-        "node", F.when(looped, F.col("name")).otherwise(F.col("root")).alias("root"), "steps", (F.col("cyclic") | looped).alias("cyclic"))
-    sound = materialise(bridge.join(flat.filter(~F.col("cyclic")).select("node"), "node", "left_semi"), "sound").select("node", "root", "trail")
-    for _ in range(max(1, count.bit_length()) + 1):
-        up = sound.select(F.col("node").alias("root"), F.col("root").alias("r2"), F.col("trail").alias("t2"))
+def _merge(bridge: DataFrame) -> DataFrame:
+    """Settled pointers (node, root, steps, cyclic, least, trail) of all links between blocks."""
+    settled = bridge.filter("cyclic")
+    active = bridge.filter("NOT cyclic")
+    before = -1
+    while True:
+        marked = settled.withColumn("open", F.lit(False)).unionByName(active.withColumn("open", F.lit(True)))
+        up = marked.select(F.col("node").alias("root"), F.col("root").alias("r2"), F.col("steps").alias("s2"), F.col("cyclic").alias("c2"),
+                           F.col("least").alias("l2"), F.col("trail").alias("t2"), F.col("open").alias("o2"))
         go = F.col("r2").isNotNull()
-        sound = materialise(sound.join(up, "root", "left").select(
-            "node", F.coalesce("r2", "root").alias("root"),
-            F.when(go & F.col("trail").isNotNull(), F.concat_ws(SEP, "t2", "trail")).otherwise(F.col("trail")).alias("trail"), go.alias("moved"),
-        ), "trails")
-        if sound.filter("moved").isEmpty():
+        level = materialise(active.join(up, "root", "left").select(
+            "node", F.coalesce("r2", "root").alias("root"), (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps"),
+            F.coalesce("c2", F.lit(False)).alias("cyclic"), F.least("least", "l2").alias("least"),
+            F.when(go & F.col("trail").isNotNull(), F.concat_ws(SEP, "t2", "trail")).otherwise(F.col("trail")).alias("trail"),
+            F.coalesce("o2", F.lit(False)).alias("open"),
+        ), "level")
+        settled = settled.unionByName(level.filter("NOT open").drop("open"))
+        active = level.filter("open").drop("open")
+        left = active.count()
+        if left == 0:
+            return settled
+        if left == before:
+            return settled.unionByName(_rings(active))
+        before = left
+
+
+def _rings(active: DataFrame) -> DataFrame:
+    """Settled pointers of nodes on or below cycles: the root is the least id on the cycle.
+
+    The nodes that pointers end at become fewer with every level until they are just those on cycles; their
+    least ids are whole when another level changes none.
+    """
+    now = active.select("node", "root", "least")
+    ends = -1
+    while True:
+        up = now.select(F.col("node").alias("root"), F.col("root").alias("r2"), F.col("least").alias("l2"))
+        now = materialise(now.join(up, "root").select(
+            "node", F.col("r2").alias("root"), F.least("least", "l2").alias("least"), (F.col("l2") < F.col("least")).alias("fell")), "ring")
+        seen = now.agg(F.countDistinct("root").alias("ends"), F.count_if("fell").alias("fell")).first()
+        if seen["ends"] == ends and not seen["fell"]:
             break
-        sound = sound.drop("moved")
-    return flat.join(sound.select("node", "trail"), "node", "left")
+        ends, now = seen["ends"], now.drop("fell")
+    name = now.select(F.col("node").alias("root"), F.col("least").alias("name"))
+    return now.join(name, "root").select("node", F.col("name").alias("root"), F.lit(0).alias("steps"), F.lit(True).alias("cyclic"), F.col("name").alias("least"), F.lit(None).cast("string").alias("trail"))
 
 
 def descendants(forest_with_paths: DataFrame) -> DataFrame:
@@ -192,9 +173,12 @@ def descendants(forest_with_paths: DataFrame) -> DataFrame:
     ).select("ancestor_id", "node_id", (F.col("depth") - F.col("level")).cast("int").alias("distance"))
 
 
-def hierarchy(links: DataFrame, merge_rows: int = MERGE_ROWS) -> DataFrame:
-    """(node_id, root_id, depth, path, n_descendants); null path and 0 descendants on or below a cycle."""
-    f = materialise(forest(links, True, merge_rows), "hierarchy")
+def hierarchy(links: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """(node_id, root_id, depth, path, n_descendants); null path and 0 descendants on or below a cycle.
+
+    Descendants are counted off the paths, so the work follows the size of the paths that are returned anyway.
+    """
+    f = materialise(forest(links, True, block_bits), "hierarchy")
     n = descendants(f).groupBy("ancestor_id").agg(F.count(F.lit(1)).alias("n_descendants"))
     return f.join(n.withColumnRenamed("ancestor_id", "node_id"), "node_id", "left").select(
         "node_id", "root_id", "depth", "path", F.coalesce("n_descendants", F.lit(0)).cast("long").alias("n_descendants")

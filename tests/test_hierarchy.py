@@ -31,33 +31,33 @@ def brute(links):
     return out
 
 
-@pytest.mark.parametrize("merge_rows", [10**6, 0])
-def test_random_forests_with_cycles(spark, merge_rows):
+@pytest.mark.parametrize("bits", [16, 3])
+def test_random_forests_with_cycles(spark, bits):
     rnd = random.Random(5)
     links = []
     for i in range(1, 300):
         links.append((f"n{i:03}", f"n{rnd.randrange(i):03}" if i % 37 else f"n{(i + 2) % 300:03}"))
     links += [("x1", "x2"), ("x2", "x3"), ("x3", "x1"), ("y", "x2"), ("s", "s"), ("t", "s")] + links[:20]
     df = spark.createDataFrame(links, LINKS).repartition(5)
-    assert rows(H.forest(df, merge_rows=merge_rows)) == brute(links)
+    assert rows(H.forest(df, block_bits=bits)) == brute(links)
 
 
-@pytest.mark.parametrize("merge_rows", [10**6, 0])
-def test_cycles_over_partitions(spark, merge_rows):
+@pytest.mark.parametrize("bits", [16, 3])
+def test_cycles_over_partitions(spark, bits):
     links = [(f"r{k:02}n{i:02}", f"r{k:02}n{(i * 7 + 7) % 23:02}" if i * 7 % 23 else f"r{k:02}n07") for k in range(30) for i in range(23)]
     links += [(f"a{k:02}", f"r{k:02}n05") for k in range(30)]  # smaller than any id of the cycle that it hangs on
     was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        assert rows(H.forest(spark.createDataFrame(links, LINKS), merge_rows=merge_rows)) == brute(links)
+        assert rows(H.forest(spark.createDataFrame(links, LINKS), block_bits=bits)) == brute(links)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
 
 
-@pytest.mark.parametrize("merge_rows", [10**6, 0])
-def test_long_chain_with_paths(spark, merge_rows):
+@pytest.mark.parametrize("bits", [16, 3])
+def test_long_chain_with_paths(spark, bits):
     links = [(f"c{i:03}", f"c{i - 1:03}") for i in range(1, 150)] + [("a", "b"), ("b", "a"), ("c", "a")]
-    got = {r["node_id"]: r for r in H.hierarchy(spark.createDataFrame(links, LINKS).repartition(6), merge_rows).collect()}
+    got = {r["node_id"]: r for r in H.hierarchy(spark.createDataFrame(links, LINKS).repartition(6), bits).collect()}
     assert got["c149"]["path"] == " > ".join(f"c{i:03}" for i in range(150)) and got["c149"]["depth"] == 149
     assert got["c000"]["n_descendants"] == 149 and got["c000"]["path"] == "c000"
     assert (got["c"]["root_id"], got["c"]["depth"], got["c"]["path"], got["a"]["n_descendants"]) == ("a", -1, None, 0)
