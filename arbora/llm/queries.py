@@ -78,4 +78,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("p9_repetition")
 def p9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents")).select(
-        "doc_id", "host", "n_words", "share", "line_share", "run_share", "failure_rate", "host_fails", "repetitive")
+        "doc_id", "host", "n_words", "share", "pair_share", "line_share", "ratio", "failed", "failure_rate", "host_fails", "repetitive")

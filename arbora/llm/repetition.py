@@ -1,11 +1,14 @@
 """Repetition inside a single document, with verdicts on the hosts the documents come from.
 
-1. Each document is measured by rules (share of words in repeated phrases, share of repeated lines, share of
-   words said over and over in a row).
+1. Every document is screened by cheap rules on its text as it stands: the share of word pairs that occurred
+   before, the share of lines that occurred before, and how far a fast compressor shrinks it.  None of them
+   is the share that is asked for.
 2. Rule failures are summed per host (the repository), the failure rates of the hosts are shrunk towards a
-   beta prior fitted to all hosts (method of moments), and a host whose shrunk rate is high fails.
-3. The host verdicts are joined back; a document that fails a rule, or whose host fails, goes to the exact
-   check: more than ``share`` of at least ``min_words`` words in passages that occurred before.
+   beta prior fitted to all hosts (method of moments), and a host whose shrunk rate lies more than ``width``
+   standard deviations of the prior above its mean fails.
+3. The host verdicts are joined back.  A document that fails a rule, or whose host fails, goes to the exact
+   check: more than ``share`` of at least ``min_words`` words in passages that occurred before.  Documents that
+   fail a rule are measured while their text is at hand; those that only their host brings in are read again.
 
 Words are runs of letters (numbers dropped, case folded), so case, punctuation, spacing and running numbers
 do not matter.  A word is repeated if it lies in five words that occurred before in the document, or in a
@@ -20,6 +23,7 @@ other columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +38,10 @@ PHRASE = 5
 _WORD = re.compile(r"\b[^\W\d]\w*")
 _ANY = re.compile(r"\w+")
 _NO_DIGITS = {ord(c): None for c in "0123456789"}
-_MEASURES = "doc_id long, host string, n_words long, share double, line_share double, run_share double"
+#: The rules: a document fails that repeats more than these shares of its word pairs or lines, or shrinks below this ratio.
+PAIR_LIMIT, LINE_LIMIT, RATIO_LIMIT = 0.12, 0.1, 0.3
+_SCREENED = "doc_id long, host string, pair_share double, line_share double, ratio double, failed boolean"
+_MEASURES = _SCREENED + ", n_words long, share double"
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -74,71 +81,95 @@ def repeated_mask(codes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nd
     return hit | run, run
 
 
-def _line_share(text: str) -> float:
+def _rules(text: str) -> tuple[float, float, float]:
+    """(share of word pairs that occurred before, share of line characters that occurred before, compressed size)."""
+    if not text or text.isspace():
+        return 0.0, 0.0, 1.0
+    tokens = text.lower().split()
+    pairs = 1 - len(set(zip(tokens, tokens[1:]))) / (len(tokens) - 1) if len(tokens) > 1 else 0.0
     seen: set[str] = set()
     total = again = 0
     for line in text.splitlines():
-        key = "".join(c for c in line.casefold() if c.isalpha())
+        key = line.strip()
         if key:
             total += len(key)
             again += len(key) if key in seen else 0
             seen.add(key)
-    return again / total if total else 0.0
+    raw = text.encode("utf-8", "surrogatepass")
+    return pairs, again / total if total else 0.0, len(zlib.compress(raw, 1)) / len(raw)
 
 
-def measure_slice(pdf: pd.DataFrame) -> pd.DataFrame:
+def screen_slice(pdf: pd.DataFrame, min_words: int) -> pd.DataFrame:
+    """Rules only.  A text too short to hold ``min_words`` words fails none."""
     texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+    out = pd.DataFrame([_rules(t) for t in texts], columns=["pair_share", "line_share", "ratio"])
+    out.insert(0, "doc_id", pdf["doc_id"])
+    out.insert(1, "host", pdf["repo"].fillna("").astype(str))
+    long_enough = np.array([len(t) >= 2 * min_words - 1 for t in texts], dtype=bool)
+    out["failed"] = long_enough & ((out["pair_share"] > PAIR_LIMIT) | (out["line_share"] > LINE_LIMIT) | (out["ratio"] < RATIO_LIMIT))
+    return out
+
+
+def exact_slice(texts: list[str]) -> tuple[list[int], np.ndarray]:
+    """Number of words and share of repeated words of each text."""
     split = [words(t) for t in texts]
     sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
     codes = np.fromiter((hash(w) for s in split for w in s), dtype=np.int64, count=int(sizes.sum())).view(np.uint64)
     doc = np.repeat(np.arange(len(split)), sizes)
-    hit, run = repeated_mask(codes, doc)
-    n = np.maximum(sizes, 1)
-    counts = [s if s >= 40 else len(_ANY.findall(t)) if t else 0 for s, t in zip(sizes, texts, strict=True)]
-    return pd.DataFrame({
-        "doc_id": pdf["doc_id"], "host": pdf["repo"].fillna("") if len(pdf) else pdf["repo"], "n_words": counts,
-        "share": np.bincount(doc[hit], minlength=len(split)) / n, "line_share": [_line_share(t) for t in texts],
-        "run_share": np.bincount(doc[run], minlength=len(split)) / n,
-    })
+    hit, _ = repeated_mask(codes, doc)
+    counts = [int(s) if s >= 40 else len(_ANY.findall(t)) if t else 0 for s, t in zip(sizes, texts, strict=True)]
+    return counts, np.bincount(doc[hit], minlength=len(split)) / np.maximum(sizes, 1)
+
+
+def measure_slice(pdf: pd.DataFrame, which: str, min_words: int = 40) -> pd.DataFrame:
+    """The rules of all documents, the exact share of those that ``which`` names: all, failed, or passed (and only these)."""
+    pdf = pdf.reset_index(drop=True)
+    out = screen_slice(pdf, min_words)
+    ask = np.ones(len(out), dtype=bool) if which == "all" else out["failed"].to_numpy(dtype=bool) == (which == "failed")
+    at = np.flatnonzero(ask)
+    counts, share = exact_slice([t if isinstance(t, str) else "" for t in pdf["text"].iloc[at]])
+    out["n_words"], out["share"] = pd.array([None] * len(out), dtype="Int64"), np.nan
+    out.loc[at, "n_words"], out.loc[at, "share"] = counts, share
+    return out.iloc[at] if which == "passed" else out
 
 
-def measures(documents: DataFrame) -> DataFrame:
-    """(doc_id, host, n_words, share, line_share, run_share) per row of documents."""
+def measures(documents: DataFrame, which: str = "all", min_words: int = 40) -> DataFrame:
+    """Per row of documents: its rules and, for those asked for, n_words and share."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(batches):
-            yield measure_slice(pdf)
+            yield measure_slice(pdf, which, min_words)
 
     return spread(documents.filter("doc_id IS NOT NULL").select("doc_id", "text", "repo")).mapInPandas(run, _MEASURES)
 
 
-def host_verdicts(measured: DataFrame, share: float = 0.3, rate: float = 0.5) -> DataFrame:
+def host_verdicts(measured: DataFrame, width: float = 1.0) -> DataFrame:
     """(host, n_docs, n_failed, failure_rate, host_fails): rates shrunk by a beta prior over all hosts."""
-    failed = (F.col("n_words") >= 40) & ((F.col("share") > share) | (F.col("line_share") > share) | (F.col("run_share") > share))
-    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed"))
+    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
     prior = hosts.agg((F.sum("n_failed") / F.sum("n_docs")).alias("m"), F.var_pop(F.col("n_failed") / F.col("n_docs")).alias("v"),
                       F.avg(1 / F.col("n_docs")).alias("inv"))
     # Between-host variance without the share that sampling explains; strength of the prior from the moments.
     base = F.col("m") * (1 - F.col("m"))
     between = F.greatest(F.col("v") - base * F.col("inv"), base / 1000)
     strength = F.when(base > 0, F.greatest(base / between - 1, F.lit(1.0))).otherwise(F.lit(1.0))
-    prior.select("m", strength.alias("k")).createOrReplaceTempView("arbora_host_prior")
-    hosts.createOrReplaceTempView("arbora_hosts")
-    return measured.sparkSession.sql(f"""
-        SELECT host, n_docs, n_failed,
-          (n_failed + (SELECT m * k FROM arbora_host_prior)) / (n_docs + (SELECT k FROM arbora_host_prior)) AS failure_rate,
-          (n_failed + (SELECT m * k FROM arbora_host_prior)) / (n_docs + (SELECT k FROM arbora_host_prior)) > {rate!r} AS host_fails
-        FROM arbora_hosts""")
-
-
-def repetition(documents: DataFrame, share: float = 0.3, min_words: int = 40) -> DataFrame:
-    """All documents with their measures, host verdict and ``repetitive``."""
-    m = materialise(measures(documents), "repetition")
-    hosts = host_verdicts(m, share).select("host", "failure_rate", "host_fails")
-    rule = (F.col("share") > share) | (F.col("line_share") > share) | (F.col("run_share") > share)
-    exact = (F.col("n_words") >= min_words) & (F.col("share") > share)
-    return m.join(hosts, "host").withColumn("suspect", rule | F.col("host_fails")).withColumn("repetitive", F.col("suspect") & exact)
-
-
-def found(documents: DataFrame) -> DataFrame:
-    return repetition(documents).filter("repetitive AND doc_id IS NOT NULL").select("doc_id").distinct()
+    p = prior.select(F.struct(F.col("m"), strength.alias("k"), F.sqrt(base / (strength + 1)).alias("sd")).alias("p")).scalar()
+    rate = (F.col("n_failed") + F.col("p.m") * F.col("p.k")) / (F.col("n_docs") + F.col("p.k"))
+    return hosts.withColumn("p", p).select("host", "n_docs", "n_failed", rate.alias("failure_rate"), (rate > F.col("p.m") + width * F.col("p.sd")).alias("host_fails"))
+
+
+def repetition(documents: DataFrame, share: float = 0.3, min_words: int = 40, width: float = 1.0) -> DataFrame:
+    """All documents with their rules, exact share, host verdict and ``repetitive``."""
+    m = materialise(measures(documents, "all", min_words), "repetition")
+    hosts = host_verdicts(m, width).select("host", "failure_rate", "host_fails")
+    return m.join(hosts, "host").withColumn("suspect", F.col("failed") | F.col("host_fails")).withColumn(
+        "repetitive", F.col("suspect") & (F.col("n_words") >= min_words) & (F.col("share") > share))
+
+
+def found(documents: DataFrame, share: float = 0.3, min_words: int = 40, width: float = 1.0) -> DataFrame:
+    """(doc_id) of repetitive documents: those that fail a rule or whose host fails, after the exact check."""
+    m = materialise(measures(documents, "failed", min_words), "screened")
+    bad = host_verdicts(m, width).filter("host_fails").select("host")
+    brought = documents.select("doc_id", "text", "repo", F.coalesce("repo", F.lit("")).alias("host")).join(bad, "host", "left_semi")
+    again = measures(brought, "passed", min_words)
+    return m.filter("failed").select("doc_id", "n_words", "share").unionByName(again.select("doc_id", "n_words", "share")).filter(
+        (F.col("n_words") >= min_words) & (F.col("share") > share)).select("doc_id").distinct()

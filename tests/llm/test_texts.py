@@ -82,8 +82,11 @@ def test_share_against_brute_force():
     rnd = random.Random(2)
     texts = [" ".join(rnd.choice("ab cde fgh".split() + WORDS[: rnd.randrange(1, 40)]) for _ in range(rnd.randrange(0, 90))) for _ in range(60)]
     texts += ["go " * 50, "a b " * 30, "", "one two three", prose(1, 50) + ". " + prose(1, 50)]
-    got = R.measure_slice(pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "repo": "r"}))
+    got = R.measure_slice(pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "repo": "r"}), "all")
     assert np.allclose(got["share"], [brute_share(t) for t in texts])
+    for which in ("failed", "passed"):
+        part = R.measure_slice(pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "repo": "r"}), which).dropna(subset=["share"])
+        assert (part["failed"] == (which == "failed")).all() and np.allclose(part["share"], [brute_share(texts[i]) for i in part["doc_id"]])
 
 
 def test_found_and_hosts(spark):
@@ -92,8 +95,18 @@ def test_found_and_hosts(spark):
             (9, prose(2, 100_000), "a"), (10, "spam eggs " * 50_000, "a"), (None, "very " * 45, "a"), (2, ". ".join([sentence] * 4), "a"), (11, "0x1f, 0x2e, 17, " * 80, "c")]
     assert {r[0] for r in R.found(docs(spark, rows)).collect()} == {2, 3, 4, 6, 10}
     hosts = {r["host"]: r for r in R.host_verdicts(R.measures(docs(spark, rows))).collect()}
-    assert set(hosts) == {"a", "b", "c", ""} and 0 < hosts["c"]["failure_rate"] < hosts[""]["failure_rate"] < 1
-    assert R.found(docs(spark, [])).count() == 0
+    assert (hosts["a"]["n_docs"], hosts["a"]["n_failed"], hosts["c"]["n_failed"]) == (8, 4, 1)
+    assert set(hosts) == {"a", "b", "c", ""} and 0 < hosts["a"]["failure_rate"] < hosts["c"]["failure_rate"] < 1
+    assert R.found(docs(spark, [])).count() == 0 and R.repetition(docs(spark, [])).count() == 0
+
+
+def test_a_document_that_only_its_host_brings_in(spark):
+    hidden = " ".join(f"{w}{k * 100 + i}" for k in range(2) for i, w in enumerate(prose(21, 50).split()))  # running numbers hide the copy from every rule
+    assert not R.screen_slice(__import__("pandas").DataFrame({"doc_id": [1], "text": [hidden], "repo": ["a"]}), 40)["failed"].any() and brute_share(hidden) > 0.3
+    rows = [(1, hidden, "spam"), (2, hidden, "good")] + [(10 + i, prose(i, 20) + " " + "buy now " * 30, "spam") for i in range(6)] + [(100 + i, prose(100 + i, 60), f"h{i % 6}") for i in range(60)]
+    assert {r[0] for r in R.found(docs(spark, rows)).collect()} == {1, *range(10, 16)}
+    marked = {r["doc_id"]: (r["failed"], r["host_fails"], r["repetitive"]) for r in R.repetition(docs(spark, rows)).collect()}
+    assert marked[1] == (False, True, True) and marked[2] == (False, False, False)
 
 
 # ------------------------------------------------------------------ packing
