@@ -3,11 +3,16 @@
 The words of each test item's own passage (an opening sentence that several items share is cut off) and of
 each document are hashed under fixed masks that skip some positions.  A seed's hash covers the six selected
 words in order and not the mask, so a seed of the test side meets one of the training side across an
-exchanged, an added or a lost word.  Around every meeting the two word sequences are aligned (match +1,
-exchange, gap -1) and the matched words of the best local alignment are counted.
+exchanged, an added or a lost word.
 
-The test set is the stated query set: its items are taken in blocks of ``block`` items, each block's seeds
-are shipped to the tasks, and every document is read whole against each block.
+1. The seeds of the test set are a table.  Their hashes set bits of a map of ``BITS_PER_SEED`` bits a seed,
+   which is built on the executors and has a bounded size; it alone is sent to all tasks.
+2. One scan of the documents keeps the texts with seeds that the map knows, with the places of those seeds.
+3. These meet the test seeds in a join by hash; every meeting is kept, also of seeds that repeat.
+4. Text and test passages come together by document, and around every meeting the two word sequences are
+   aligned (match +1, exchange, gap -1); the matched words of the best local alignment are counted.
+
+A test set of more than ``MAP_SEEDS`` seeds is taken in blocks of items with a map and a scan each.
 
 Defined results: null or blank texts match nothing; ids that repeat give one row per (doc_id, item_id); an
 empty test set or an empty corpus gives no rows; other columns are not read.
@@ -20,20 +25,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.llm.batches import slices
-from arbora.session import spread
+from arbora.session import materialise, spread
 
 #: Positions looked at are 1; six words each.
 MASKS = ("111111", "1110111", "1101111", "1111011", "11011011", "1011111", "1111101")
 WEIGHT = 6
-BLOCK_ITEMS = 2000
-FILTER_BITS = 22
+BITS_PER_SEED, PROBES = 128, 4
+#: Seeds of one map: it takes 2**30 bits (128 MB) at most.
+MAP_SEEDS = 1 << 23
+BUCKET = 32_768
+CACHED_WORDS = 1_000_000
 _WORD = re.compile(r"[^\W_]+(?:_+[^\W_]+)*")
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n\s*\n")
 _SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
+_TURNS = np.array([0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165], dtype=np.uint64)
 _OFFSETS = [np.flatnonzero([c == "1" for c in m]) for m in MASKS]
 
 
@@ -70,40 +81,93 @@ def _seeds(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return h
 
 
-class Block:
-    """The seeds of some test items, ready for lookup."""
+class _Codes(dict):
+    """Word -> 64-bit hash, the same on every worker; words met once are kept."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        code = self[word] = xxhash.xxh64_intdigest(word)
+        return code
+
+    def of(self, text: str | None) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words(text)), dtype=np.uint64)
+
+
+_CODES = _Codes()
+
+
+def _places(hashes: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    """The bit that a probe of each hash looks at."""
+    return ((hashes * _TURNS[probe]) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def item_seeds(passages: DataFrame) -> DataFrame:
+    """(hash, item_id, at) of every seed of every passage."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.ids = [r[0] for r in rows]
-        split = [r[1].split() for r in rows]
-        self.vocab = {w: i + 1 for i, w in enumerate(sorted({w for s in split for w in s}))}
-        self.items = [np.array([self.vocab[w] for w in s], dtype=np.int64) for s in split]
-        found: dict[tuple[int, int], int] = {}
-        for i, codes in enumerate(self.items):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for item, passage in zip(pdf["item_id"], pdf["passage"], strict=True):
+                codes = _CODES.of(passage)
+                parts = [_seeds(codes, o) for o in _OFFSETS]
+                yield pd.DataFrame({"hash": np.concatenate(parts).view(np.int64), "item_id": item, "at": np.concatenate([np.arange(len(p)) for p in parts])}).drop_duplicates()
+
+    return passages.mapInPandas(run, "hash long, item_id long, at int")
+
+
+def seed_map(seeds: DataFrame, bits: int) -> np.ndarray:
+    """A map of 2**bits bits in which the probes of all seeds are set; it is put together on the executors."""
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            h = pdf["hash"].to_numpy().view(np.uint64)
+            at = np.concatenate([_places(h, k, bits) for k in range(PROBES)])
+            yield pd.DataFrame({"bucket": at // BUCKET, "bit": at % BUCKET})
+
+    rows = seeds.select("hash").mapInPandas(places, "bucket long, bit long").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    out = np.zeros(max(1 << bits, BUCKET) // 8, dtype=np.uint8)
+    for r in rows.toLocalIterator():
+        out[r["bucket"] * BUCKET // 8 :][: BUCKET // 8] = np.frombuffer(r["map"], dtype=np.uint8)
+    return out
+
+
+def _known(hashes: np.ndarray, known: np.ndarray, bits: int) -> np.ndarray:
+    """Which seeds all probes find in the map."""
+    at = np.arange(len(hashes))
+    for k in range(PROBES):
+        place = _places(hashes[at], k, bits)
+        at = at[(known[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0]
+    return at
+
+
+def touched(documents: DataFrame, known: np.ndarray, bits: int) -> DataFrame:
+    """(uid, doc_id, text, hits) of the documents with seeds that the map knows; hits are (hash, at)."""
+    shipped = documents.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 40
+        for pdf in slices(batches):
+            codes = [_CODES.of(t) for t in pdf["text"]]
+            joined, doc = np.concatenate(codes), np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+            first = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
+            found = []
             for o in _OFFSETS:
-                for p, h in enumerate(_seeds(codes.astype(np.uint64), o)):
-                    found.setdefault((int(h), i), p)
-        keys = sorted(found)
-        self.hash = np.array([k[0] for k in keys], dtype=np.uint64)
-        self.item = np.array([k[1] for k in keys], dtype=np.int64)
-        self.pos = np.array([found[k] for k in keys], dtype=np.int64)
-        self.bits = np.zeros(1 << FILTER_BITS, dtype=bool)
-        self.bits[(self.hash >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-
-    def meetings(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
-        """(position in codes, item, position in item) of every seed that both sides have."""
-        out: set[tuple[int, int, int]] = set()
-        wide = codes.astype(np.uint64)
-        for o in _OFFSETS:
-            h = _seeds(wide, o)
-            if not len(h):
-                continue
-            at = np.flatnonzero(self.bits[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-            at = at[(codes[at[:, None] + o[None, :]] > 0).all(axis=1)]
-            lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
-            for p, a, b in zip(at[lo < hi], lo[lo < hi], hi[lo < hi], strict=True):
-                out.update((int(p), int(self.item[k]), int(self.pos[k])) for k in range(a, b))
-        return sorted(out)
+                h = _seeds(joined, o)
+                at = _known(h, shipped.value, bits)
+                at = at[doc[at] == doc[at + o[-1]]]
+                found.append((at, h[at]))
+            at, h = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]).view(np.int64)
+            order = np.argsort(at, kind="stable")
+            at, h = at[order], h[order]
+            owner = doc[at]
+            for d in np.unique(owner):
+                a, b = np.searchsorted(owner, d, "left"), np.searchsorted(owner, d, "right")
+                hits = [{"hash": x, "at": y} for x, y in zip(h[a:b].tolist(), (at[a:b] - first[d]).tolist(), strict=True)]
+                number += 1
+                yield pd.DataFrame({"uid": [number], "doc_id": pdf["doc_id"].iloc[[d]].to_numpy(), "text": [pdf["text"].iloc[d]], "hits": [hits]})
+
+    docs = spread(documents.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL"))
+    return docs.mapInPandas(run, "uid long, doc_id long, text string, hits array<struct<hash: bigint, at: int>>")
 
 
 def aligned_words(item: np.ndarray, text: np.ndarray) -> int:
@@ -130,64 +194,62 @@ def aligned_words(item: np.ndarray, text: np.ndarray) -> int:
     return count
 
 
-def _verified(block: Block, codes: np.ndarray, meetings: list[tuple[int, int, int]], least: int) -> dict[int, int]:
-    """Item -> matched words, for the items of which enough words stand in one stretch of the text."""
-    best: dict[int, int] = {}
-    spans: dict[int, list[list[int]]] = {}
-    for p, i, q in meetings:
-        n = len(block.items[i])
-        a, b = p - q - n // 3 - 8, p - q + n + n // 3 + 8
-        known = spans.setdefault(i, [])
-        if known and a <= known[-1][1]:
-            known[-1][1] = max(known[-1][1], b)
+def matched_words(item: np.ndarray, text: np.ndarray, meetings: list[tuple[int, int]]) -> int:
+    """The most words that one alignment around a meeting (place in text, place in item) matches."""
+    n = len(item)
+    spans: list[list[int]] = []
+    for a, b in sorted((p - q - n // 3 - 8, p - q + n + n // 3 + 8) for p, q in meetings):
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], b)
         else:
-            known.append([a, b])
-    for i, parts in spans.items():
-        for a, b in parts:
-            for lo in range(max(a, 0), max(min(b, len(codes)), 1), 4 * len(block.items[i]) + 400):
-                # Long stretches are cut into overlapping pieces; a passage is shorter than the overlap.
-                part = codes[lo : min(lo + 6 * len(block.items[i]) + 600, b)]
-                if len(part):
-                    best[i] = max(best.get(i, 0), aligned_words(block.items[i], part))
-    return {i: c for i, c in best.items() if c >= least}
-
-
-def leaks(documents: DataFrame, items: DataFrame, least: int = 20, block: int = BLOCK_ITEMS) -> DataFrame:
+            spans.append([a, b])
+    best = 0
+    for a, b in spans:
+        for lo in range(max(a, 0), max(min(b, len(text)), 1), 4 * n + 400):
+            # Long stretches are cut into overlapping pieces; a passage is shorter than the overlap.
+            part = text[lo : min(lo + 6 * n + 600, b)]
+            if len(part):
+                best = max(best, aligned_words(item, part))
+    return best
+
+
+def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted: each document's text, then the items it meets."""
+    uid, doc, text = None, None, np.zeros(0, dtype=np.uint64)
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            if r.text is not None:
+                uid, doc, text = r.uid, r.doc_id, _CODES.of(r.text)
+            elif r.uid == uid:
+                out.append((int(doc), int(r.item_id), matched_words(_CODES.of(r.passage), text, [(m["at"], m["q"]) for m in r.meetings])))
+        yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_words"])
+
+
+def _leaks_of(documents: DataFrame, passages: DataFrame, seeds: DataFrame, n_seeds: int) -> DataFrame:
+    bits = max(15, (n_seeds * BITS_PER_SEED - 1).bit_length())
+    hit = materialise(touched(documents, seed_map(seeds, bits), bits), "touched")
+    meet = hit.select("uid", F.explode("hits").alias("h")).select("uid", "h.hash", F.col("h.at").alias("at")).join(seeds.withColumnRenamed("at", "q"), "hash")
+    pairs = meet.groupBy("uid", "item_id").agg(F.collect_set(F.struct("at", "q")).alias("meetings")).join(passages, "item_id")
+    empty = lambda *names: [F.lit(None).cast(kind).alias(n) for n, kind in (x.split(" ", 1) for x in names)]
+    rows = hit.join(pairs.select("uid").distinct(), "uid", "left_semi").select("uid", "doc_id", "text", *empty("item_id bigint", "passage string", "meetings array<struct<at: int, q: int>>")).unionByName(
+        pairs.select("uid", *empty("doc_id bigint", "text string"), "item_id", "passage", "meetings"))
+    together = rows.repartition("uid").sortWithinPartitions("uid", F.col("text").isNull())
+    return together.mapInPandas(_verify, "doc_id long, item_id long, n_words long")
+
+
+def leaks(documents: DataFrame, items: DataFrame, least: int = 20, map_seeds: int = MAP_SEEDS) -> DataFrame:
     """(doc_id, item_id, n_words): the documents that hold at least ``least`` words of an item's own passage."""
-    spark = documents.sparkSession
-    passages = own_passages(items).filter("item_id IS NOT NULL AND passage <> ''").dropDuplicates(["item_id"])
+    passages = materialise(own_passages(items).filter("item_id IS NOT NULL AND passage <> ''").dropDuplicates(["item_id"]), "passages")
+    seeds = materialise(item_seeds(passages), "seeds")
+    n_seeds = seeds.count()
+    blocks = max(1, -(-n_seeds // map_seeds))
     out: DataFrame | None = None
-    docs = spread(documents.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL"))
-    # The query set goes through the driver block by block; it is never held whole.
-    rows: list[tuple[int, str]] = []
-
-    def against(rows: list[tuple[int, str]]) -> DataFrame:
-        shipped = spark.sparkContext.broadcast(rows)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            b = Block(shipped.value)
-            gap = np.zeros(max(map(len, MASKS)), dtype=np.int64)
-            for pdf in slices(batches):
-                codes = [np.fromiter((b.vocab.get(w, 0) for w in words(t)), dtype=np.int64) for t in pdf["text"]]
-                starts = np.cumsum([0, *[len(c) + len(gap) for c in codes]])
-                joined = np.concatenate([x for c in codes for x in (c, gap)])
-                by_doc: dict[int, list[tuple[int, int, int]]] = {}
-                for p, i, q in b.meetings(joined):
-                    d = int(np.searchsorted(starts, p, "right")) - 1
-                    by_doc.setdefault(d, []).append((p - int(starts[d]), i, q))
-                got = [(int(pdf["doc_id"].iloc[d]), b.ids[i], n) for d, m in by_doc.items() for i, n in _verified(b, codes[d], m, least).items()]
-                yield pd.DataFrame(got, columns=["doc_id", "item_id", "n_words"])
-
-        return docs.mapInPandas(run, "doc_id long, item_id long, n_words long")
-
-    for r in passages.toLocalIterator():
-        rows.append((r["item_id"], r["passage"]))
-        if len(rows) == block:
-            out = against(rows) if out is None else out.unionByName(against(rows))
-            rows = []
-    if rows or out is None:
-        out = against(rows) if out is None else out.unionByName(against(rows))
-    return out.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
+    for k in range(blocks):
+        own = seeds if blocks == 1 else seeds.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        part = _leaks_of(documents, passages, own, -(-n_seeds // blocks))
+        out = part if out is None else out.unionByName(part)
+    return out.filter(F.col("n_words") >= least).groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def test_leaks(spark):
             (6, " ".join(w[0:10]) + prose(6, 300) + " ".join(w[30:40]), "r"), (7, None, None), (8, "", "r"), (9, " ".join(reversed(w)), "r"), (None, own, "r"), (10, prose(5, 150_000) + " " + own, "r"), (1, own, "q"), (11, "x" * 1_000_000, "r")]
     got = {tuple(r) for r in C.found(docs(spark, rows), items).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (10, 1)}
-    assert {tuple(r) for r in C.leaks(docs(spark, rows), items, block=1).select("doc_id", "item_id").collect()} == got
+    assert {tuple(r) for r in C.leaks(docs(spark, rows), items, map_seeds=100).select("doc_id", "item_id").collect()} == got
     assert C.found(docs(spark, rows), items.limit(0)).count() == 0 and C.found(docs(spark, []), items).count() == 0
 
 
