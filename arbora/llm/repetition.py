@@ -140,7 +140,7 @@ def measures(documents: DataFrame, which: str = "all", min_words: int = 40) -> D
         for pdf in slices(batches):
             yield measure_slice(pdf, which, min_words)
 
-    return spread(documents.filter("doc_id IS NOT NULL").select("doc_id", "text", "repo")).mapInPandas(run, _MEASURES)
+    return documents.filter("doc_id IS NOT NULL").select("doc_id", "text", "repo").mapInPandas(run, _MEASURES)
 
 
 def host_verdicts(measured: DataFrame, width: float = 1.0) -> DataFrame:
@@ -159,7 +159,7 @@ def host_verdicts(measured: DataFrame, width: float = 1.0) -> DataFrame:
 
 def repetition(documents: DataFrame, share: float = 0.3, min_words: int = 40, width: float = 1.0) -> DataFrame:
     """All documents with their rules, exact share, host verdict and ``repetitive``."""
-    m = materialise(measures(documents, "all", min_words), "repetition")
+    m = materialise(measures(spread(documents.select("doc_id", "text", "repo")), "all", min_words), "repetition")
     hosts = host_verdicts(m, width).select("host", "failure_rate", "host_fails")
     return m.join(hosts, "host").withColumn("suspect", F.col("failed") | F.col("host_fails")).withColumn(
         "repetitive", F.col("suspect") & (F.col("n_words") >= min_words) & (F.col("share") > share))
@@ -167,9 +167,11 @@ def repetition(documents: DataFrame, share: float = 0.3, min_words: int = 40, wi
 
 def found(documents: DataFrame, share: float = 0.3, min_words: int = 40, width: float = 1.0) -> DataFrame:
     """(doc_id) of repetitive documents: those that fail a rule or whose host fails, after the exact check."""
-    m = materialise(measures(documents, "failed", min_words), "screened")
-    bad = host_verdicts(m, width).filter("host_fails").select("host")
-    brought = documents.select("doc_id", "text", "repo", F.coalesce("repo", F.lit("")).alias("host")).join(bad, "host", "left_semi")
+    texts = spread(documents.select("doc_id", "text", "repo"))
+    m = materialise(measures(texts, "failed", min_words), "screened")
+    # Written, so that the planner knows the size: where it is small enough the texts of these hosts are picked out of the scan without a shuffle.
+    bad = materialise(host_verdicts(m, width).filter("host_fails").select("host"), "hosts")
+    brought = texts.withColumn("host", F.coalesce("repo", F.lit(""))).join(bad, "host", "left_semi")
     again = measures(brought, "passed", min_words)
     return m.filter("failed").select("doc_id", "n_words", "share").unionByName(again.select("doc_id", "n_words", "share")).filter(
         (F.col("n_words") >= min_words) & (F.col("share") > share)).select("doc_id").distinct()
