@@ -134,23 +134,37 @@ def test_pieces():
         assert [x[0] for x in p] == list(np.cumsum([0, *[x[1] for x in p]])[:-1])
 
 
+def test_token_counts_are_those_of_the_whole_text(monkeypatch):
+    enc, sizes = K.encoder(K.DEFAULT_VOCABULARY)
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice(["a", "Zß", " ", "  ", "\n", "\n\n", "'s", "12", "…", "漢字", "\t", ".", "don't"]) for _ in range(rnd.randrange(1, 200))) for _ in range(60)]
+    monkeypatch.setattr(K, "STRETCH", 20)
+    for t in texts:
+        ids = enc.encode_ordinary(t)
+        starts = np.cumsum([0, *[len(enc.decode_single_token_bytes(i)) for i in ids]])[:-1]
+        border = len(t[: t.find("\n\n")].encode()) if "\n\n" in t else 0
+        assert K.token_counts(enc, sizes, t) == (len(ids), int((starts >= border).sum()))
+
+
 def test_pack_documents(spark):
-    enc = K.encoder(K.DEFAULT_VOCABULARY)
-    rows = [(i, prose(i, 30 + i) + "\n\n" + prose(100 + i, 20), "r") for i in range(60)] + [(60, prose(1, 3000), "r"), (61, None, "r"), (62, "", "r"), (3, "again <|endoftext|>", "r"), (63, "x" * 300_000, None), (None, "no id", "r")]
+    enc, _ = K.encoder(K.DEFAULT_VOCABULARY)
+    rows = [(i, prose(i, 30 + i) + "\n\n" + prose(100 + i, 20), "r") for i in range(60)] + [(60, prose(1, 3000), "r"), (61, None, "r"), (62, "", "r"), (3, "again <|endoftext|>", "r"), (4, prose(4, 34) + "\n\n" + prose(104, 20), "r"), (63, "x" * 300_000, None), (None, "no id", "r")]
     limits = K.Limits(512, 8, 400)
     got = K.pack_documents(docs(spark, rows), limits, shard_items=25).collect()
     per, parts = {}, {}
     for r in got:
         c = per.setdefault(r["container"], [0, 0, 0])
         c[0], c[1], c[2] = c[0] + r["n_tokens"], c[1] + 1, c[2] + r["n_loss"]
-        parts.setdefault((r["doc_id"], r["copy"]), []).append((r["first_token"], r["n_tokens"]))
+        parts.setdefault((r["doc_id"], r["text_hash"], r["copy"]), []).append((r["first_token"], r["n_tokens"]))
     assert all(t <= 512 and s <= 8 and m <= 400 for t, s, m in per.values())
     for i, p in parts.items():
         assert sorted(x[0] for x in p) == list(np.cumsum([0, *[n for _, n in sorted(p)]])[:-1]), i
     whole = {i for i, p in parts.items() if len(p) == 1}
-    assert sum(1 for d, _ in parts if d == 3) == 2 and {d for d, _ in whole} >= set(range(60)) and {d for d, _ in parts} == set(range(61)) | {63}
-    text = rows[5][1]
-    assert sum(n for (d, _), p in parts.items() if d == 5 for _, n in p) == len(enc.encode_ordinary(text.split("\n\n")[0])) + len(enc.encode_ordinary("\n\n" + text.split("\n\n")[1]))
+    assert [sum(1 for d, _, c in parts if (d, c) == x) for x in ((3, 0), (4, 0), (4, 1))] == [2, 1, 1] and {d for d, _, _ in whole} >= set(range(60)) and {d for d, _, _ in parts} == set(range(61)) | {63}
+    for d in (5, 60, 63):
+        assert sum(n for (x, _, _), p in parts.items() if x == d for _, n in p) == len(enc.encode_ordinary(next(t for i, t, _ in rows if i == d)))
+    again = K.pack_documents(docs(spark, rows[::-1]).repartition(3), limits, shard_items=25).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
     assert K.pack_documents(docs(spark, []), limits).count() == 0
 
 
