@@ -1,10 +1,11 @@
 """Generated, minified or vendored source files.
 
-Each text is lexed and re-emitted in a canonical layout (one statement or brace per line, single blanks);
-the original layout is compared with it:
+Each text is lexed and re-emitted in a canonical layout (a statement or a brace to a line, indentation by depth,
+single blanks, comments left out); the original layout is compared with it:
   * expansion: canonical lines per original line; extreme expansion marks compressed files,
-  * uniformity: the share of lines that have the commonest line shape; near 1 marks what a printer wrote,
-  * literal dominance: the share of code characters in literals with hardly a name between them; marks data.
+  * uniformity: the share of canonical lines that have the commonest shape; near 1 marks what a printer wrote,
+  * literal dominance: the share of code characters in literals with hardly a name between them; marks data,
+  * agreement: the share of original lines that are canonical lines; reported, and near 0 in compressed files.
 Where a tool or a third party signs its work, the signature counts: the comment on top of the file (a
 generator's notice, or a component with a version or a project that is not the repository), the names that
 tools give to files and folders, and the hashes of known library files.
@@ -45,6 +46,12 @@ GENERATOR_NOTICES = (
     r"generated (?:by|from|with|using)\b",
     r"machine[- ](?:made|generated)\b",
     r"do not (?:edit|modify)\b",
+    r"(?:archivo |fichero |código )?(?:auto-?generado|generado (?:automáticamente )?(?:por|con|a partir de)|no (?:modificar|editar))\b",
+    r"(?:fichier |code )?(?:auto-?généré|généré (?:automatiquement )?(?:par|avec|à partir de)|ne pas (?:modifier|éditer))\b",
+    r"(?:datei |code )?(?:auto-?generiert|(?:automatisch |maschinell )(?:generiert|erzeugt|erstellt)|(?:generiert|erzeugt) (?:von|aus|durch|mit)|nicht (?:bearbeiten|ändern|editieren))\b",
+    r"(?:arquivo |código )?(?:auto-?gerado|gerado (?:automaticamente )?(?:por|com)|não (?:modificar|editar))\b",
+    r"(?:file |codice )?(?:auto-?generato|generato (?:automaticamente )?(?:da|con)|non (?:modificare|toccare))\b",
+    r"(?:此文件|本文件)?(?:由.{0,40})?自动生成|自動生成|このファイルは|请勿(?:修改|编辑)|編集しないで",
 )
 _NOTICE = re.compile(r"(?:" + "|".join(GENERATOR_NOTICES) + r")", re.I)
 _VERSIONED = re.compile(r"\b[\w.@/-]*[A-Za-z][\w.@/-]*\s*(?:-\s*)?(?:at\s+)?(?:version|tag|v\.?)?\s*v?\d+\.\d+", re.I)
@@ -63,7 +70,7 @@ TOOL_FILES = (
 )
 GENERATED_FILES = r"/(?:zz_generated\.[^/]+)$"
 
-_SCHEMA = "path string, expansion double, uniformity double, literals double, notice boolean, foreign boolean, minified boolean, data boolean, uniform boolean"
+_SCHEMA = "path string, expansion double, agreement double, uniformity double, literals double, notice boolean, foreign boolean, minified boolean, data boolean, uniform boolean"
 
 
 def top_comment(text: str) -> list[str]:
@@ -108,52 +115,94 @@ def signed_by(text: str, repo: str) -> tuple[bool, bool]:
     return notice, foreign
 
 
-def layout(text: str, hash_comments: bool) -> tuple[float, float, float, int, int, int, int]:
-    """(expansion, uniformity, literal share, code characters, lines, literals, names)."""
-    tokens = (_TOKEN_HASH if hash_comments else _TOKEN_C).findall(text)
-    code = literal = n_lit = names = ends = lines = 0
-    shapes: Counter[str] = Counter()
-    shape: list[str] = []
+def canonical(tokens: list[str], hash_comments: bool) -> list[tuple[int, list[str]]]:
+    """(depth, tokens) of the canonical lines of lexed code."""
+    out: list[tuple[int, list[str]]] = []
+    line: list[str] = []
+    depth = nested = 0
     for t in tokens:
         c = t[0]
         if c == "\n":
-            lines += 1
-            if shape:
-                shapes["".join(shape)] += 1
-                shape = []
+            # Without braces a statement ends with its line, unless a bracket is open.
+            if hash_comments and line and not nested:
+                out.append((depth, line))
+                line = []
             continue
         if (c == "#" and hash_comments) or (c == "/" and len(t) > 1):
             continue
-        code += len(t)
-        if c in "\"'`":
-            literal += len(t)
-            n_lit += 1
-            shape.append("L")
-        elif c.isdigit():
-            literal += len(t)
-            n_lit += 1
-            shape.append("L")
-        elif c.isalpha() or c == "_" or c == "$":
-            names += 1
-            shape.append("N")
+        if c == "{" and not hash_comments:
+            line.append(t)
+            out.append((depth, line))
+            depth, line = depth + 1, []
+        elif c == "}" and not hash_comments:
+            if line:
+                out.append((depth, line))
+            depth, nested, line = max(0, depth - 1), 0, []
+            out.append((depth, [t]))
+        elif c == ";" and not nested:
+            line.append(t)
+            if len(line) == 1 and out and out[-1][1][-1] == "}":  # it belongs to the brace before
+                out[-1][1].append(t)
+            else:
+                out.append((depth, line))
+            line = []
         else:
-            if c in ";{}":
-                ends += 1
-            shape.append(c)
-    if shape:
-        shapes["".join(shape)] += 1
-    filled = sum(shapes.values())
-    return (ends / max(filled, 1), max(shapes.values(), default=0) / max(filled, 1), literal / max(code, 1), code, filled, n_lit, names)
+            if c in "([":
+                nested += 1
+            elif c in ")]":
+                nested = max(0, nested - 1)
+            line.append(t)
+    if line:
+        out.append((depth, line))
+    return out
+
+
+def emit(text: str, hash_comments: bool) -> str:
+    """The text in canonical layout."""
+    return "\n".join("    " * d + " ".join(line) for d, line in canonical((_TOKEN_HASH if hash_comments else _TOKEN_C).findall(text), hash_comments))
+
+
+def _shape(t: str) -> str:
+    c = t[0]
+    return "L" if c in "\"'`" or c.isdigit() else "N" if c.isalpha() or c in "_$" else c
+
+
+def layout(text: str, hash_comments: bool) -> tuple[float, float, float, float, int, int, int, int, int]:
+    """(expansion, agreement, uniformity, literal share, code characters, lines, canonical lines, literals, names)."""
+    tokens = (_TOKEN_HASH if hash_comments else _TOKEN_C).findall(text)
+    lines = canonical(tokens, hash_comments)
+    ours = {"".join(line) for _, line in lines}
+    shapes: Counter[str] = Counter()
+    code = literal = n_lit = names = 0
+    for _, line in lines:
+        shape = "".join(map(_shape, line))
+        shapes[shape] += 1
+        code += sum(map(len, line))
+        names += shape.count("N")
+        if "L" in shape:
+            n_lit += shape.count("L")
+            literal += sum(len(t) for t, k in zip(line, shape, strict=True) if k == "L")
+    filled = same = 0
+    own: list[str] = []
+    for t in (*tokens, "\n"):
+        if t == "\n":
+            if own:
+                filled += 1
+                same += "".join(own) in ours
+                own = []
+        elif not ((t[0] == "#" and hash_comments) or (t[0] == "/" and len(t) > 1)):
+            own.append(t)
+    return (len(lines) / max(filled, 1), same / max(filled, 1), max(shapes.values(), default=0) / max(len(lines), 1), literal / max(code, 1), code, filled, len(lines), n_lit, names)
 
 
 def judge(path: str, text: str | None, repo: str) -> tuple:
     text = text or ""
-    expansion, uniformity, literals, code, lines, n_lit, names = layout(text, path.lower().endswith(_HASH_EXT))
+    expansion, agreement, uniformity, literals, code, lines, printed, n_lit, names = layout(text, path.lower().endswith(_HASH_EXT))
     notice, foreign = signed_by(text, repo)
     minified = code >= 400 and (expansion >= 6 or code / max(lines, 1) >= 400) and names > n_lit / 2
     data = n_lit >= 5 and literals >= 0.5 and names <= 0.34 * n_lit + 4
-    uniform = lines >= 20 and uniformity >= 0.8
-    return (path, expansion, uniformity, literals, notice, foreign, minified, data, uniform)
+    uniform = printed >= 20 and uniformity >= 0.8
+    return (path, expansion, agreement, uniformity, literals, notice, foreign, minified, data, uniform)
 
 
 def layouts(documents: DataFrame) -> DataFrame:

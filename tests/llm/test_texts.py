@@ -181,10 +181,25 @@ CODE = "import { a } from './x';\n\n// Sums rows.\nexport function sum(rows) {\n
 ])
 def test_judge(path, text, want):
     r = H.judge(path, text, "proj")
-    got = {n for n, v in zip(("notice", "foreign", "minified", "data"), r[4:8], strict=True) if v}
+    got = {n for n, v in zip(("notice", "foreign", "minified", "data"), r[5:9], strict=True) if v}
     assert got == ({want} if want else set())
 
 
+def test_canonical_layout():
+    packed = "function a(b,c){for(let i=0;i<9;i++){d(b[i],c)}return b.d(c,1)}var e=f?g:h[2];"
+    pretty = "function a(b, c) {\n  for (let i = 0; i < 9; i++) {\n    d(b[i], c) // calls\n  }\n  return b.d(c, 1)\n}\nvar e = f ? g : h[2];\n"
+    assert H.emit(packed, False) == H.emit(pretty, False) == H.emit(H.emit(packed, False), False) and H.emit(packed, False).count("\n") == 6
+    assert H.layout(packed, False)[:2] == (7.0, 0.0) and H.layout(pretty, False)[:2] == (1.0, 1.0)
+    assert H.emit("x = [1,\n  2]\ny = f(x)  # why\n", True) == "x = [ 1 , 2 ]\ny = f ( x )"
+    printed = "".join(f"  table.put(k{i}, {i});\n" for i in range(30))
+    assert H.judge("/w/p/a.java", printed, "p")[-1] and not H.judge("/w/p/a.js", CODE * 3, "p")[-1]
+
+
+@pytest.mark.parametrize("notice", ["Autogenerado por gramc, no modificar", "Datei automatisch erzeugt von x", "Généré automatiquement par outil", "本文件由 gen 自动生成", "Gerado por x, não editar"])
+def test_notices_in_other_languages(notice):
+    assert H.signed_by(f"/* {notice} */\n" + CODE, "p") == (True, False) and H.signed_by(f"// the tool writes '{notice}'\n" + CODE, "p") == (False, False)
+
+
 def test_found_files(spark):
     f = "path string, content_hash string, size long, language string, data boolean"
     files = [(p, "ABC " if "lib" in p else "x", 1, "Go", True) for p in ("/w/r/lib.go", "/w/r/vendor/a/b.go", "/w/r/vendoring/b.go", "/w/r/dist/x.js", "/w/r/distance/x.js", "/w/r/a_pb2.py", "/w/r/pb_x.py", "/w/r/x.min.js", "/w/r/zz_generated.a_b.go", "/w/r/generated_report.go", "/w/r/hand.js", "/w/r/hand.js")]
