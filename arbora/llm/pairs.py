@@ -5,11 +5,15 @@ and every statement of every level is offered to the generalised LL parser of ``
 accepts, with no fault inside, is a function with its name, signature, lines and code, also when the rest of
 the file is broken.
 
-A description says something if, comment markers aside, one of its sentences does.  A sentence says nothing
-if it is marks, a placeholder, a tag without a description, a version or date, a tool directive, a pointer,
-a stock remark, a legal line, code (it parses as a statement), or the function's own name or signature in
-other words.  Besides, descriptions are turned into templates (own words taken out) and counted by hash over
-the whole corpus; a short template that at least one in 2,000 documented functions has is a stock remark.
+A description says something if, comment markers aside, one of its sentences does.
+1. Every sentence is turned into a template (the function's own words taken out, numbers folded), templates are
+   counted by hash over the whole corpus, and one that at least one in ``1 / STOCK_SHARE`` of all sentences has
+   (and ``STOCK_LEAST`` at least) is a stock remark, whatever it says.  This comes first and refuses most.
+2. Of the others, a sentence says nothing if it is only marks, a tag without a description, a parameter list,
+   code (it parses as a statement), or the function's own name or signature in other words.
+3. Last, for corpora too small to count in, there are lists of placeholders, pointers, directives and legal lines.
+Nodes meet the functions of their text first; those whose file has no text, or in which no function of that
+name parses, are judged by the node alone.
 
 Defined results: null or blank docstrings, and null names, give no pair; repeated rows of a node give one;
 a node without a text is judged but has no code; other columns are not read; empty tables give none.
@@ -22,7 +26,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.llm import gll
@@ -238,7 +242,7 @@ def _plain(s: str) -> str:
 
 def _is_code(s: str) -> bool:
     """Whether the generalised LL parser reads it as a statement, and it is not plain words."""
-    if not re.search(r"[()=;{}\[\]]", s) or len(s) > 400:
+    if not re.search(r"[()=;{}\[\]]", s):
         return False
     # Snippets may use another language's keywords as names, so they are read with and without keywords.
     return any(_reads_as(s, lang, start, names) for lang, start in (("python", "line"), ("typescript", "stmt"), ("java", "stmt"), ("go", "stmt"), ("rust", "stmt")) for names in (False, True))
@@ -278,15 +282,13 @@ def _is_signature(s: str, own: set[str]) -> bool:
     return bool(m) and (bool(re.match(r"\s*\(", s)) or {_stem(w) for w in _parts(s.split("(")[0])} <= own)
 
 
-def _says(s: str, own: set[str], signature: set[str]) -> bool:
-    """Whether one sentence says something about the function."""
+def _verdict(s: str, own: set[str], signature: set[str]) -> str:
+    """What one sentence is: marks, tag, name, signature, code or listed; or says, if it says something."""
     s = s.strip()
     if not re.search(r"[^\W\d_]", s):
-        return False
-    if _DIRECTIVE.match(s) or _LEGAL.match(s) or _VERSION.match(s) or _BARE_TAG.match(s):
-        return False
-    if re.fullmatch(r"\{?@\w+\s*[\w.#()]*\}?\.?", s) or re.fullmatch(r"</?\w+\s*/?>", s) or re.fullmatch(r":\w+:\.?", s):
-        return False
+        return "marks"
+    if _BARE_TAG.match(s) or re.fullmatch(r"\{?@\w+\s*[\w.#()]*\}?\.?", s) or re.fullmatch(r"</?\w+\s*/?>", s) or re.fullmatch(r":\w+:\.?", s):
+        return "tag"
     m = _PARAM_TAG.match(s)
     if m:
         rest = re.sub(r"^\{[^}]*\}\s*", "", m[1]).strip()
@@ -297,21 +299,25 @@ def _says(s: str, own: set[str], signature: set[str]) -> bool:
             rest = re.sub(r"^[\w$.]+\s*:\s*", "", rest, count=1) if s.startswith(":") else rest
         rest = rest.strip(" :.-")
         if tag.startswith(("type", "rtype")) and len(rest.split()) <= 2:
-            return False
-        return bool(re.search(r"[^\W\d_]", rest)) and _says(rest, own, signature)
-    plain = _plain(s)
-    if plain in PLACEHOLDERS or plain in POINTERS or plain in STOCK or plain in TAG_WORDS:
-        return False
-    if re.match(r"^(?:see|cf\.?|refer to|inherited from|overrides?|implements|same as|as in|@see|@link)\b(?:\s+(?:also|the|base|class|method|function))*\s+[\w.#:()/`{}@<>-]+\.?$", s, re.I):
-        return False
+            return "tag"
+        return _verdict(rest, own, signature) if re.search(r"[^\W\d_]", rest) else "tag"
     if re.fullmatch(r"[\w$]+\s*:", s):  # the name of a parameter or of a section, nothing after it
-        return False
+        return "tag"
     words = [_stem(w) for w in _parts(s) if w.lower() not in _GLUE]
     if not words or all(w in own for w in words) or (signature and all(w in own or w in signature for w in words)):
-        return False
+        return "name"
+    if _is_signature(s, own):
+        return "signature"
+    if _is_code(s):
+        return "code"
+    plain = _plain(s)
+    if plain in PLACEHOLDERS or plain in POINTERS or plain in STOCK or plain in TAG_WORDS or _DIRECTIVE.match(s) or _LEGAL.match(s) or _VERSION.match(s):
+        return "listed"
+    if re.match(r"^(?:see|cf\.?|refer to|inherited from|overrides?|implements|same as|as in|@see|@link)\b(?:\s+(?:also|the|base|class|method|function))*\s+[\w.#:()/`{}@<>-]+\.?$", s, re.I):
+        return "listed"
     if len(s.split()) == 1 and not re.search(r"[^\W\d_]{2,}\W+[^\W\d_]{2,}", s):
-        return False
-    return not (_is_signature(s, own) or _is_code(s))
+        return "listed"
+    return "says"
 
 
 _PLACE_FRONT = re.compile(r"^(?:todo|fixme|xxx|tbd|wip|note to self)\b(?:\s*\([^)]*\))?\s*:?\s*(?:later\b)?[.:!-]*\s*", re.I)
@@ -322,72 +328,90 @@ def sentences(line: str) -> list[str]:
     return [p for p in re.split(r"(?<=[.!?…])\s+(?=\S)|\s+(?=[@:](?:param|returns?|type|throws|raises)\b)|\s+—\s+", line) if p.strip()]
 
 
-def says_something(doc: str | None, name: str | None, signature: str | None) -> bool:
-    """Whether a description says anything about its function."""
+def judged_sentences(doc: str | None, name: str | None, signature: str | None) -> list[tuple[str, str]]:
+    """(template, verdict) of each sentence of a description; a template takes the words of the name out."""
     if not doc or not doc.strip():
-        return False
+        return []
     own = {_stem(w) for w in _parts(name or "")}
     sig = {_stem(w) for w in _parts(signature or "")}
+
+    def template(s: str) -> str:
+        words = ("_" if _stem(w) in own else "0" if w.isdigit() else w.lower() for w in _parts(s))
+        return re.sub(r"_(?: _)+", "_", " ".join(words))
+
     lines = bare_lines(doc)
-    block = "\n".join(x for x in lines if x)
-    if _is_signature(block, own) and "\n" not in block:
-        return False
+    filled = [x for x in lines if x]
+    if len(filled) == 1 and _is_signature(filled[0], own):
+        return [(template(filled[0]), "signature")]
+    out = []
     code = False
     for line in lines:
         if line.startswith("```"):
             code = not code
             continue
-        if code:
+        line = line if code else _XML.sub(" ", line).strip()
+        if not line:
             continue
-        line = _XML.sub(" ", line).strip()
-        if not line or _is_code(line):
+        if code or _is_code(line):
+            out.append((template(line), "code"))
             continue
         for s in sentences(line):
+            counted = template(s)
             before = None
             while s != before:
                 before = s
                 s = _TAG_FRONT.sub("", _PLACE_FRONT.sub("", s))
-            if s and _says(s, own, sig):
-                return True
-    return False
+            out.append((counted, _verdict(s, own, sig) if s else "tag"))
+    return out
 
 
-def template(doc: str, name: str | None) -> str:
-    """The description with the words of the name taken out, for counting."""
-    own = {_stem(w) for w in _parts(name or "")}
-    words = ["_" if _stem(w) in own else w.lower() for line in bare_lines(doc) for w in _parts(line)]
-    return re.sub(r"_(?: _)+", "_", " ".join("0" if w.isdigit() else w for w in words))
+def says_something(doc: str | None, name: str | None, signature: str | None) -> bool:
+    """Whether a description says anything about its function, without counts of a corpus."""
+    return any(v == "says" for _, v in judged_sentences(doc, name, signature))
 
 
 # ---------------------------------------------------------------- the operator
 
-_JUDGED = "id string, template string, n_words int, says boolean"
-STOCK_SHARE, STOCK_LEAST, STOCK_WORDS = 1 / 2000, 8, 12
+STOCK_SHARE, STOCK_LEAST = 1 / 4000, 8
 
 
-def described(nodes: DataFrame, functions_: DataFrame) -> DataFrame:
-    """(node_id, file_path, name, signature, start_line, docstring) of the functions that have a description
-    which says something; the signature comes from the text where the node has none."""
+def judged(nodes: DataFrame, functions_: DataFrame) -> DataFrame:
+    """The documented functions with their sentences (template, verdict, stock) and whether the text holds them."""
     n = nodes.filter("lower(trim(kind)) IN ('function', 'method') AND id IS NOT NULL AND trim(docstring) <> ''").select(
         "id", "name", "file_path", "start_line", "docstring", "signature").distinct()
-    seen = functions_.groupBy("path", "name").agg(F.min("signature").alias("found"))  # overloads: any will do for the words
-    j = n.join(seen.withColumnRenamed("path", "file_path"), ["file_path", "name"], "left").withColumn("signature", F.coalesce("signature", "found")).drop("found")
+    seen = functions_.groupBy(F.col("path").alias("file_path"), "name").agg(F.min("signature").alias("found"))  # overloads: any will do for the words
+    j = n.join(seen, ["file_path", "name"], "left").withColumn("in_text", F.col("found").isNotNull()).withColumn("signature", F.coalesce("signature", "found")).drop("found")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(batches, "docstring"):
-            t = [template(d, n) for d, n in zip(pdf["docstring"], pdf["name"], strict=True)]
-            yield pdf.assign(template=t, n_words=[len(x.split()) for x in t],
-                             says=[says_something(d, n, s) for d, n, s in zip(pdf["docstring"], pdf["name"], pdf["signature"], strict=True)])
-
-    judged = materialise(j.mapInPandas(run, "file_path string, name string, id string, start_line int, docstring string, signature string, template string, n_words int, says boolean"), "described")
-    counts = judged.filter(f"n_words <= {STOCK_WORDS}").groupBy("template").agg(F.countDistinct("id").alias("n"))
-    judged.agg(F.count(F.lit(1)).alias("total")).createOrReplaceTempView("arbora_documented")
-    counts.createOrReplaceTempView("arbora_templates")
-    # At most 1 / STOCK_SHARE templates can pass, so this side has a proven bound.
-    stock = judged.sparkSession.sql(
-        f"SELECT template FROM arbora_templates WHERE n >= {STOCK_LEAST} AND n >= {STOCK_SHARE!r} * (SELECT total FROM arbora_documented)")
-    return judged.filter("says").join(F.broadcast(stock), "template", "left_anti").select(
-        F.col("id").alias("node_id"), "file_path", "name", "signature", "start_line", "docstring")
+            yield pdf.assign(said=[[{"template": t, "verdict": v} for t, v in judged_sentences(d, n, s)] for d, n, s in zip(pdf["docstring"], pdf["name"], pdf["signature"], strict=True)])
+
+    rows = materialise(j.mapInPandas(run, "file_path string, name string, id string, start_line int, docstring string, signature string, in_text boolean, said array<struct<template: string, verdict: string>>"), "described")
+    each = rows.select("id", F.explode("said").alias("s")).select("id", F.xxhash64("s.template").alias("h"), "s.template")
+    counts = each.filter("template <> ''").groupBy("h").agg(F.countDistinct("id").alias("n"))
+    total = each.agg(F.count(F.lit(1)).alias("total")).scalar()
+    # At most 1 / STOCK_SHARE templates can pass; they come as one row, null for none.
+    stock = counts.filter((F.col("n") >= STOCK_LEAST) & (F.col("n") >= STOCK_SHARE * total)).agg(F.collect_set("h").alias("stock")).scalar()
+    return rows.withColumn("stock", stock).withColumn("said", F.transform("said", lambda s: F.struct(
+        s["template"].alias("template"), s["verdict"].alias("verdict"), F.array_contains("stock", F.xxhash64(s["template"])).alias("stock")))).drop("stock")
+
+
+def _steps(said: str = "said") -> Column:
+    """The step that decides a description: template, syntax, list, or says."""
+    left = F.filter(said, lambda s: ~s["stock"] & (s["template"] != ""))
+    return (F.when(F.exists(left, lambda s: s["verdict"] == "says"), "says").when(F.size(left) == 0, "template")
+            .when(F.exists(left, lambda s: s["verdict"] == "listed"), "list").otherwise("syntax"))
+
+
+def described(nodes: DataFrame, functions_: DataFrame) -> DataFrame:
+    """(node_id, file_path, name, signature, start_line, docstring) of the functions that have a description
+    which says something; the signature comes from the text where the node has none."""
+    return judged(nodes, functions_).filter(_steps() == "says").select(F.col("id").alias("node_id"), "file_path", "name", "signature", "start_line", "docstring")
+
+
+def steps(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(in_text, step, n): how many documented functions each step decides."""
+    return judged(nodes, extracted(documents, with_code=False)).groupBy("in_text", _steps().alias("step")).agg(F.countDistinct("id").alias("n"))
 
 
 def pairs(nodes: DataFrame, documents: DataFrame) -> DataFrame:

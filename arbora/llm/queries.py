@@ -22,6 +22,12 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.pairs(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "documents"))
 
 
+@R.add("p3_steps")
+def p3_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documented functions templates, syntax and lists refuse, and how many say something."""
+    return pairs.steps(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "documents"))
+
+
 @R.add("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "files"))
