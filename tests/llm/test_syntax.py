@@ -74,7 +74,7 @@ def test_valid(lang, text):
 
 @pytest.mark.parametrize(("lang", "text"), [(k, t) for k, v in BROKEN.items() for t in v])
 def test_broken(lang, text):
-    cost, kind, line = syntax.judge(text, lang)
+    cost, exact, kind, line = syntax.judge(text, lang)
     assert cost > 0 and kind and line > 0
 
 
@@ -120,11 +120,25 @@ def test_costs_do_not_hang_on_earlier_texts():
     assert sum(f.cost for f in p.check(text)) == alone
 
 
+@pytest.mark.parametrize(("lang", "text", "cost"), [
+    ("python", "x = f(a, b\n", 1), ("python", "x = a " + "+ b " * 30 + "c d e\n", 2), ("python", "x = a b c d e\n", 2), ("javascript", "let = = 1;\nlet a b c;\nf(1));\n", 3), ("java", "class A { int f( { return 1; } }\n", 2),
+    ("javascript", "const x = a\n" + "".join(f"  .f{i}(1)\n" for i in range(60)) + "let y = 2\nz()\nlet = = 1\n" + "z()\n" * 50, 1),
+    ("go", "package a\n\nfunc f() {\n\tx := := 1\n\ty = 2 3 4\n}\n", 2),
+])
+def test_costs(lang, text, cost):
+    assert syntax.judge(text, lang)[:2] == (cost, True) and not syntax.valid(text, lang)
+
+
+def test_costs_beyond_the_budget_are_marked():
+    assert syntax.judge("a " * 20 + "\n", "python")[:2] == (syntax.BUDGET + 1, False)
+    assert syntax.judge("a " * 5000 + "\n", "python")[:2] == (syntax.BUDGET + 1, False)
+
+
 def test_kinds_of_fault():
     body = "".join(f"def f{i}(a):\n    return a + {i}\n\n" for i in range(12))
-    assert syntax.judge(body + "def g(a):\n    return [", "python")[1] == "truncation"
-    assert syntax.judge(body + "<<<<<<< HEAD\nx = 1\n=======\nx = 2\n>>>>>>> b\n" + body, "python")[1] == "conflict"
-    assert syntax.judge("package a\n\nimport \"b\"\n\nfunc F() int {\n\treturn 1\n}\n", "python")[1] == "mismatch"
+    assert syntax.judge(body + "def g(a):\n    return [", "python")[2] == "truncation"
+    assert syntax.judge(body + "<<<<<<< HEAD\nx = 1\n=======\nx = 2\n>>>>>>> b\n" + body, "python")[2] == "conflict"
+    assert syntax.judge("package a\n\nimport \"b\"\n\nfunc F() int {\n\treturn 1\n}\n", "python")[2] == "mismatch"
 
 
 D, F = "path string, text string, is_excerpt boolean, cost int", "path string, language string, errors array<string>"
