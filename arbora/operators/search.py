@@ -1,8 +1,9 @@
 """Ranked symbol search: postings, BM25, substring and fuzzy matching, score adjustments.
 
-Searches take a set of queries (qid, query) and run against all nodes at once.  Prefix, substring and fuzzy
-matches are equi-joins on keys cut from both sides (three letters, or pieces of a name), followed by the
-exact test, so no query meets a name with which it shares nothing.
+Searches take a set of queries (qid, query) and run against all nodes at once.  Prefixes are looked up in the
+vocabulary (each token once, under its first one to three letters), substrings by pieces of two or three letters
+and near names by pieces of a third, all by equi-joins followed by the exact test, so no query meets a name with
+which it shares nothing.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ WEIGHTS = {"id": 0.0, "name": 20.0, "qualified_name": 5.0, "docstring": 1.0, "si
 K1, B = 1.2, 0.75
 #: Points by kind of node.
 KIND_BONUS = {
-    "function": 10, "method": 10, "interface": 9, "trait": 9, "route": 9, "class": 8, "component": 8, "struct": 6, "enum": 5, "module": 4, "namespace": 4,
-    "constant": 3, "enum_member": 3, "property": 3, "field": 3, "variable": 2,
+    "function": 10, "method": 10, "interface": 9, "trait": 9, "route": 9, "protocol": 9, "class": 8, "component": 8, "type_alias": 6, "struct": 6, "enum": 5,
+    "module": 4, "namespace": 4, "constant": 3, "enum_member": 3, "property": 3, "field": 3, "variable": 2, "import": 1, "export": 1,
 }
 #: Latin letters with marks and what they are folded to, position by position.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿđøł"
@@ -47,21 +48,36 @@ def postings(nodes: DataFrame) -> DataFrame:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """(qid, term): the distinct tokens of each query, camel case cut, of three letters or more."""
-    spaced = F.regexp_replace("query", r"([a-z0-9])([A-Z])", "$1 $2")
-    return queries.select("qid", F.explode(F.array_distinct(F.filter(tokens(F.regexp_replace(spaced, "_", " ")), lambda t: F.length(t) >= 3))).alias("term"))
+    """(qid, term): the distinct words of each query; the tokens of a word stand in a row, the last as a prefix.
+
+    ``::`` parts words, ``"*():^`` are dropped, the operators AND, OR, NOT and NEAR are no words.
+    """
+    words = F.filter(F.split(F.regexp_replace(F.regexp_replace("query", "::", " "), r'["*():^]', ""), r"\s+"), lambda w: ~w.isin("", "AND", "OR", "NOT", "NEAR"))
+    return queries.select("qid", F.explode(words).alias("w")).select("qid", F.array_join(tokens(F.col("w")), " ").alias("term")).filter("term <> ''").distinct()
 
 
-def term_hits(terms: DataFrame, posts: DataFrame) -> DataFrame:
-    """(qid, term, node, tf): weighted hits of each term as a prefix of tokens.
+def term_hits(terms: DataFrame, posts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(qid, term, node, tf): weighted hits of each term, whose last token is a prefix.
 
     Equal terms of different queries are matched once.
     """
-    p = posts.filter("col <> 'id'").withColumn("cut", F.substring("token", 1, 3))
+    p = posts.filter("col <> 'id'")
     weight = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
-    per = terms.select("term").distinct().withColumn("cut", F.substring("term", 1, 3)).join(p, "cut").filter(F.col("token").startswith(F.col("term"))).groupBy("term", "node").agg(
-        F.sum(weight[F.col("col")] * F.col("tf")).alias("tf"))
-    return terms.join(per, "term")
+    one = terms.select("term").distinct()
+    single, phrase = one.filter("instr(term, ' ') = 0"), one.filter("instr(term, ' ') > 0")
+    cuts = F.transform(F.sequence(F.lit(1), F.least(F.length("token"), F.lit(3))), lambda i: F.substring("token", F.lit(1), i))
+    vocabulary = p.select("token").distinct().withColumn("cut", F.explode(cuts))
+    meant = single.withColumn("cut", F.substring("term", 1, 3)).join(vocabulary, "cut").filter(F.startswith("token", "term")).select("term", "token")
+    by_token = meant.join(p, "token").groupBy("term", "node").agg(F.sum(weight[F.col("col")] * F.col("tf")).alias("tf"))
+    # Words of several tokens: the rows that hold the first one are read for the whole.
+    held = phrase.withColumn("token", F.substring_index("term", " ", 1)).join(p.select("token", "node", "col"), "token").select("term", "node", "col")
+    joined = F.element_at(F.create_map(*[x for c in WEIGHTS for x in (F.lit(c), F.concat(F.lit(" "), F.array_join(tokens(F.col(c)), " ")))]), F.col("_col"))
+    texts = nodes.select(F.col("id").alias("node"), *[c for c in WEIGHTS if c != "id"], "id")
+    j = held.withColumnRenamed("col", "_col").join(texts, "node")
+    step = F.length("term") + 1
+    n = (F.length(joined) - F.length(F.replace(joined, F.concat(F.lit(" "), "term"), F.lit("")))) / step
+    by_phrase = j.withColumn("n", n).filter("n > 0").groupBy("term", "node").agg(F.sum(weight[F.col("_col")] * F.col("n")).alias("tf"))
+    return terms.join(by_token.unionByName(by_phrase), "term")
 
 
 def bm25(queries: DataFrame, nodes: DataFrame, top: int) -> DataFrame:
@@ -69,41 +85,42 @@ def bm25(queries: DataFrame, nodes: DataFrame, top: int) -> DataFrame:
     posts = materialise(postings(nodes), "postings")  # read three times below
     size = posts.groupBy("node").agg(F.sum("tf").alias("size"))
     mean, total = size.agg(F.avg("size").alias("m")).scalar(), size.agg(F.count(F.lit(1)).alias("t")).scalar()
-    hits = term_hits(query_terms(queries), posts)
+    hits = materialise(term_hits(query_terms(queries), posts, nodes), "hits")  # read twice
     df = hits.select("term", "node").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     j = hits.join(df, "term").join(size, "node").withColumn("mean", mean).withColumn("total", total)
     idf = F.greatest(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
     scored = j.groupBy("qid", "node").agg(F.round(F.sum(part), 6).alias("score"))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "node")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    return best(scored, "qid", [F.desc("score"), F.col("node")], top)
 
 
-def _grams(c: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
+def _grams(c: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
 
 
 def like_tiers(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(qid, node, score): 1.0 equal, 0.9 prefix, 0.8 inside the name, 0.7 inside the qualified name.
-
-    Queries of fewer than three letters match by equality only.
-    """
+    """(qid, node, score): 1.0 equal, 0.9 prefix, 0.8 inside the name, 0.7 inside the qualified name, without regard to case
+    (1.0 with it); for queries of two letters or more."""
     n = nodes.select(F.col("id").alias("node"), "name", F.lower("name").alias("ln"), F.lower(F.coalesce("qualified_name", F.lit(""))).alias("lq"))
-    keyed = n.select("*", F.explode(F.array_union(_grams(F.col("ln")), _grams(F.col("lq")))).alias("cut"))
-    q = queries.select("qid", "query", F.lower("query").alias("lw")).withColumn("cut", F.substring("lw", 1, 3))
-    j = q.join(keyed, "cut")
-    score = (F.when(F.col("name") == F.col("query"), 1.0).when((F.length("lw") >= 3) & F.col("ln").startswith(F.col("lw")), 0.9)
-             .when((F.length("lw") >= 3) & F.col("ln").contains(F.col("lw")), 0.8).when((F.length("lw") >= 3) & F.col("lq").contains(F.col("lw")), 0.7))
-    return j.select("qid", "node", score.alias("score")).filter("score IS NOT NULL")
+    q = queries.select("qid", "query", F.lower("query").alias("lw")).filter("length(lw) >= 2")
+    parts = []
+    for size, some in ((2, q.filter("length(lw) = 2")), (3, q.filter("length(lw) > 2"))):
+        keyed = n.select("*", F.explode(F.array_union(_grams(F.col("ln"), size), _grams(F.col("lq"), size))).alias("cut"))
+        parts.append(some.withColumn("cut", F.substring("lw", 1, size)).join(keyed, "cut"))
+    score = (F.when(F.col("name") == F.col("query"), 1.0).when(F.col("ln").startswith(F.col("lw")), 0.9)
+             .when(F.col("ln").contains(F.col("lw")), 0.8).when(F.col("lq").contains(F.col("lw")), 0.7))
+    return parts[0].unionByName(parts[1]).select("qid", "node", score.alias("score"), F.length("name").alias("size")).filter("score IS NOT NULL")
 
 
 def fuzzy_names(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(qid, name, distance): names within one edit of queries of up to four letters, within two of longer ones.
 
     Of a name cut into three pieces one survives two edits unchanged and at most two places away, so pieces
-    of names and shifted pieces of queries meet in an equi-join.
+    of names and shifted pieces of queries meet in an equi-join.  Names of two letters meet queries of three by
+    the letters left when one is taken out.
     """
-    n = names.select("name", F.lower("name").alias("ln")).distinct().withColumn("len", F.length("ln")).filter("len >= 3")
+    every = names.select("name", F.lower("name").alias("ln")).distinct().withColumn("len", F.length("ln"))
+    n = every.filter("len >= 3")
     third = F.floor(F.col("len") / 3).cast("int")
     pieces = F.array(*[F.struct(F.lit(i).alias("i"), F.substring(F.col("ln"), F.lit(1) + third * i, third if i < 2 else F.col("len") - 2 * third).alias("seg")) for i in range(3)])
     left = n.select("name", "ln", "len", F.explode(pieces).alias("p")).select("name", "ln", "len", "p.i", "p.seg")
@@ -113,7 +130,10 @@ def fuzzy_names(queries: DataFrame, names: DataFrame) -> DataFrame:
         "at", F.lit(1) + third * F.col("i") + F.col("shift")).filter("at >= 1").withColumn("seg", F.substring(F.col("lw"), F.col("at"), size)).select("qid", "lw", "len", "i", "seg").distinct()
     j = right.join(left, ["len", "i", "seg"]).select("qid", "lw", "name", "ln").distinct()
     limit = F.when(F.length("lw") <= 4, 1).otherwise(2)
-    return j.withColumn("distance", F.levenshtein("lw", "ln")).filter(F.col("distance") <= limit).select("qid", "name", "distance")
+    near = j.withColumn("distance", F.levenshtein("lw", "ln")).filter(F.col("distance") <= limit).select("qid", "name", "distance")
+    less = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.concat(F.substring("lw", F.lit(1), i - 1), F.substring("lw", i + 1, F.lit(3)))))
+    short = queries.select("qid", F.lower("query").alias("lw")).filter("length(lw) = 3").select("qid", F.explode(less).alias("ln")).join(every.filter("len = 2"), "ln").select("qid", "name", F.lit(1).alias("distance"))
+    return near.unionByName(short)
 
 
 def kind_bonus(kind: str = "kind") -> Column:
@@ -121,10 +141,11 @@ def kind_bonus(kind: str = "kind") -> Column:
 
 
 def name_match_bonus(name: str, query: str) -> Column:
-    """Points for how the name meets the query of one word: equal, prefix, inside."""
+    """Points for how the name meets the query: equal, one of its words, prefix, all parts inside, inside."""
     n, q = F.lower(F.col(name)), F.lower(F.regexp_replace(F.col(query), r"\s", ""))
-    parts = F.filter(F.split(F.lower(F.regexp_replace(F.col(query), r"[_.\-]", " ")), r"\s+"), lambda t: F.length(t) >= 2)
-    return (F.when(n == q, 80).when(n.startswith(q), F.round(10.0 + 30.0 * F.length(q) / F.length(n)).cast("int"))
+    long_enough = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda t: F.length(t) >= 2)
+    words, parts = long_enough(F.col(query)), long_enough(F.regexp_replace(F.col(query), r"[_.\-]", " "))
+    return (F.when(n == q, 80).when((F.size(words) > 1) & F.array_contains(words, n), 60).when(n.startswith(q), F.round(10.0 + 30.0 * F.length(q) / F.length(n)).cast("int"))
             .when((F.size(parts) > 1) & F.forall(parts, lambda t: n.contains(t)), 15).when(n.contains(q), 10).otherwise(0))
 
 
@@ -146,18 +167,39 @@ def path_relevance(path: str, query: str) -> Column:
     return F.when(F.size(terms) == 0, 0).otherwise(points - F.when(~about_tests & is_test_path(path), 15).otherwise(0))
 
 
+def best(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows per ``by``, with their rank.
+
+    Rows of one key are first cut down within pieces of the key, so that no task sorts all rows of a hot key.
+    """
+    part = Window.partitionBy(by, "_piece").orderBy(*order)
+    few = rows.withColumn("_piece", F.pmod(F.xxhash64(*rows.columns), F.lit(32))).withColumn("_rn", F.row_number().over(part)).filter(F.col("_rn") <= k).drop("_rn", "_piece")
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
+
+
+def exact_names(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(qid, node): nodes named like a word of the query without regard to case, the twenty smallest ids per word."""
+    words = queries.select("qid", F.explode(F.array_distinct(F.split("query", r"\s+"))).alias("word")).filter("length(word) >= 2").select("qid", F.lower("word").alias("key"))
+    named = best(nodes.select(F.lower("name").alias("key"), F.col("id").alias("node")), "key", [F.col("node")], 20)
+    return words.join(named, "key").select("qid", "node").distinct()
+
+
 def search(queries: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
-    """(qid, node, score, rank): BM25, else substrings, else near names; then the bonuses by kind, name and path."""
+    """(qid, node, score, rank): BM25, else substrings, else near names; nodes that bear a word of the query as their
+    name join with the best score; then the bonuses by kind, name and path."""
     base = materialise(bm25(queries, nodes, max(5 * limit, 100)).select("qid", "node", "score"), "ranked")
     rest = queries.join(base.select("qid").distinct(), "qid", "left_anti")
-    like = materialise(like_tiers(rest, nodes), "inside")
+    like = materialise(best(like_tiers(rest, nodes), "qid", [F.desc("score"), F.col("size"), F.col("node")], limit).select("qid", "node", "score"), "inside")
     rest2 = rest.join(like.select("qid").distinct(), "qid", "left_anti")
-    near = fuzzy_names(rest2, nodes.select("name")).join(nodes.select("name", F.col("id").alias("node")), "name").select("qid", "node", (1.0 / (1 + F.col("distance"))).alias("score"))
-    hits = base.unionByName(like).unionByName(near).groupBy("qid", "node").agg(F.max("score").alias("score"))
-    j = hits.join(nodes.select(F.col("id").alias("node"), "kind", "name", "file_path"), "node").join(queries, "qid")
+    names = best(fuzzy_names(rest2, nodes.select("name")), "qid", [F.col("distance"), F.col("name")], max(2 * limit, 50)).drop("rank")
+    bearers = best(nodes.select("name", F.col("id").alias("node")), "name", [F.col("node")], 5).drop("rank")
+    near = best(names.join(bearers, "name"), "qid", [F.col("distance"), F.col("name"), F.col("node")], limit).select("qid", "node", (1.0 / (1 + F.col("distance"))).alias("score"))
+    hits = materialise(base.unionByName(like).unionByName(near), "found")
+    top = hits.groupBy("qid").agg(F.max("score").alias("score"))
+    more = exact_names(queries, nodes).join(top, "qid").join(hits.select("qid", "node"), ["qid", "node"], "left_anti").select("qid", "node", "score")
+    j = hits.unionByName(more).join(nodes.select(F.col("id").alias("node"), "kind", "name", "file_path"), "node").join(queries, "qid")
     total = F.round(F.col("score") + kind_bonus() + name_match_bonus("name", "query") + path_relevance("file_path", "query"), 6)
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "node")
-    return j.select("qid", "node", total.alias("score")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    return best(j.select("qid", "node", total.alias("score")), "qid", [F.desc("score"), F.col("node")], limit)
 
 
 # ------------------------------------------------------------------ parsing one query on the driver
