@@ -10,21 +10,22 @@ from arbora.operators import graph as G
 from arbora.operators import hierarchy as H
 from arbora.operators import search as S
 from arbora.session import ship_package
+from arbora.sources.tables import table
 from arbora.streaming import changes
 
 
 class GraphEngine:
     """Questions over nodes, edges, files and references (cleaned tables: one row per node and edge)."""
 
-    def __init__(self, spark: SparkSession, nodes: DataFrame, edges: DataFrame, files: DataFrame | None = None, refs: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, nodes: DataFrame, edges: DataFrame, files: DataFrame | None = None, refs: DataFrame | None = None, documents: DataFrame | None = None):
         ship_package(spark)
-        self.spark, self.nodes, self.edges, self.files, self.refs = spark, nodes, edges, files, refs
+        self.spark, self.nodes, self.edges, self.files, self.refs, self.documents = spark, nodes, edges, files, refs, documents
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> GraphEngine:
         from arbora.plans import graph_queries as q
 
-        return cls(spark, q.nodes(spark, folder), q.edges(spark, folder), q.files(spark, folder), q.refs(spark, folder))
+        return cls(spark, q.nodes(spark, folder), q.edges(spark, folder), q.files(spark, folder), q.refs(spark, folder), table(spark, folder, "documents"))
 
     def _seeds(self, *ids: str) -> DataFrame:
         return self.spark.createDataFrame([(i,) for i in ids], "seed string")
@@ -135,7 +136,9 @@ class GraphEngine:
     # ---- maintenance
 
     def resolve(self) -> DataFrame:
-        return resolve.resolve(self.refs, self.nodes, self.files)
+        from arbora.extract.imports import bindings
+
+        return resolve.resolve(self.refs, self.nodes, self.files, bindings(self.documents))
 
     def affected(self, paths: DataFrame) -> DataFrame:
         direct = self.nodes.join(paths.select(F.col("path").alias("file_path")), "file_path", "left_semi").select("id").distinct()

@@ -29,6 +29,36 @@ def go_imports(documents: DataFrame) -> DataFrame:
     return d.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r'(?m)^import\s+"([^"]+)"'), 1))).alias("module"))
 
 
+#: The forms of import statements by language; group 1 is a list of names, or (alias, name) in the order given.
+NAMED = r"""import\s*\{([^}]+)\}\s*from\s*['"][^'"]+['"]"""
+DEFAULT = r"""import\s+([A-Za-z_$][A-Za-z0-9_$]*)\s+from\s*['"][^'"]+['"]"""
+NAMESPACE = r"""import\s*\*\s+as\s+([A-Za-z_$][A-Za-z0-9_$]*)\s+from\s*['"][^'"]+['"]"""
+REQUIRED = r"""(?:const|let|var)\s*\{([^}]+)\}\s*=\s*require\s*\(\s*['"][^'"]+['"]\s*\)"""
+PY_FROM = r"(?m)^[ \t]*from[ \t]+\S+[ \t]+import[ \t]+([^\r\n#]+)"
+PY_IMPORT = r"(?m)^[ \t]*import[ \t]+([^\r\n#,;]+)"
+GO_IMPORT = r"""(?m)^(?:import\s+|[ \t]+)((?:\w+[ \t]+)?"[^"\n]+")[ \t]*\r?$"""
+PHP_USE = r"(?m)^use\s+([\w\\]+(?:\s+as\s+\w+)?)\s*;"
+_SCRIPT = r"\.(?:m?[jt]s|[jt]sx)$"
+
+
+def bindings(documents: DataFrame) -> DataFrame:
+    """(path, local, original): the names that import statements bind; original is null where the whole module is bound."""
+    d = documents.filter("path IS NOT NULL AND text IS NOT NULL").select("path", "text")
+    every = lambda *patterns: F.flatten(F.array(*[F.regexp_extract_all("text", F.lit(x), 1) for x in patterns]))
+    items = lambda c: F.flatten(F.transform(c, lambda x: F.split(x, ",")))
+    script, py, go, php = (F.col("path").rlike(x) for x in (_SCRIPT, r"\.py$", r"\.go$", r"\.php$"))
+    last = lambda c, sign: F.substring_index(c, sign, -1)
+    named = d.select("path", F.explode(F.when(script, items(every(NAMED, REQUIRED))).when(py, items(every(PY_FROM)))).alias("x")).withColumn("x", F.regexp_replace(F.trim(F.regexp_replace("x", r"[()\s]+", " ")), r"^type ", ""))
+    lists = named.select("path", F.regexp_extract("x", r"([\w$]+)$", 1).alias("local"), F.regexp_extract("x", r"^([\w$]+)", 1).alias("original"))
+    whole = d.select("path", F.explode(F.when(script, every(DEFAULT, NAMESPACE)).when(py, every(PY_IMPORT)).when(go, every(GO_IMPORT)).when(php, every(PHP_USE))).alias("x")).withColumn("x", F.trim("x"))
+    alias = F.regexp_extract("x", r"\sas\s+(\w+)$", 1)
+    local = (F.when(alias != "", alias).when(go & F.col("x").rlike(r"^\w"), F.regexp_extract("x", r"^(\w+)", 1)).when(go, last(F.regexp_replace("x", '"', ""), "/"))
+             .when(php, last(F.col("x"), "\\")).otherwise(F.col("x")))
+    original = F.when(php, F.regexp_extract("x", r"([\w]+)(?:\s+as\s+\w+)?$", 1))
+    modules = whole.select("path", local.alias("local"), original.alias("original"))
+    return lists.unionByName(modules).filter("local <> ''").distinct()
+
+
 def joined(folder: Column, relative: Column) -> Column:
     """``folder/relative`` with ``.`` and up to eight ``..`` steps taken."""
     p = F.regexp_replace(F.concat(folder, F.lit("/"), relative), r"/\./", "/")

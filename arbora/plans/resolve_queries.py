@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbora.extract import imports as I
 from arbora.operators import resolve as V
 from arbora.plans.graph_queries import files, nodes, refs
 from arbora.plans.registry import Registry
+from arbora.sources.tables import table
 
 R = Registry()
 _ENDINGS = "CASE regexp_extract({p}, '\\.([A-Za-z]+)$', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.ENDINGS.items()) + " ELSE 'unknown' END"
@@ -63,6 +65,34 @@ def c(s: SparkSession, d: str) -> DataFrame:
     return V.candidates(nodes(s, d))
 
 
+_Q = lambda x: x.replace("'", "''")
+_SCRIPT, _PY, _GO, _PHP = (f"regexp_matches(path, '{x}')" for x in (I._SCRIPT, "\\.py$", "\\.go$", "\\.php$"))
+_ALL_OF = lambda *ps: "list_concat(" + ", ".join(f"regexp_extract_all(text, '{_Q(x)}', 1)" for x in ps) + ")" if len(ps) > 1 else f"regexp_extract_all(text, '{_Q(ps[0])}', 1)"
+IMPORT_SQL = f"""src AS (SELECT path, text FROM documents WHERE path IS NOT NULL AND text IS NOT NULL),
+ bl AS (SELECT path, regexp_replace(trim(regexp_replace(unnest(string_split(x, ',')), '[()\\s]+', ' ', 'g')), '^type ', '') AS x FROM (
+  SELECT path, unnest(CASE WHEN {_SCRIPT} THEN {_ALL_OF(I.NAMED, I.REQUIRED)} WHEN {_PY} THEN {_ALL_OF(I.PY_FROM)} ELSE [] END) AS x FROM src)),
+ bw AS (SELECT path, trim(unnest(CASE WHEN {_SCRIPT} THEN {_ALL_OF(I.DEFAULT, I.NAMESPACE)} WHEN {_PY} THEN {_ALL_OF(I.PY_IMPORT)} WHEN {_GO} THEN {_ALL_OF(I.GO_IMPORT)} WHEN {_PHP} THEN {_ALL_OF(I.PHP_USE)} ELSE [] END)) AS x FROM src),
+ bound AS (SELECT DISTINCT path, local, original FROM (SELECT path, regexp_extract(x, '([\\w$]+)$', 1) AS local, regexp_extract(x, '^([\\w$]+)', 1) AS original FROM bl
+  UNION ALL SELECT path, CASE WHEN regexp_extract(x, '\\sas\\s+(\\w+)$', 1) <> '' THEN regexp_extract(x, '\\sas\\s+(\\w+)$', 1) WHEN {_GO} AND regexp_matches(x, '^\\w') THEN regexp_extract(x, '^(\\w+)', 1)
+   WHEN {_GO} THEN regexp_extract(replace(x, '"', ''), '[^/]*$') WHEN {_PHP} THEN regexp_extract(x, '[^\\\\]*$') ELSE x END, CASE WHEN {_PHP} THEN regexp_extract(x, '(\\w+)(?:\\s+as\\s+\\w+)?$', 1) END FROM bw) WHERE local <> ''),
+ bh AS (SELECT r.ref, b.local, coalesce(b.original, b.local) AS name FROM r JOIN bound b ON b.path = r.ref_file AND b.local = r.name),
+ bs AS (SELECT h.ref, min(c.node) AS node FROM bh h JOIN c ON c.name = h.name AND c.exported GROUP BY 1),
+ w0 AS (SELECT ref, node, 0.9::DOUBLE AS confidence FROM bs UNION ALL SELECT h.ref, min(c.node), 0.7::DOUBLE FROM bh h JOIN c ON c.name = h.local WHERE h.ref NOT IN (SELECT ref FROM bs) GROUP BY 1)"""
+
+
+def bound(s: SparkSession, d: str) -> DataFrame:
+    return I.bindings(table(s, d, "documents"))
+
+
+def resolved(s: SparkSession, d: str) -> DataFrame:
+    return V.resolve(refs(s, d), nodes(s, d), files(s, d), bound(s, d))
+
+
+R.add("import_bindings", f"{_BASE}, {IMPORT_SQL} SELECT path, local, original FROM bound")(bound)
+# Every name that a file imports, as a reference of that file.
+R.add("match_import", f"{_BASE}, {IMPORT_SQL}, u AS (SELECT DISTINCT path || '#' || local AS ref, local, path, coalesce(original, local) AS name FROM bound), us AS (SELECT u.ref, min(c.node) AS node FROM u JOIN c ON c.name = u.name AND c.exported GROUP BY 1)"
+      " SELECT ref, node, 0.9::DOUBLE AS confidence FROM us UNION ALL SELECT u.ref, min(c.node), 0.7::DOUBLE FROM u JOIN c ON c.name = u.local WHERE u.ref NOT IN (SELECT ref FROM us) GROUP BY 1")(
+    lambda s, d: V.match_import(bound(s, d).select(F.concat_ws("#", "path", "local").alias("ref"), F.col("local").alias("name"), F.col("path").alias("ref_file")).distinct(), c(s, d), bound(s, d)))
 R.add("builtin_filter", f"{_BASE}, {B_SQL} SELECT ref, builtin FROM b")(lambda s, d: V.is_builtin(c(s, d), r(s, d)))
 R.add("known_prefilter", f"{_BASE}, {K_SQL} SELECT ref FROM k")(lambda s, d: V.is_known(c(s, d), r(s, d)))
 R.add("match_file_path", f"{_BASE}, {FILE_SQL} SELECT * FROM w1")(lambda s, d: V.match_file_path(r(s, d), c(s, d), files(s, d)))
@@ -74,18 +104,21 @@ R.add("best_candidate", f"{_BASE}, xa AS (SELECT r.ref, c.node, {_POINTS.format(
     lambda s, d: V.scored(r(s, d), c(s, d)).withColumn("score", F.col("score").cast("int")))
 R.add("edge_kind_map", f"""SELECT id, CASE WHEN lower(trim(reference_kind)) = 'inherits' THEN 'extends' WHEN lower(trim(reference_kind)) IN ('calls', 'imports', 'contains', 'extends', 'implements', 'uses', 'instantiates', 'exports', 'renders', 'resolves')
  THEN lower(trim(reference_kind)) ELSE 'references' END AS kind FROM unresolved_refs""")(lambda s, d: refs(s, d).select("id", V.edge_kind(F.lower(F.trim("reference_kind"))).alias("kind")))
-_ALL = ", ".join([B_SQL, K_SQL, "keep AS (SELECT * FROM r WHERE ref IN (SELECT ref FROM b WHERE NOT builtin) AND ref IN (SELECT ref FROM k))"])
+_ALL = ", ".join([B_SQL, K_SQL, IMPORT_SQL, "keep AS (SELECT * FROM r WHERE ref IN (SELECT ref FROM b WHERE NOT builtin) AND (ref IN (SELECT ref FROM k) OR EXISTS (SELECT 1 FROM bound WHERE bound.path = r.ref_file AND (bound.local = r.name OR starts_with(r.name, bound.local || '.')))))"])
 _WAYS = ", ".join([FILE_SQL, QUAL_SQL, CALL_SQL, EXACT_SQL, FUZZY_SQL])
 RESOLVED = f"""{_BASE}, {_ALL}, {_WAYS}, w AS (SELECT ref, node, confidence, 'file_path' AS method, 0 AS place FROM w1 UNION ALL SELECT *, 'qualified', 1 FROM w2 UNION ALL SELECT *, 'method_call', 2 FROM w3
- UNION ALL SELECT *, 'exact_name', 3 FROM w4 UNION ALL SELECT *, 'fuzzy_lower', 4 FROM w5), z AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY place, node) AS rn FROM w WHERE ref IN (SELECT ref FROM keep)),
+ UNION ALL SELECT *, 'exact_name', 3 FROM w4 UNION ALL SELECT *, 'fuzzy_lower', 4 FROM w5),
+ zn AS (SELECT ref, node, confidence, method, 1 AS late FROM w WHERE ref IN (SELECT ref FROM keep) QUALIFY row_number() OVER (PARTITION BY ref ORDER BY place, node) = 1),
+ z AS (SELECT * FROM (SELECT * FROM zn WHERE confidence >= 0.3 UNION ALL SELECT ref, node, confidence, 'import', 0 FROM w0 WHERE ref IN (SELECT ref FROM keep))
+  QUALIFY row_number() OVER (PARTITION BY ref ORDER BY CASE WHEN late = 0 AND confidence >= 0.9 THEN 0 ELSE 1 END, confidence DESC, late DESC) = 1),
  resolved AS (SELECT z.ref, r.from_node_id AS source, z.node AS target, CASE WHEN r.ref_kind = 'inherits' THEN 'extends' WHEN r.ref_kind IN ('calls', 'imports', 'contains', 'extends', 'implements', 'uses', 'instantiates', 'exports', 'renders', 'resolves')
-  THEN r.ref_kind ELSE 'references' END AS kind, z.confidence, z.method FROM z JOIN r ON r.ref = z.ref WHERE z.rn = 1 AND z.confidence >= 0.3)"""
-R.add("resolve_cascade", f"{RESOLVED} SELECT * FROM resolved")(lambda s, d: V.resolve(refs(s, d), nodes(s, d), files(s, d)))
+  THEN r.ref_kind ELSE 'references' END AS kind, z.confidence, z.method FROM z JOIN r ON r.ref = z.ref)"""
+R.add("resolve_cascade", f"{RESOLVED} SELECT * FROM resolved")(lambda s, d: resolved(s, d))
 R.add("commit_resolved", f"{RESOLVED} SELECT ref, source, target, kind FROM resolved WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)")(
-    lambda s, d: (lambda k: V.resolve(refs(s, d), nodes(s, d), files(s, d)).join(k.withColumnRenamed("id", "source"), "source", "left_semi").join(k.withColumnRenamed("id", "target"), "target", "left_semi").select(
+    lambda s, d: (lambda k: resolved(s, d).join(k.withColumnRenamed("id", "source"), "source", "left_semi").join(k.withColumnRenamed("id", "target"), "target", "left_semi").select(
         "ref", "source", "target", "kind"))(nodes(s, d).select("id").distinct()))
 R.add("refs_left", f"{RESOLVED} SELECT id, reference_name FROM unresolved_refs WHERE id NOT IN (SELECT ref FROM resolved)")(
-    lambda s, d: refs(s, d).join(V.resolve(refs(s, d), nodes(s, d), files(s, d)).select(F.col("ref").alias("id")), "id", "left_anti").select("id", "reference_name"))
+    lambda s, d: refs(s, d).join(resolved(s, d).select(F.col("ref").alias("id")), "id", "left_anti").select("id", "reference_name"))
 
 _WORDS = _in([x[0] for x in V.CONVENTIONS])
 _LAST = "regexp_extract(name, '([A-Z][a-z]+)$', 1)"

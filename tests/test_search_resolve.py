@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from arbora.extract.imports import bindings
 from arbora.operators import context as X
 from arbora.operators import resolve as V
 from arbora.operators import search as S
@@ -29,10 +32,13 @@ def test_resolution_tiers(spark):
     ref = "id long, from_node_id string, reference_name string, reference_kind string, line int, col int, candidates array<string>, file_path string, language string"
     n = spark.createDataFrame([node("1", name="run", path="/r/a.py"), node("2", name="run", path="/r/b.py", line=50), node("3", "class", "Tool", path="/r/b.py"), node("4", name="only", path="/r/c.go")], NODES)
     rows = [(1, "x", "run", "calls", 49, 0, None, "/r/b.py", ""), (2, "x", "Tool.run", "calls", 1, 0, None, "/r/a.py", ""), (3, "x", "tool.run", "calls", 1, 0, None, "/r/a.py", ""), (4, "x", "ONLY", "calls", 1, 0, None, "/r/a.py", ""),
-            (5, "x", "only", "inherits", 1, 0, None, "/r/a.py", ""), (6, "x", "print", "calls", 1, 0, None, "/r/a.py", ""), (7, "x", "b.py", "imports", 1, 0, None, "/r/a.py", ""), (8, "x", None, None, None, None, None, None, None)]
+            (5, "x", "only", "inherits", 1, 0, None, "/r/a.py", ""), (6, "x", "print", "calls", 1, 0, None, "/r/a.py", ""), (9, "x", "go2", "calls", 1, 0, None, "/r/a.py", ""), (10, "x", "weak", "calls", 1, 0, None, "/r/a.py", ""), (7, "x", "b.py", "imports", 1, 0, None, "/r/a.py", ""), (8, "x", None, None, None, None, None, None, None)]
+    n = n.unionByName(n.filter("id = '4'").withColumn("is_exported", F.lit(True)).withColumn("id", F.lit("5")).withColumn("name", F.lit("walk"))).unionByName(n.filter("id = '3'").withColumn("id", F.lit("6")).withColumn("name", F.lit("weak")))
+    docs = spark.createDataFrame([("/r/a.py", "from m import walk as go2\nimport weak\n"), (None, "import x"), ("/r/c.go", None)], "path string, text string")
     paths = spark.createDataFrame([("/r/a.py",), ("/r/b.py",), ("/r/c.go",)], "path string")
-    got = {r["ref"]: (r["target"], r["confidence"], r["method"], r["kind"]) for r in V.resolve(spark.createDataFrame(rows, ref), n, paths).collect()}
+    got = {r["ref"]: (r["target"], r["confidence"], r["method"], r["kind"]) for r in V.resolve(spark.createDataFrame(rows, ref), n, paths, bindings(docs)).collect()}
     assert got[1] == ("2", 0.9, "exact_name", "calls") and got[2] == ("2", 0.85, "method_call", "calls") and got[3] == ("2", 0.75, "method_call", "calls")
+    assert got[9] == ("5", 0.9, "import", "calls") and got[10][0] == "6"  # imported under another name; a class of another file
     assert got[5] == ("4", 0.9, "exact_name", "extends")
     assert 6 not in got and 8 not in got and 4 not in got  # the language itself; no name; not an indexed name
 
