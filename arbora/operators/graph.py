@@ -47,26 +47,33 @@ def impact(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int) ->
     back = materialise(arcs(edges, "in").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi"), "back")
     boxes = nodes.filter(F.col("kind").isin(*CONTAINERS)).select(F.col("id").alias("src")).distinct()
     inner = materialise(arcs(edges, "out", ("contains",)).join(boxes, "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi"), "inner")
+    held = closure(inner)
     seen = None
     frontier = seeds.select("seed", F.col("seed").alias("node")).distinct()
     for level in range(depth + 1):
         if level:
             frontier = frontier.join(back, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-            frontier = materialise(frontier.join(seen.select("seed", "node"), ["seed", "node"], "left_anti"), "level")
-        layer = frontier
-        while True:  # contents of containers join at the same depth
-            more = frontier.join(inner, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-            more = more.join(layer, ["seed", "node"], "left_anti")
-            more = materialise(more.join(seen.select("seed", "node"), ["seed", "node"], "left_anti") if seen is not None else more, "contents")
-            if more.isEmpty():
-                break
-            layer, frontier = layer.unionByName(more), more
-        layer = layer.withColumn("depth", F.lit(level))
+        # Contents of containers join at the same depth.
+        layer = frontier.unionByName(frontier.join(held, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"))).distinct()
+        layer = layer if seen is None else layer.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        layer = materialise(layer.withColumn("depth", F.lit(level)), "layer")
         seen = layer if seen is None else seen.unionByName(layer)
         frontier = layer.select("seed", "node")
     return seen
 
 
+def closure(steps: DataFrame) -> DataFrame:
+    """(src, dst): all pairs that one step or more connect; every round doubles the steps that are looked over."""
+    now = materialise(steps.select("src", "dst").distinct(), "closure")
+    size = now.count()
+    while True:
+        two = now.join(now.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
+        now = materialise(now.unionByName(two).distinct(), "closure")
+        size, before = now.count(), size
+        if size == before:
+            return now
+
+
 def tree_edges(edges: DataFrame, reached: DataFrame, direction: str = "out") -> DataFrame:
     """(seed, node, edge_id): the edge that discovers each node, contains before calls before the rest."""
     ends = {"out": ("source", "target"), "in": ("target", "source")}[direction]
@@ -110,6 +117,10 @@ def components(pairs: DataFrame) -> DataFrame:
         label = new.drop("old")
 
 
+#: Steps that one written round takes where rounds are short.
+STEPS = 2
+
+
 def cyclic_groups(steps: DataFrame) -> DataFrame:
     """(node, group): nodes on cycles, by the smallest node of their strongly connected set.
 
@@ -122,8 +133,11 @@ def cyclic_groups(steps: DataFrame) -> DataFrame:
     while True:
         size = e.count()
         while size:
-            live = e.select(F.col("src").alias("node")).distinct().intersect(e.select(F.col("dst").alias("node")).distinct())
-            e = materialise(e.join(live.withColumnRenamed("node", "src"), "src", "left_semi").join(live.withColumnRenamed("node", "dst"), "dst", "left_semi"), "peeled")
+            for _ in range(STEPS):
+                # What nothing enters goes, then what nothing leaves.
+                e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+                e = e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+            e = materialise(e, "peeled")
             size, before = e.count(), size
             if size == before:
                 break
@@ -131,8 +145,11 @@ def cyclic_groups(steps: DataFrame) -> DataFrame:
             break
         colour = e.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node"))
         while True:
-            low = e.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("low"))
-            colour = materialise(colour.join(low, "node", "left").select("node", F.least("colour", F.coalesce("low", "colour")).alias("colour"), (F.col("low") < F.col("colour")).alias("moved")), "colour")
+            began = colour.withColumnRenamed("colour", "began")
+            for _ in range(STEPS):
+                low = e.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("low"))
+                colour = colour.join(low, "node", "left").select("node", F.least("colour", "low").alias("colour"))
+            colour = materialise(colour.join(began, "node").select("node", "colour", (F.col("colour") < F.col("began")).alias("moved")), "colour")
             still = colour.filter("moved").isEmpty()
             colour = colour.drop("moved")
             if still:

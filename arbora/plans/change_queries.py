@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.extract import frameworks, imports, languages, symbols
 from arbora.operators import context, store
 from arbora.operators.graph import file_dependencies
+from arbora.plans import sample_sources
 from arbora.plans.graph_queries import _CHANGED, E_SQL, F_SQL, N_SQL, changed, edges, files, nodes, refs
 from arbora.plans.registry import Registry
 from arbora.session import fresh_path
@@ -76,13 +77,34 @@ R.add("python_imports", "SELECT DISTINCT path, unnest(regexp_extract_all(text, '
 R.add("go_imports", "SELECT DISTINCT path, unnest(regexp_extract_all(text, '(?m)^import\\s+\"([^\"]+)\"', 1)) AS module FROM documents WHERE path LIKE '%.go' AND text IS NOT NULL")(
     lambda s, d: imports.go_imports(table(s, d, "documents")))
 _PROBES = ", ".join(f"{{'place': {i}, 'tail': '{x}'}}" for i, x in enumerate(imports.PROBES))
-R.add("import_probe", f"""WITH i AS ({_JS}), t AS (SELECT path, module, unnest([{_PROBES}]) AS p FROM i WHERE module LIKE './%'),
- h AS (SELECT t.path, t.module, regexp_replace(t.path, '/[^/]*$', '') || substr(t.module, 2) || t.p.tail AS target, t.p.place AS place FROM t)
+#: Every script file imports the next one of its folder, with its ending and without.
+_NEXT = """i AS (SELECT path, unnest(['./' || regexp_extract(nxt, '[^/]*$'), './' || regexp_replace(regexp_extract(nxt, '[^/]*$'), '\\.[^.]*$', ''), '../' || regexp_extract(folder, '[^/]*$') || '/' || regexp_extract(nxt, '[^/]*$')]) AS module, folder FROM (
+ SELECT path, regexp_replace(path, '/[^/]*$', '') AS folder, lead(path) OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY path) AS nxt FROM (SELECT DISTINCT path FROM files WHERE regexp_matches(path, '\\.(m?[jt]s|[jt]sx)$'))) WHERE nxt IS NOT NULL)"""
+
+
+def _next_imports(s: SparkSession, d: str) -> DataFrame:
+    folder, base = F.regexp_replace("path", r"/[^/]*$", ""), F.regexp_extract("nxt", r"[^/]*$", 0)
+    scripts = table(s, d, "files").filter(F.col("path").rlike(r"\.(m?[jt]s|[jt]sx)$")).select("path").distinct().withColumn("folder", folder)
+    pairs = scripts.withColumn("nxt", F.lead("path").over(Window.partitionBy("folder").orderBy("path"))).filter("nxt IS NOT NULL")
+    return pairs.select("path", F.explode(F.array(F.concat(F.lit("./"), base), F.concat(F.lit("./"), F.regexp_replace(base, r"\.[^.]*$", "")),
+                                                  F.concat(F.lit("../"), F.regexp_extract("folder", r"[^/]*$", 0), F.lit("/"), base))).alias("module"))
+
+
+R.add("import_probe", f"""WITH {_NEXT}, t AS (SELECT path, module, folder, unnest([{_PROBES}]) AS p FROM i),
+ h AS (SELECT path, module, CASE WHEN module LIKE './%' THEN folder || substr(module, 2) ELSE regexp_replace(folder, '/[^/]*$', '') || substr(module, 3) END || p.tail AS target, p.place AS place FROM t)
  SELECT path, module, target FROM (SELECT *, row_number() OVER (PARTITION BY path, module ORDER BY place) AS rn FROM h WHERE target IN (SELECT path FROM files)) WHERE rn = 1""")(
-    lambda s, d: imports.probe(imports.script_imports(table(s, d, "documents")), table(s, d, "files")))
+    lambda s, d: imports.probe(_next_imports(s, d), table(s, d, "files")))
 R.add("extract_symbols")(lambda s, d: symbols.extracted(table(s, d, "documents")))
-R.add("extract_declarations")(lambda s, d: frameworks.extracted_declarations(table(s, d, "documents")))
-R.add("extract_routes")(lambda s, d: frameworks.extracted_routes(table(s, d, "documents")))
+
+
+def _with_samples(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("path", "text").unionByName(s.createDataFrame(sample_sources.SOURCES, "path string, text string"))
+
+
+# The documents hold no framework code: what comes out are the rows of the sample texts.
+R.add("extract_declarations", sample_sources.values(sample_sources.DECLARATIONS, "file_path, line, kind, name, framework"))(lambda s, d: frameworks.extracted_declarations(_with_samples(s, d)))
+R.add("extract_routes", sample_sources.values(sample_sources.ROUTES, "file_path, line, verb, path, handler, framework"))(
+    lambda s, d: frameworks.extracted_routes(_with_samples(s, d)).drop("route_id"))
 
 
 def _questions(s: SparkSession, d: str) -> DataFrame:

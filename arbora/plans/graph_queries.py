@@ -45,8 +45,13 @@ def count() -> F.Column:
     return F.count(F.lit(1)).alias("n")
 
 
-def seeds(s: SparkSession, d: str, kind: str = "module") -> DataFrame:
-    return nodes(s, d).filter(F.col("kind") == kind).select(F.col("id").alias("seed"))
+#: Query nodes: those of all kinds whose id has a hash divisible by 50.
+_ASKED = "('0x' || substr(md5({c}), 1, 7))::BIGINT % 50 = 0"
+
+
+def seeds(s: SparkSession, d: str) -> DataFrame:
+    """(seed): the query nodes."""
+    return nodes(s, d).filter("CAST(conv(substr(md5(id), 1, 7), 16, 10) AS BIGINT) % 50 = 0").select(F.col("id").alias("seed"))
 
 
 # ------------------------------------------------------------------ catalogue
@@ -117,8 +122,8 @@ R.add("nodes_by_kind_list", f"WITH {N_SQL} SELECT id, name FROM n WHERE kind IN
 R.add("nodes_by_lower_name", f"WITH {N_SQL} SELECT r.id AS ref_id, min(n.id) AS id, count(*) AS bearers FROM unresolved_refs r JOIN n ON lower(n.name) = lower(r.reference_name) GROUP BY 1")(
     lambda s, d: refs(s, d).select(F.col("id").alias("ref_id"), F.lower("reference_name").alias("k")).join(
         nodes(s, d).groupBy(F.lower("name").alias("k")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("bearers")), "k").select("ref_id", "id", "bearers"))
-R.add("nodes_by_qualified_name", f"WITH {N_SQL} SELECT b.id AS builtin, n.id FROM builtin_symbols b JOIN n ON n.qualified_name = b.qualified_name")(
-    lambda s, d: T.table(s, d, "builtin_symbols").select(F.col("id").alias("builtin"), "qualified_name").join(nodes(s, d).select("id", "qualified_name"), "qualified_name").select("builtin", "id"))
+R.add("nodes_by_qualified_name", f"WITH {N_SQL}, q AS (SELECT DISTINCT qualified_name FROM n WHERE kind = 'method') SELECT q.qualified_name, n.id, n.kind FROM q JOIN n ON n.qualified_name = q.qualified_name")(
+    lambda s, d: nodes(s, d).filter("kind = 'method'").select("qualified_name").distinct().join(nodes(s, d).select("qualified_name", "id", "kind"), "qualified_name"))
 R.add("exact_name_multi", f"""WITH {N_SQL}, q AS (SELECT DISTINCT lower(reference_name) AS k FROM unresolved_refs)
  SELECT k, id FROM (SELECT q.k, n.id, row_number() OVER (PARTITION BY q.k ORDER BY n.name, n.id) AS rn FROM q JOIN n ON lower(n.name) = q.k WHERE n.kind IN ('function', 'method', 'class')) WHERE rn <= 20""")(
     lambda s, d: refs(s, d).select(F.lower("reference_name").alias("k")).distinct().join(
@@ -225,7 +230,7 @@ R.add("locate_names", f"""WITH {N_SQL}, {E_SQL}, {DEG_SQL} SELECT name, id, plac
 # ------------------------------------------------------------------ traversals
 
 
-def _reach_sql(step: str, depth: int, seed: str = "SELECT id AS seed FROM n WHERE kind = 'module'", known: bool = True) -> str:
+def _reach_sql(step: str, depth: int, seed: str = f"SELECT id AS seed FROM n WHERE {_ASKED.format(c='id')}", known: bool = True) -> str:
     here = " AND dst IN (SELECT id FROM n)" if known else ""
     return f"""WITH RECURSIVE {N_SQL}, {E_SQL}, step AS (SELECT DISTINCT src, dst FROM ({step}) WHERE src IS NOT NULL AND dst IS NOT NULL{here}),
  r(seed, node, depth) AS (SELECT seed, seed, 0 FROM ({seed}) UNION SELECT r.seed, step.dst, r.depth + 1 FROM r JOIN step ON step.src = r.node WHERE r.depth < {depth})
@@ -236,24 +241,24 @@ _OUT, _IN = "SELECT source AS src, target AS dst FROM e", "SELECT target AS src,
 _USE = " WHERE kind IN ('calls', 'references', 'imports')"
 
 
-def _add_reach(name: str, direction: str, kinds: tuple[str, ...] | None, depth: int, kind: str = "module") -> None:
+def _add_reach(name: str, direction: str, kinds: tuple[str, ...] | None, depth: int) -> None:
     where = f" WHERE kind IN ({', '.join(repr(k) for k in kinds)})" if kinds else ""
     step = {"out": _OUT + where, "in": _IN + where, "both": f"{_OUT}{where} UNION {_IN}{where}"}[direction]
 
     def run(s: SparkSession, d: str) -> DataFrame:
         n = nodes(s, d)
-        return G.reach(G.arcs(edges(s, d), direction, kinds), n.filter(F.col("kind") == kind).select(F.col("id").alias("seed")), depth, n)
+        return G.reach(G.arcs(edges(s, d), direction, kinds), seeds(s, d), depth, n)
 
-    R.add(name, _reach_sql(step, depth, f"SELECT id AS seed FROM n WHERE kind = '{kind}'"))(run)
+    R.add(name, _reach_sql(step, depth))(run)
 
 
 _add_reach("bfs_out_2", "out", None, 2)
 _add_reach("bfs_both_2", "both", None, 2)
 _add_reach("bfs_contains_4", "out", ("contains",), 4)
-_add_reach("callers_khop", "in", G.USE_KINDS, 2, "struct")
-_add_reach("callees_khop", "out", G.USE_KINDS, 2, "struct")
+_add_reach("callers_khop", "in", G.USE_KINDS, 2)
+_add_reach("callees_khop", "out", G.USE_KINDS, 2)
 _add_reach("impact_http_3", "in", None, 3)
-_add_reach("neighborhood", "both", ("calls", "references", "extends", "implements"), 2, "struct")
+_add_reach("neighborhood", "both", ("calls", "references", "extends", "implements"), 2)
 _add_reach("dfs_reach", "out", ("contains", "calls"), 3)
 
 
@@ -279,20 +284,20 @@ _one_hop("children", "source", "target", ("contains",))
 @R.add("impact_radius_2", f"""WITH RECURSIVE {N_SQL}, {E_SQL}, k AS (SELECT DISTINCT id FROM n), box AS (SELECT id FROM n WHERE kind IN ('class', 'interface', 'struct', 'trait', 'module', 'enum')),
  step AS (SELECT DISTINCT target AS src, source AS dst, 1 AS cost FROM e WHERE source IN (SELECT id FROM k)
   UNION SELECT DISTINCT source, target, 0 FROM e WHERE kind = 'contains' AND source IN (SELECT id FROM box) AND target IN (SELECT id FROM k)),
- r(seed, node, depth) AS (SELECT id, id, 0 FROM n WHERE kind = 'struct' UNION SELECT r.seed, step.dst, r.depth + step.cost FROM r JOIN step ON step.src = r.node WHERE r.depth + step.cost <= 2)
+ r(seed, node, depth) AS (SELECT id, id, 0 FROM n WHERE {_ASKED.format(c='id')} UNION SELECT r.seed, step.dst, r.depth + step.cost FROM r JOIN step ON step.src = r.node WHERE r.depth + step.cost <= 2)
  SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1, 2""")
 def impact_radius_2(s: SparkSession, d: str) -> DataFrame:
-    return G.impact(edges(s, d), nodes(s, d), seeds(s, d, "struct"), 2)
+    return G.impact(edges(s, d), nodes(s, d), seeds(s, d), 2)
 
 
 @R.add("type_hierarchy", f"""WITH RECURSIVE {N_SQL}, {E_SQL}, step AS (SELECT DISTINCT source AS src, target AS dst FROM e WHERE kind IN ('extends', 'implements') AND target IN (SELECT id FROM n)),
  back AS (SELECT DISTINCT target AS src, source AS dst FROM e WHERE kind IN ('extends', 'implements') AND source IN (SELECT id FROM n)),
- u(seed, node) AS (SELECT id, id FROM n WHERE kind = 'struct' UNION SELECT u.seed, step.dst FROM u JOIN step ON step.src = u.node),
- v(seed, node) AS (SELECT id, id FROM n WHERE kind = 'struct' UNION SELECT v.seed, back.dst FROM v JOIN back ON back.src = v.node)
+ u(seed, node) AS (SELECT id, id FROM n WHERE {_ASKED.format(c='id')} UNION SELECT u.seed, step.dst FROM u JOIN step ON step.src = u.node),
+ v(seed, node) AS (SELECT id, id FROM n WHERE {_ASKED.format(c='id')} UNION SELECT v.seed, back.dst FROM v JOIN back ON back.src = v.node)
  SELECT seed, node, 'above' AS side FROM u WHERE seed <> node UNION ALL SELECT seed, node, 'below' FROM v WHERE seed <> node""")
 def type_hierarchy(s: SparkSession, d: str) -> DataFrame:
     n, e, kinds = nodes(s, d), edges(s, d), ("extends", "implements")
-    side = lambda way, name: G.reach(G.arcs(e, way, kinds), seeds(s, d, "struct"), None, n).filter("seed <> node").select("seed", "node", F.lit(name).alias("side"))
+    side = lambda way, name: G.reach(G.arcs(e, way, kinds), seeds(s, d), None, n).filter("seed <> node").select("seed", "node", F.lit(name).alias("side"))
     return side("out", "above").unionByName(side("in", "below"))
 
 
@@ -322,14 +327,14 @@ def sibling_anchors(s: SparkSession, d: str) -> DataFrame:
 
 
 @R.add("shortest_path", f"""WITH RECURSIVE {N_SQL}, {E_SQL}, step AS (SELECT DISTINCT source AS src, target AS dst FROM e WHERE kind IN ('calls', 'references', 'contains') AND target IN (SELECT id FROM n)),
- pair AS (SELECT id AS seed, (SELECT target FROM e WHERE target IN (SELECT id FROM n) GROUP BY 1 ORDER BY count(*) DESC, target LIMIT 1) AS goal FROM n WHERE kind IN ('module', 'struct')),
+ pair AS (SELECT id AS seed, (SELECT target FROM e WHERE target IN (SELECT id FROM n) GROUP BY 1 ORDER BY count(*) DESC, target LIMIT 1) AS goal FROM n WHERE {_ASKED.format(c='id')}),
  r(seed, goal, node, path) AS (SELECT seed, goal, seed, [seed] FROM pair UNION SELECT r.seed, r.goal, step.dst, list_append(r.path, step.dst) FROM r JOIN step ON step.src = r.node WHERE len(r.path) <= 4 AND r.node <> r.goal),
  hit AS (SELECT *, row_number() OVER (PARTITION BY seed, goal ORDER BY len(path), path) AS rn FROM r WHERE node = goal)
  SELECT seed, goal, array_to_string(path, ' > ') AS path, CAST(len(path) - 1 AS INTEGER) AS length FROM hit WHERE rn = 1""")
 def shortest_path(s: SparkSession, d: str) -> DataFrame:
     n = nodes(s, d)
     goal = edges(s, d).join(n.select(F.col("id").alias("target")), "target", "left_semi").groupBy("target").agg(count()).orderBy(F.desc("n"), "target").limit(1).select("target").scalar()
-    pairs = n.filter(F.col("kind").isin("module", "struct")).select(F.col("id").alias("seed"), goal.alias("goal"))
+    pairs = seeds(s, d).select("seed", goal.alias("goal"))
     steps = G.arcs(edges(s, d), "out", ("calls", "references", "contains")).join(n.select(F.col("id").alias("dst")), "dst", "left_semi")
     return G.shortest_paths(steps, pairs, 4)
 
@@ -361,7 +366,7 @@ def file_graph(s: SparkSession, d: str) -> DataFrame:
 
 
 @R.add("bfs_tree_edges", f"""WITH RECURSIVE {N_SQL}, {E_SQL}, step AS (SELECT DISTINCT source AS src, target AS dst FROM e WHERE target IN (SELECT id FROM n)),
- r(seed, node, depth) AS (SELECT id, id, 0 FROM n WHERE kind = 'module' UNION SELECT r.seed, step.dst, r.depth + 1 FROM r JOIN step ON step.src = r.node WHERE r.depth < 2),
+ r(seed, node, depth) AS (SELECT id, id, 0 FROM n WHERE {_ASKED.format(c='id')} UNION SELECT r.seed, step.dst, r.depth + 1 FROM r JOIN step ON step.src = r.node WHERE r.depth < 2),
  m AS (SELECT seed, node, min(depth) AS depth FROM r GROUP BY 1, 2)
  SELECT seed, node, edge_id FROM (SELECT m.seed, m.node, e.id AS edge_id, row_number() OVER (PARTITION BY m.seed, m.node ORDER BY CASE e.kind WHEN 'contains' THEN 0 WHEN 'calls' THEN 1 ELSE 2 END, e.id) AS rn
  FROM m JOIN e ON e.target = m.node JOIN m u ON u.seed = m.seed AND u.node = e.source AND u.depth = m.depth - 1 WHERE m.depth > 0) WHERE rn = 1""")
@@ -371,11 +376,11 @@ def bfs_tree_edges(s: SparkSession, d: str) -> DataFrame:
 
 
 @R.add("connected_core", f"""WITH RECURSIVE {N_SQL}, {E_SQL}, step AS (SELECT DISTINCT src, dst FROM ({_OUT} UNION {_IN}) WHERE dst IN (SELECT id FROM n)),
- r(seed, node, depth) AS (SELECT id, id, 0 FROM n WHERE kind = 'struct' UNION SELECT r.seed, step.dst, r.depth + 1 FROM r JOIN step ON step.src = r.node WHERE r.depth < 2),
+ r(seed, node, depth) AS (SELECT id, id, 0 FROM n WHERE {_ASKED.format(c='id')} UNION SELECT r.seed, step.dst, r.depth + 1 FROM r JOIN step ON step.src = r.node WHERE r.depth < 2),
  m AS (SELECT seed, node, min(depth) AS depth FROM r GROUP BY 1, 2) SELECT seed, node, place FROM (SELECT seed, node, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS place FROM m) WHERE place <= 30""")
 def connected_core(s: SparkSession, d: str) -> DataFrame:
     n = nodes(s, d)
-    r = G.reach(G.arcs(edges(s, d), "both"), seeds(s, d, "struct"), 2, n)
+    r = G.reach(G.arcs(edges(s, d), "both"), seeds(s, d), 2, n)
     return r.withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy("depth", "node"))).filter("place <= 30").select("seed", "node", "place")
 
 
@@ -462,7 +467,7 @@ R.add("file_symbol_coverage", f"WITH {N_SQL} SELECT file_path, count(DISTINCT lo
 
 
 @R.add("subgraph_edges", f"""WITH RECURSIVE {N_SQL}, {E_SQL}, step AS (SELECT DISTINCT src, dst FROM ({_OUT} UNION {_IN}) WHERE dst IN (SELECT id FROM n)),
- r(node, depth) AS (SELECT id, 0 FROM n WHERE kind = 'module' UNION SELECT step.dst, r.depth + 1 FROM r JOIN step ON step.src = r.node WHERE r.depth < 1), k AS (SELECT DISTINCT node FROM r JOIN n ON n.id = r.node WHERE n.kind <> 'file')
+ r(node, depth) AS (SELECT id, 0 FROM n WHERE {_ASKED.format(c='id')} UNION SELECT step.dst, r.depth + 1 FROM r JOIN step ON step.src = r.node WHERE r.depth < 1), k AS (SELECT DISTINCT node FROM r JOIN n ON n.id = r.node WHERE n.kind <> 'file')
  SELECT DISTINCT id, source, target, kind FROM e WHERE source IN (SELECT node FROM k) AND target IN (SELECT node FROM k)""")
 def subgraph_edges(s: SparkSession, d: str) -> DataFrame:
     """Edges among what surrounds the modules, files left out, without dangling ones."""

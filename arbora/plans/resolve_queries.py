@@ -95,8 +95,24 @@ R.add("match_import", f"{_BASE}, {IMPORT_SQL}, u AS (SELECT DISTINCT path || '#'
     lambda s, d: V.match_import(bound(s, d).select(F.concat_ws("#", "path", "local").alias("ref"), F.col("local").alias("name"), F.col("path").alias("ref_file")).distinct(), c(s, d), bound(s, d)))
 R.add("builtin_filter", f"{_BASE}, {B_SQL} SELECT ref, builtin FROM b")(lambda s, d: V.is_builtin(c(s, d), r(s, d)))
 R.add("known_prefilter", f"{_BASE}, {K_SQL} SELECT ref FROM k")(lambda s, d: V.is_known(c(s, d), r(s, d)))
-R.add("match_file_path", f"{_BASE}, {FILE_SQL} SELECT * FROM w1")(lambda s, d: V.match_file_path(r(s, d), c(s, d), files(s, d)))
-R.add("match_qualified", f"{_BASE}, {QUAL_SQL} SELECT * FROM w2")(lambda s, d: V.match_qualified(r(s, d), c(s, d)))
+#: References made from the tables: every file by its path, its last two parts and its name; every node by its qualified name, or without its first part.
+_FILES_R = """r AS (SELECT path || '#' || k AS ref, CASE k WHEN 0 THEN path WHEN 1 THEN array_to_string(list_slice(string_split(path, '/'), -2, -1), '/') ELSE regexp_extract(path, '[^/]*$') END AS name
+ FROM (SELECT DISTINCT path FROM files WHERE path IS NOT NULL), (SELECT unnest([0, 1, 2]) AS k))"""
+_NODES_R = "r AS (SELECT node AS ref, CASE WHEN substr(md5(node), 1, 1) < '8' THEN qualified_name ELSE regexp_replace(qualified_name, '^[^:]*::', '') END AS name FROM c WHERE qualified_name <> '' QUALIFY row_number() OVER (PARTITION BY node ORDER BY qualified_name) = 1)"
+
+
+def _file_refs(s: SparkSession, d: str) -> DataFrame:
+    forms = [F.col("path"), F.array_join(F.slice(F.split("path", "/"), -2, 2), "/"), F.substring_index("path", "/", -1)]
+    return files(s, d).filter("path IS NOT NULL").select("path").distinct().select("path", F.posexplode(F.array(*forms)).alias("k", "name")).select(F.concat_ws("#", "path", "k").alias("ref"), "name")
+
+
+def _node_refs(s: SparkSession, d: str) -> DataFrame:
+    whole = c(s, d).filter("qualified_name <> ''").groupBy("node").agg(F.min("qualified_name").alias("q"))
+    return whole.select(F.col("node").alias("ref"), F.when(F.substring(F.md5("node"), 1, 1) < "8", F.col("q")).otherwise(F.regexp_replace("q", "^[^:]*::", "")).alias("name"))
+
+
+R.add("match_file_path", f"WITH {C_SQL}, {_FILES_R}, {FILE_SQL} SELECT * FROM w1")(lambda s, d: V.match_file_path(_file_refs(s, d), c(s, d), files(s, d)))
+R.add("match_qualified", f"WITH {C_SQL}, {_NODES_R}, {QUAL_SQL} SELECT * FROM w2")(lambda s, d: V.match_qualified(_node_refs(s, d), c(s, d)))
 R.add("match_method_call", f"{_BASE}, {CALL_SQL} SELECT * FROM w3")(lambda s, d: V.match_method_call(r(s, d), c(s, d)))
 R.add("match_exact_name", f"{_BASE}, {EXACT_SQL} SELECT * FROM w4")(lambda s, d: V.match_exact_name(r(s, d), c(s, d)))
 R.add("match_fuzzy_lower", f"{_BASE}, {FUZZY_SQL} SELECT * FROM w5")(lambda s, d: V.match_fuzzy_lower(r(s, d), c(s, d)))
