@@ -33,25 +33,33 @@ def build_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session, or what ``setCheckpointDir`` was given.
 
-    Only where the session names none (tests, a laptop) a folder of our own is made and set.
+    Only where neither is set and the master is local (tests, a laptop) a folder of our own is made and set; on a
+    cluster that is an error, as a machine's own folder is not shared.
     """
     global _OWN_DIR
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if _OWN_DIR is None:
             _OWN_DIR = tempfile.mkdtemp(prefix="arbora-")
             atexit.register(shutil.rmtree, _OWN_DIR, ignore_errors=True)
         named = "file://" + _OWN_DIR
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{shared_dir(spark)}/arbora/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/arbora/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -67,8 +75,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Remove every table that ``materialise`` has written; results that still read them must be saved before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/arbora")
+    """Remove every table that this application's ``materialise`` has written; results that still read them must be saved before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
