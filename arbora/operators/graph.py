@@ -181,6 +181,13 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         (F.coalesce("in_degree", z) + F.coalesce("out_degree", z)).alias("degree"))
 
 
+def is_test_path_wide(path: str) -> Column:
+    """Whether impact reports take a path for a test's: file names and folders of many languages, either kind of slash."""
+    p = F.lower(F.replace(F.col(path), F.lit("\\"), F.lit("/")))
+    name = F.substring_index(p, "/", -1)
+    return (name.rlike(r"^test[_.]|\.(?:test|spec)\.|_test\.|(?:test\.java|tests\.cs|test\.go)$") | p.rlike(r"/(?:__tests__|tests|test|spec)/"))
+
+
 def is_test_path(path: str = "file_path"):
     """The path looks like that of a test file."""
     p = F.lower(F.col(path))

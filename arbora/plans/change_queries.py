@@ -42,12 +42,25 @@ R.add("debounce_sessions", """WITH a AS (SELECT CAST(user_id AS VARCHAR) AS path
     lambda s, d: changes.debounce(changes.file_events(table(s, d, "events")), 3600))
 
 
-@R.add("scoped_refs", f"""WITH {N_SQL}, {E_SQL}, {_CHANGED}, dep AS (SELECT DISTINCT a.file_path AS path FROM e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target WHERE b.file_path IN (SELECT path FROM c) AND a.file_path <> b.file_path)
- SELECT id FROM unresolved_refs WHERE file_path IN (SELECT path FROM c) OR file_path IN (SELECT path FROM dep) OR reference_name IN (SELECT name FROM n WHERE file_path IN (SELECT path FROM c))""")
-def scoped_refs(s: SparkSession, d: str) -> DataFrame:
-    c = changed(s, d)
+_SCOPED = """WITH {base}, {c}, dep AS (SELECT DISTINCT a.file_path AS path FROM e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target WHERE b.file_path IN (SELECT path FROM c) AND a.file_path <> b.file_path)
+ SELECT DISTINCT id FROM unresolved_refs WHERE (SELECT count(*) FROM c) >= greatest(1, floor((SELECT count(DISTINCT path) FROM files) / 10)) OR file_path IN (SELECT path FROM c) OR file_path IN (SELECT path FROM dep) OR reference_name IN (SELECT name FROM n WHERE file_path IN (SELECT path FROM c))"""
+_FEW = "c AS (SELECT path FROM f WHERE ('0x' || substr(md5(path), 1, 7))::BIGINT % 50 = 0)"
+
+
+def _scoped(s: SparkSession, d: str, c: DataFrame) -> DataFrame:
     dep = file_dependencies(edges(s, d), nodes(s, d), None).join(c.withColumnRenamed("path", "dst"), "dst", "left_semi").select(F.col("src").alias("path"))
-    return changes.scoped_refs(refs(s, d), c, dep, nodes(s, d))
+    n_files = table(s, d, "files").agg(F.count_distinct("path").alias("n")).scalar()
+    return changes.scoped_refs(refs(s, d), c, dep, nodes(s, d), n_files)
+
+
+R.add("scoped_refs", _SCOPED.format(base=f"{N_SQL}, {E_SQL}", c=_CHANGED))(lambda s, d: _scoped(s, d, changed(s, d)))
+# One file in fifty has changed: below the tenth from which all references count.
+R.add("scoped_refs_few", _SCOPED.format(base=f"{N_SQL}, {E_SQL}, {F_SQL}", c=_FEW))(
+    lambda s, d: _scoped(s, d, files(s, d).filter("CAST(conv(substr(md5(path), 1, 7), 16, 10) AS BIGINT) % 50 = 0").select("path")))
+R.add("metadata_upsert", """SELECT key, value FROM (SELECT lower(trim(status)) AS key, CAST(run_id AS VARCHAR) AS value, row_number() OVER (PARTITION BY lower(trim(status)) ORDER BY started_at DESC, run_id DESC) AS rn FROM sync_runs
+ WHERE status IS NOT NULL) WHERE rn = 1""")(lambda s, d: (lambda kv: store.upsert(kv.filter("at < 0"), kv, "key", "at").select("key", "value"))(
+    table(s, d, "sync_runs").filter("status IS NOT NULL").select(F.lower(F.trim("status")).alias("key"), F.col("run_id").cast("string").alias("value"), "started_at", "run_id")
+    .groupBy("key", "started_at").agg(F.max("run_id").cast("string").alias("value")).withColumnRenamed("started_at", "at")))
 
 
 R.add("upsert_latest", f"WITH {F_SQL} SELECT path, indexed_at, node_count FROM f")(lambda s, d: files(s, d).select("path", "indexed_at", "node_count"))

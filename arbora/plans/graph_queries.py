@@ -122,6 +122,12 @@ R.add("nodes_by_kind_list", f"WITH {N_SQL} SELECT id, name FROM n WHERE kind IN
 R.add("nodes_by_lower_name", f"WITH {N_SQL} SELECT r.id AS ref_id, min(n.id) AS id, count(*) AS bearers FROM unresolved_refs r JOIN n ON lower(n.name) = lower(r.reference_name) GROUP BY 1")(
     lambda s, d: refs(s, d).select(F.col("id").alias("ref_id"), F.lower("reference_name").alias("k")).join(
         nodes(s, d).groupBy(F.lower("name").alias("k")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("bearers")), "k").select("ref_id", "id", "bearers"))
+#: Paths as they are, and in the forms that tests have.
+_FORMS = """CASE substr(md5(path), 1, 1) WHEN '0' THEN replace(path, '/src/', '/spec/') WHEN '1' THEN replace(path, '.', '_test.') WHEN '2' THEN replace(path, '.', 'Tests.') WHEN '3' THEN replace(path, '.', '.spec.')
+ WHEN '4' THEN replace(replace(path, '/src/', '/__tests__/'), '/', '\\') WHEN '5' THEN replace(path, '.', 'Test.') ELSE path END"""
+R.add("is_test_path_wide", f"""SELECT p AS path, regexp_matches(regexp_extract(l, '[^/]*$'), '^test[_.]|\\.(test|spec)\\.|_test\\.|(test\\.java|tests\\.cs|test\\.go)$') OR regexp_matches(l, '/(__tests__|tests|test|spec)/') AS is_test
+ FROM (SELECT p, lower(replace(p, '\\', '/')) AS l FROM (SELECT DISTINCT {_FORMS} AS p FROM files WHERE path IS NOT NULL))""")(
+    lambda s, d: T.table(s, d, "files").filter("path IS NOT NULL").selectExpr(_FORMS.replace("\\", "\\\\") + " AS path").distinct().withColumn("is_test", G.is_test_path_wide("path")))
 R.add("nodes_by_qualified_name", f"WITH {N_SQL}, q AS (SELECT DISTINCT qualified_name FROM n WHERE kind = 'method') SELECT q.qualified_name, n.id, n.kind FROM q JOIN n ON n.qualified_name = q.qualified_name")(
     lambda s, d: nodes(s, d).filter("kind = 'method'").select("qualified_name").distinct().join(nodes(s, d).select("qualified_name", "id", "kind"), "qualified_name"))
 R.add("exact_name_multi", f"""WITH {N_SQL}, q AS (SELECT DISTINCT lower(reference_name) AS k FROM unresolved_refs)

@@ -43,11 +43,16 @@ def file_events(events: DataFrame) -> DataFrame:
     return events.select("event_id", "ts", F.col("user_id").cast("string").alias("path"), action_of(F.col("event_type")).alias("action"))
 
 
-def scoped_refs(refs: DataFrame, changed: DataFrame, dependent: DataFrame, nodes: DataFrame) -> DataFrame:
-    """References to look at again: of changed files, of files that depend on them, or by a name defined in them."""
+def scoped_refs(refs: DataFrame, changed: DataFrame, dependent: DataFrame, nodes: DataFrame, n_files: Column) -> DataFrame:
+    """References to look at again: of changed files, of files that depend on them, or by a name defined in them.
+
+    Where a tenth of all files (one at least) has changed, all of them.  ``n_files``: the number of files, a scalar.
+    """
+    many = changed.select("path").distinct().agg(F.count(F.lit(1)).alias("n")).scalar() >= F.greatest(F.lit(1), F.floor(n_files / 10))
     scope = changed.select(F.col("path").alias("file_path")).unionByName(dependent.select(F.col("path").alias("file_path"))).distinct()
     names = nodes.join(changed.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi").select(F.col("name").alias("reference_name")).distinct()
-    return refs.join(scope, "file_path", "left_semi").select("id").unionByName(refs.join(names, "reference_name", "left_semi").select("id")).distinct()
+    near = refs.join(scope, "file_path", "left_semi").select("id").unionByName(refs.join(names, "reference_name", "left_semi").select("id"))
+    return near.unionByName(refs.filter(many).select("id")).distinct()
 
 
 def effective_writes(log: DataFrame) -> DataFrame:
