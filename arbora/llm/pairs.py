@@ -26,7 +26,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.llm import gll
@@ -83,12 +84,12 @@ def functions(text: str, lang: str) -> list[tuple[str, str, int, int]]:
     """(name, signature, first line, last line) of each sound function of a text; lines count from 1."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     p = parser(lang)
-    p.levels, p.group_ends = [], {}
+    p.levels, p.group_ends, p.asked = [], {}, "places"
     try:
         faults = sorted(f.at for f in p.check(text))
         levels, group_ends = p.levels, p.group_ends
     finally:
-        p.levels = None
+        p.levels, p.asked = None, "costs"
     breaks = [m.start() for m in re.finditer("\n", text)]
     line_of = lambda at: bisect.bisect_left(breaks, at) + 1
     out = []
@@ -328,12 +329,16 @@ def sentences(line: str) -> list[str]:
     return [p for p in re.split(r"(?<=[.!?…])\s+(?=\S)|\s+(?=[@:](?:param|returns?|type|throws|raises)\b)|\s+—\s+", line) if p.strip()]
 
 
-def judged_sentences(doc: str | None, name: str | None, signature: str | None) -> list[tuple[str, str]]:
-    """(template, verdict) of each sentence of a description; a template takes the words of the name out."""
-    if not doc or not doc.strip():
-        return []
-    own = {_stem(w) for w in _parts(name or "")}
-    sig = {_stem(w) for w in _parts(signature or "")}
+def _own(name: str | None) -> set[str]:
+    return {_stem(w) for w in _parts(name or "")}
+
+
+def templates(doc: str, name: str | None) -> list[tuple[str, str]]:
+    """(template, sentence) of a description; a template takes the words of the name out and folds numbers.
+
+    A description of one line is one sentence if it is the signature, a line of code in a fence is one as it stands.
+    """
+    own = _own(name)
 
     def template(s: str) -> str:
         words = ("_" if _stem(w) in own else "0" if w.isdigit() else w.lower() for w in _parts(s))
@@ -342,7 +347,7 @@ def judged_sentences(doc: str | None, name: str | None, signature: str | None) -
     lines = bare_lines(doc)
     filled = [x for x in lines if x]
     if len(filled) == 1 and _is_signature(filled[0], own):
-        return [(template(filled[0]), "signature")]
+        return [(template(filled[0]), filled[0])]
     out = []
     code = False
     for line in lines:
@@ -350,24 +355,36 @@ def judged_sentences(doc: str | None, name: str | None, signature: str | None) -
             code = not code
             continue
         line = line if code else _XML.sub(" ", line).strip()
-        if not line:
-            continue
-        if code or _is_code(line):
-            out.append((template(line), "code"))
+        if line:
+            out += [(template(s), s) for s in ([line] if code or re.search(r"[()=;{}\[\]]", line) and _is_code(line) else sentences(line))]
+    return out
+
+
+def judged_sentences(doc: str | None, name: str | None, signature: str | None, stock: frozenset[int] | set[int] = frozenset()) -> list[str]:
+    """What the sentences of a description are, up to the first that says something: stock, or a verdict."""
+    own, sig = _own(name), {_stem(w) for w in _parts(signature or "")}
+    out = []
+    for counted, s in templates(doc, name) if doc and doc.strip() else ():
+        if not counted or hash_of(counted) in stock:
+            out.append("stock" if counted else "marks")
             continue
-        for s in sentences(line):
-            counted = template(s)
-            before = None
-            while s != before:
-                before = s
-                s = _TAG_FRONT.sub("", _PLACE_FRONT.sub("", s))
-            out.append((counted, _verdict(s, own, sig) if s else "tag"))
+        before = None
+        while s != before:
+            before = s
+            s = _TAG_FRONT.sub("", _PLACE_FRONT.sub("", s))
+        out.append(_verdict(s, own, sig) if s else "tag")
+        if out[-1] == "says":
+            break
     return out
 
 
+def hash_of(template: str) -> int:
+    return xxhash.xxh64_intdigest(template) - (1 << 63)
+
+
 def says_something(doc: str | None, name: str | None, signature: str | None) -> bool:
     """Whether a description says anything about its function, without counts of a corpus."""
-    return any(v == "says" for _, v in judged_sentences(doc, name, signature))
+    return "says" in judged_sentences(doc, name, signature)
 
 
 # ---------------------------------------------------------------- the operator
@@ -376,42 +393,44 @@ STOCK_SHARE, STOCK_LEAST = 1 / 4000, 8
 
 
 def judged(nodes: DataFrame, functions_: DataFrame) -> DataFrame:
-    """The documented functions with their sentences (template, verdict, stock) and whether the text holds them."""
+    """The documented functions, the step that decides each, and whether the text holds them."""
     n = nodes.filter("lower(trim(kind)) IN ('function', 'method') AND id IS NOT NULL AND trim(docstring) <> ''").select(
         "id", "name", "file_path", "start_line", "docstring", "signature").distinct()
     seen = functions_.groupBy(F.col("path").alias("file_path"), "name").agg(F.min("signature").alias("found"))  # overloads: any will do for the words
     j = n.join(seen, ["file_path", "name"], "left").withColumn("in_text", F.col("found").isNotNull()).withColumn("signature", F.coalesce("signature", "found")).drop("found")
+    own = "file_path string, name string, id string, start_line int, docstring string, signature string, in_text boolean"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(batches, "docstring"):
-            yield pdf.assign(said=[[{"template": t, "verdict": v} for t, v in judged_sentences(d, n, s)] for d, n, s in zip(pdf["docstring"], pdf["name"], pdf["signature"], strict=True)])
+            yield pdf.assign(hashes=[sorted({hash_of(t) for t, _ in templates(d, n) if t}) for d, n in zip(pdf["docstring"], pdf["name"], strict=True)])
 
-    rows = materialise(j.mapInPandas(run, "file_path string, name string, id string, start_line int, docstring string, signature string, in_text boolean, said array<struct<template: string, verdict: string>>"), "described")
-    each = rows.select("id", F.explode("said").alias("s")).select("id", F.xxhash64("s.template").alias("h"), "s.template")
-    counts = each.filter("template <> ''").groupBy("h").agg(F.countDistinct("id").alias("n"))
+    rows = materialise(j.mapInPandas(count, own + ", hashes array<bigint>"), "described")
+    each = rows.select("id", F.explode("hashes").alias("h"))
     total = each.agg(F.count(F.lit(1)).alias("total")).scalar()
     # At most 1 / STOCK_SHARE templates can pass; they come as one row, null for none.
-    stock = counts.filter((F.col("n") >= STOCK_LEAST) & (F.col("n") >= STOCK_SHARE * total)).agg(F.collect_set("h").alias("stock")).scalar()
-    return rows.withColumn("stock", stock).withColumn("said", F.transform("said", lambda s: F.struct(
-        s["template"].alias("template"), s["verdict"].alias("verdict"), F.array_contains("stock", F.xxhash64(s["template"])).alias("stock")))).drop("stock")
+    stock = each.groupBy("h").agg(F.countDistinct("id").alias("n")).filter((F.col("n") >= STOCK_LEAST) & (F.col("n") >= STOCK_SHARE * total)).agg(F.collect_set("h").alias("stock")).scalar()
 
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in slices(batches, "docstring"):
+            steps_ = []
+            for d, n, s, h in zip(pdf["docstring"], pdf["name"], pdf["signature"], pdf["stock"], strict=True):
+                v = judged_sentences(d, n, s, set(h))
+                steps_.append("says" if "says" in v else "template" if all(x in ("stock", "marks") for x in v) else "list" if "listed" in v else "syntax")
+            yield pdf.drop(columns="stock").assign(step=steps_)
 
-def _steps(said: str = "said") -> Column:
-    """The step that decides a description: template, syntax, list, or says."""
-    left = F.filter(said, lambda s: ~s["stock"] & (s["template"] != ""))
-    return (F.when(F.exists(left, lambda s: s["verdict"] == "says"), "says").when(F.size(left) == 0, "template")
-            .when(F.exists(left, lambda s: s["verdict"] == "listed"), "list").otherwise("syntax"))
+    marked = rows.withColumn("stock", F.array_intersect("hashes", stock)).drop("hashes")
+    return marked.mapInPandas(decide, own + ", step string")
 
 
 def described(nodes: DataFrame, functions_: DataFrame) -> DataFrame:
     """(node_id, file_path, name, signature, start_line, docstring) of the functions that have a description
     which says something; the signature comes from the text where the node has none."""
-    return judged(nodes, functions_).filter(_steps() == "says").select(F.col("id").alias("node_id"), "file_path", "name", "signature", "start_line", "docstring")
+    return judged(nodes, functions_).filter("step = 'says'").select(F.col("id").alias("node_id"), "file_path", "name", "signature", "start_line", "docstring")
 
 
 def steps(nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """(in_text, step, n): how many documented functions each step decides."""
-    return judged(nodes, extracted(documents, with_code=False)).groupBy("in_text", _steps().alias("step")).agg(F.countDistinct("id").alias("n"))
+    return judged(nodes, extracted(documents, with_code=False)).groupBy("in_text", "step").agg(F.countDistinct("id").alias("n"))
 
 
 def pairs(nodes: DataFrame, documents: DataFrame) -> DataFrame:
