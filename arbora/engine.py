@@ -46,8 +46,8 @@ class GraphEngine:
             n = n.filter(norm_language().isin(*p.languages))
         limit = max(1, min(limit, 100))
         if not p.text:
-            hits = n.select(F.col("id").alias("node"), F.lit(1.0).alias("score"), "name").orderBy("name", "node").limit(limit * 5)
-            hits = hits.withColumn("rank", F.row_number().over(Window.orderBy("name", "node"))).filter(F.col("rank") <= limit).drop("name")
+            hits = n.select(F.col("id").alias("node"), F.lit(1.0).alias("score"), "name").orderBy("name", "node").limit(limit)
+            hits = hits.withColumn("rank", F.row_number().over(Window.orderBy("name", "node"))).drop("name")  # of at most ``limit`` rows
         else:
             hits = S.search(self._query(p.text), n, limit).drop("qid")
         hits = hits.join(self.nodes.select(F.col("id").alias("node"), "kind", "name", "qualified_name", "file_path", "start_line"), "node")

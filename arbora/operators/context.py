@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from arbora.operators import graph as G
 from arbora.operators import search as S
 
-#: Words of a question that name no symbol.
+#: Words of a question that name no symbol.
 STOP_WORDS = frozenset(
     "a an the and or not of to in on at by for from with without into over under is are was were be been do does did how what where which who why when can could should would will i we you it "
     "this that these those there here get gets set sets use uses used using make makes show find all any each every some me my our your its as if then else new old file files code function "
@@ -27,8 +27,7 @@ def question_symbols(question: str) -> list[str]:
     for w in re.findall(r"[A-Za-z_][\w.:]*", question):
         parts = [w, *re.split(r"\.|::", w)] if "." in w or "::" in w else [w]
         found += [p.strip(".:") for p in parts]
-    out = [w for w in dict.fromkeys(found) if len(w) >= 3 and w.lower() not in STOP_WORDS]
-    return out[:16]
+    return [w for w in dict.fromkeys(found) if len(w) >= 3 and w.lower() not in STOP_WORDS]
 
 
 def roots(questions: DataFrame, nodes: DataFrame, per_question: int = 3) -> DataFrame:

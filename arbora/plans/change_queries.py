@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.extract import frameworks, imports, languages, symbols
-from arbora.operators import context, store
+from arbora.operators import store
 from arbora.operators.graph import file_dependencies
 from arbora.plans import sample_sources
 from arbora.plans.graph_queries import _CHANGED, E_SQL, F_SQL, N_SQL, changed, edges, files, nodes, refs
@@ -118,13 +118,3 @@ def _with_samples(s: SparkSession, d: str) -> DataFrame:
 R.add("extract_declarations", sample_sources.values(sample_sources.DECLARATIONS, "file_path, line, kind, name, framework"))(lambda s, d: frameworks.extracted_declarations(_with_samples(s, d)))
 R.add("extract_routes", sample_sources.values(sample_sources.ROUTES, "file_path, line, verb, path, handler, framework"))(
     lambda s, d: frameworks.extracted_routes(_with_samples(s, d)).drop("route_id"))
-
-
-def _questions(s: SparkSession, d: str) -> DataFrame:
-    """The query set of the composed searches: every reference whose id is divisible by 50."""
-    return refs(s, d).filter("id % 50 = 0").select(F.col("id").alias("qid"), F.col("reference_name").alias("query"))
-
-
-R.add("context_roots")(lambda s, d: context.roots(_questions(s, d), nodes(s, d)))
-R.add("context_nodes")(lambda s, d: context.context(_questions(s, d), nodes(s, d), edges(s, d)))
-R.add("explore_files")(lambda s, d: context.explore(_questions(s, d), nodes(s, d), edges(s, d)))

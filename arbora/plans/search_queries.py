@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arbora.operators import context as X
 from arbora.operators import search as S
-from arbora.plans.graph_queries import E_SQL, N_SQL, TEST_SQL, nodes, refs  # noqa: F401
+from arbora.plans.graph_queries import E_SQL, N_SQL, TEST_SQL, edges, nodes, refs
 from arbora.plans.registry import Registry
 
 R = Registry()
@@ -78,10 +79,39 @@ _FUZZY = """fz AS (SELECT qid, name, levenshtein(lower(query), lower(name)) AS d
  near AS (SELECT qid, node, 1.0 / (1 + distance) AS score FROM fz JOIN five ON five.name = fz.name QUALIFY row_number() OVER (PARTITION BY qid ORDER BY distance, fz.name, node) <= 10)"""
 
 
-@R.add("search_composite", f"""{_ALL}, {BM_SQL}, base AS (SELECT qid, node, score FROM scored QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, node) <= 100), {_LIKE}, {_FUZZY},
+SEARCH_SQL = f"""{BM_SQL}, base AS (SELECT qid, node, score FROM scored QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, node) <= 100), {_LIKE}, {_FUZZY},
  hits AS (SELECT * FROM base UNION ALL SELECT * FROM inside UNION ALL SELECT * FROM near), {_SUPPLEMENT},
- everything AS (SELECT * FROM hits UNION ALL SELECT x.qid, x.node, m.score FROM extra x JOIN (SELECT qid, max(score) AS score FROM hits GROUP BY 1) m ON m.qid = x.qid WHERE NOT EXISTS (SELECT 1 FROM hits h2 WHERE h2.qid = x.qid AND h2.node = x.node))
- SELECT qid, node, score, rank FROM (SELECT qid, node, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node) AS rank FROM (
-  SELECT b.qid, b.node, round(b.score + {_KIND} + {_NAME} + {_PATH}, 6) AS score FROM everything b JOIN n ON n.id = b.node JOIN q ON q.qid = b.qid)) WHERE rank <= 10""")
+ everything AS (SELECT * FROM hits UNION ALL SELECT x.qid, x.node, m.score FROM extra x JOIN (SELECT qid, max(score) AS score FROM hits GROUP BY 1) m ON m.qid = x.qid WHERE NOT EXISTS (SELECT 1 FROM hits h2 WHERE h2.qid = x.qid AND h2.node = x.node)),
+ searched AS (SELECT qid, node, score, rank FROM (SELECT qid, node, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node) AS rank FROM (
+  SELECT b.qid, b.node, round(b.score + {_KIND} + {_NAME} + {_PATH}, 6) AS score FROM everything b JOIN n ON n.id = b.node JOIN q ON q.qid = b.qid)) WHERE rank <= 10)"""
+
+
+@R.add("search_composite", f"{_ALL}, {SEARCH_SQL} SELECT qid, node, score, rank FROM searched")
 def search_composite(s: SparkSession, d: str) -> DataFrame:
     return S.search(queries(s, d), nodes(s, d), 10)
+
+
+# ------------------------------------------------------------------ context of a question
+
+#: The search runs over all nodes but files, the rest over all nodes.
+_ASKED = f"WITH RECURSIVE {N_SQL.replace('n AS (', 'nall AS (', 1)}, n AS (SELECT * FROM nall WHERE kind <> 'file'), {Q_SQL}, {P_SQL}, {T_SQL}, {H_SQL}, {SEARCH_SQL}"
+_TEST = TEST_SQL.format(p="file_path")
+_ROOTS = f"""hit AS (SELECT h.qid, h.node, h.score + 20 * (count(*) OVER (PARTITION BY h.qid, n.file_path) - 1) AS score, n.file_path FROM searched h JOIN n ON n.id = h.node),
+ roots AS (SELECT qid, node, score, rank FROM (SELECT qid, node, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node) AS rank FROM (
+  SELECT qid, node, round(score * CASE WHEN {_TEST} THEN 0.3 ELSE 1.0 END, 6) AS score FROM hit)) WHERE rank <= 3)"""
+
+
+def _context_sql(depth: int, most: int) -> str:
+    return f"""{E_SQL}, step AS (SELECT DISTINCT src, dst FROM (SELECT source AS src, target AS dst FROM e UNION SELECT target, source FROM e) WHERE dst IN (SELECT id FROM nall)),
+ around(qid, node, depth) AS (SELECT qid, node, 0 FROM roots UNION SELECT around.qid, step.dst, around.depth + 1 FROM around JOIN step ON step.src = around.node WHERE around.depth < {depth}),
+ ctx AS (SELECT qid, node, depth, place FROM (SELECT m.qid, m.node, m.depth, row_number() OVER (PARTITION BY m.qid ORDER BY m.depth, {_TEST}, kind = 'file', {_KIND} DESC, name, m.node) AS place
+  FROM (SELECT qid, node, min(depth) AS depth FROM around GROUP BY 1, 2) m JOIN nall ON nall.id = m.node) WHERE place <= {most})"""
+
+
+R.add("context_roots", f"{_ASKED}, {_ROOTS} SELECT * FROM roots")(lambda s, d: X.roots(queries(s, d), nodes(s, d)))
+R.add("context_nodes", f"{_ASKED}, {_ROOTS}, {_context_sql(1, 20)} SELECT qid, node, CAST(depth AS INTEGER) AS depth, place FROM ctx")(lambda s, d: X.context(queries(s, d), nodes(s, d), edges(s, d)))
+R.add("explore_files", f"""{_ASKED}, {_ROOTS}, {_context_sql(2, 200)},
+ per AS (SELECT c.qid, file_path, round(sum((1.0 + {_KIND}) / (1 + c.depth)), 6) AS points, count(*) AS n_nodes FROM ctx c JOIN nall ON nall.id = c.node WHERE file_path IS NOT NULL GROUP BY 1, 2),
+ rel AS (SELECT per.qid, file_path, n_nodes, round((points + {_PATH}) * CASE WHEN {_TEST} THEN 0.7 ELSE 1.0 END * CASE WHEN regexp_matches(lower(file_path), 'icon|i18n|locale') THEN 0.5 ELSE 1.0 END, 6) AS relevance FROM per JOIN q ON q.qid = per.qid)
+ SELECT qid, file_path, relevance, n_nodes, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY relevance DESC, file_path) AS place FROM rel) WHERE place <= 12""")(
+    lambda s, d: X.explore(queries(s, d), nodes(s, d), edges(s, d)))

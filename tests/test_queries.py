@@ -6,10 +6,9 @@ import __spark_entry__ as entry
 from compare import compare
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"context_roots", "context_nodes", "explore_files", "commit_resolved", "refs_left"}
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n not in SLOW))
+@pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, name):
     ok, said = compare(spark, name, SF)
     assert ok is not False, said
