@@ -8,6 +8,10 @@ Edges whose far end has no node row are dropped where nodes are asked for.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,10 @@ from arbora.session import materialise
 USE_KINDS = ("calls", "references", "imports")
 CONTAINERS = ("class", "interface", "struct", "trait", "module", "enum")
 ANSWER_KINDS = ("calls", "references", "implements", "extends", "instantiates", "uses")
+#: Steps that one written round takes where rounds are short.
+STEPS = 2
+#: Steps that one task may hold.
+LOCAL_STEPS = 500_000
 
 
 def arcs(edges: DataFrame, direction: str = "out", kinds: tuple[str, ...] | None = None) -> DataFrame:
@@ -117,22 +125,63 @@ def components(pairs: DataFrame) -> DataFrame:
         label = new.drop("old")
 
 
-#: Steps that one written round takes where rounds are short.
-STEPS = 2
-
-
-def cyclic_groups(steps: DataFrame) -> DataFrame:
+def _sets_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Strongly connected sets of the steps of one task (Tarjan, without recursion), by their smallest node."""
+    parts = [b for b in batches if len(b)]
+    if not parts:
+        return
+    e = pd.concat(parts, ignore_index=True)
+    codes, names = pd.factorize(pd.concat([e["src"], e["dst"]], ignore_index=True), sort=True)
+    n, half = len(names), len(e)
+    order = np.argsort(codes[:half], kind="stable")
+    to, start = codes[half:][order].tolist(), np.searchsorted(codes[:half][order], np.arange(n + 1)).tolist()
+    index, low, group, held = [-1] * n, [0] * n, [-1] * n, []
+    clock = 0
+    for root in range(n):
+        if index[root] >= 0:
+            continue
+        index[root] = low[root] = clock
+        clock += 1
+        held.append(root)
+        work = [(root, start[root])]
+        while work:
+            at, k = work.pop()
+            if k < start[at + 1]:
+                work.append((at, k + 1))
+                v = to[k]
+                if index[v] < 0:
+                    index[v] = low[v] = clock
+                    clock += 1
+                    held.append(v)
+                    work.append((v, start[v]))
+                elif group[v] < 0:
+                    low[at] = min(low[at], index[v])
+                continue
+            if work:
+                low[work[-1][0]] = min(low[work[-1][0]], low[at])
+            if low[at] == index[at]:
+                members = []
+                while not members or members[-1] != at:
+                    members.append(held.pop())
+                first = min(members)
+                for v in members:
+                    group[v] = first
+    yield pd.DataFrame({"node": names, "group": np.asarray(names, dtype=object)[group]})
+
+
+def cyclic_groups(steps: DataFrame, local_steps: int = LOCAL_STEPS) -> DataFrame:
     """(node, group): nodes on cycles, by the smallest node of their strongly connected set.
 
     By colouring: nodes without an incoming or outgoing step are peeled off; the smallest node that reaches a
     node is spread forwards as its colour; what reaches a colour's own node within the colour is one connected
-    set.  Sets are taken out and the rest is coloured again.  Every round is linear in the steps left.
+    set.  Sets are taken out and the rest is coloured again.  Every round is linear in the steps left.  As soon as
+    at most ``local_steps`` steps are left (some 200 bytes each), one task reads the sets off them.
     """
     e = materialise(steps.select("src", "dst").filter("src <> dst").distinct(), "cycle_steps")
     found: DataFrame | None = None
     while True:
         size = e.count()
-        while size:
+        while size > local_steps:
             for _ in range(STEPS):
                 # What nothing enters goes, then what nothing leaves.
                 e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
@@ -141,7 +190,9 @@ def cyclic_groups(steps: DataFrame) -> DataFrame:
             size, before = e.count(), size
             if size == before:
                 break
-        if not size:
+        if size <= local_steps:
+            sets = e.coalesce(1).mapInPandas(_sets_of_task, "node string, `group` string")
+            found = sets if found is None else found.unionByName(sets)
             break
         colour = e.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node"))
         while True:

@@ -41,10 +41,8 @@ def tokens(c: Column) -> Column:
 def postings(nodes: DataFrame) -> DataFrame:
     """(node, col, token, tf) over the indexed columns."""
     cols = F.array(*[F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("toks")) for c in WEIGHTS])
-    rows = nodes.select(F.col("id").alias("node"), F.explode(cols).alias("x")).select("node", "x.col", "x.toks")
-    # Counted inside the row, so that nothing is shuffled.
-    counted = F.transform(F.array_distinct("toks"), lambda t: F.struct(t.alias("token"), F.size(F.filter("toks", lambda u: u == t)).cast("long").alias("tf")))
-    return rows.select("node", "col", F.explode(counted).alias("p")).select("node", "col", "p.token", "p.tf")
+    each = nodes.select(F.col("id").alias("node"), F.explode(cols).alias("x")).select("node", "x.col", F.explode("x.toks").alias("token"))
+    return each.groupBy("node", "col", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from arbora.engine import GraphEngine
@@ -38,6 +40,15 @@ def test_file_cycles_and_components(spark, graph):
     n, e = graph
     deps = G.file_dependencies(e, n, None)
     assert {tuple(r) for r in G.cyclic_groups(deps).collect()} == {(p, "/w/r/a.py") for p in ("/w/r/a.py", "/w/r/b.py", "/w/r/tests/c.py")}
+    rnd = random.Random(7)
+    some = [(f"s{rnd.randrange(60):02}", f"s{rnd.randrange(60):02}") for _ in range(90)] + [(f"t{i}", f"t{(i + 1) % 9}") for i in range(9)] + [("t0", "u0"), ("u0", "u0")]
+    reach = {n: {n} for e in some for n in e}
+    while any(not reach[b] <= reach[a] for a, b in some):
+        for a, b in some:
+            reach[a] |= reach[b]
+    want = {(n, min(m for m in reach if m in reach[n] and n in reach[m])) for n in reach if any(m != n and m in reach[n] and n in reach[m] for m in reach)}
+    for most in (0, 10**6):
+        assert {tuple(r) for r in G.cyclic_groups(spark.createDataFrame(some, "src string, dst string"), most).collect()} == want
     pairs = spark.createDataFrame([("a", "b"), ("c", "b"), ("d", "e"), ("q", "q"), (None, "z")] + [(f"p{i:02}", f"p{i + 1:02}") for i in range(40)], "a string, b string")
     got = dict(tuple(r) for r in G.components(pairs).collect())
     assert (got["c"], got["e"], got["q"], got["p40"]) == ("a", "d", "q", "p00")
