@@ -126,7 +126,7 @@ def seed_map(seeds: DataFrame, bits: int) -> np.ndarray:
 
     rows = seeds.select("hash").mapInPandas(places, "bucket long, bit long").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
     out = np.zeros(max(1 << bits, BUCKET) // 8, dtype=np.uint8)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():  # of the map's bits, 128 MB at most
         out[r["bucket"] * BUCKET // 8 :][: BUCKET // 8] = np.frombuffer(r["map"], dtype=np.uint8)
     return out
 
