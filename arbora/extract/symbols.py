@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 
 from arbora.extract.comments import balanced, strip_comments
 from arbora.extract.languages import language_of
+from arbora.functions.batches import slices
 from arbora.session import spread
 
 NODES = ("id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, end_line int, docstring string, signature string, "
@@ -62,7 +63,7 @@ class Rows:
     def node(self, kind: str, name: str, qualified: str, start: int, end: int, parent: str | None, doc: str | None = None, signature: str | None = None, exported: bool = False, is_async: bool = False) -> str:
         key = node_id(self.path, kind, name, start)
         self.rows.append({"sort": "node", "id": key, "kind": kind, "name": name, "qualified_name": qualified, "file_path": self.path, "language": self.language, "start_line": start, "end_line": end,
-                          "docstring": doc[:2000] if doc else None, "signature": signature, "is_exported": exported, "is_async": is_async})
+                          "docstring": doc or None, "signature": signature, "is_exported": exported, "is_async": is_async})
         if parent:
             self.rows.append({"sort": "edge", "source": parent, "target": key, "kind": "contains", "line": start})
         return key
@@ -177,7 +178,7 @@ def _python_lines(text: str, out: Rows) -> None:
         if blocks and not blocks[-1][5]:
             blocks[-1][5] = True
             if blocks[-1][1] is not None and len(body) == 1 and isinstance(body[0], ast.Expr) and isinstance(body[0].value, ast.Constant) and isinstance(body[0].value.value, str):
-                blocks[-1][1]["docstring"] = inspect.cleandoc(body[0].value.value)[:2000] or None
+                blocks[-1][1]["docstring"] = inspect.cleandoc(body[0].value.value) or None
         if head:
             if key is not None:
                 row = out.rows[k]
@@ -227,15 +228,19 @@ def _braces(text: str, language: str, out: Rows) -> None:
         end = balanced(plain, brace) if brace >= 0 else close
         spans.append((m.start() + len(m[0]) - len(m[0].lstrip()), end if end and end > 0 else len(text), "function", name, text[at:close] if close > 0 else ""))
     owners: list[tuple[int, int, str, str, str]] = []
+    around: list[tuple[int, int, str, str, str]] = []  # those that have not ended
+    types: dict[str, str] = {}  # the first struct or enum of a name
     for start, end, kind, name, extra in sorted(spans, key=lambda s: (s[0], -s[1])):
-        up = [o for o in owners if o[0] <= start and end <= o[1]]
-        parent, scope, owner = (up[-1][2], up[-1][3], up[-1][4]) if up else (out.file, "", "file")
+        while around and around[-1][1] <= start:
+            around.pop()
+        parent, scope, owner = next((o[2:] for o in reversed(around) if end <= o[1]), (out.file, "", "file"))
         if kind == "impl":
-            same = next((o for o in owners if o[4] in ("struct", "enum") and o[3].split("::")[-1] == name), None)
-            key = same[2] if same else out.file
+            key = types.get(name, out.file)
             if extra:
                 out.ref(key, extra.split("<")[0], "implements", line(start))
             owners.append((start, end, key, name, "struct"))
+            around.append(owners[-1])
+            types.setdefault(name, key)
             continue
         if kind == "function":
             kind = "method" if owner in ("class", "struct", "interface", "trait", "enum") else "function"
@@ -250,6 +255,9 @@ def _braces(text: str, language: str, out: Rows) -> None:
                         if base.strip():
                             out.ref(key, base.replace("public", "").strip().split(" ")[-1], edge, line(start))
         owners.append((start, end, key, qualified, kind))
+        around.append(owners[-1])
+        if kind in ("struct", "enum"):
+            types.setdefault(name, key)
     for m in re.finditer(_IMPORT.get(language, r"(?!)"), clean):
         out.ref(out.file, next(g for g in m.groups() if g), "imports", line(m.start()))
     open_owners: list[tuple[int, int, str, str, str]] = []
@@ -292,12 +300,10 @@ def extracted(documents: DataFrame) -> DataFrame:
     """Rows of all source texts (path, text): ``sort`` tells nodes, edges and references."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a in range(0, len(pdf), 200):
-                part = pdf.iloc[a : a + 200]
-                rows = [r for path, text in zip(part["path"], part["text"], strict=True) for r in extract(path, text)]
-                columns = {c: [r.get(c) for r in rows] for c in _COLS}
-                yield pd.DataFrame({c: pd.array(v, dtype="Int32") if c in ("start_line", "end_line", "line") else pd.array(v, dtype="boolean") if c.startswith("is_") else pd.Series(v, dtype="object")
-                                    for c, v in columns.items()})
+        for part in slices(batches):
+            rows = [r for path, text in zip(part["path"], part["text"], strict=True) for r in extract(path, text)]
+            columns = {c: [r.get(c) for r in rows] for c in _COLS}
+            yield pd.DataFrame({c: pd.array(v, dtype="Int32") if c in ("start_line", "end_line", "line") else pd.array(v, dtype="boolean") if c.startswith("is_") else pd.Series(v, dtype="object")
+                                for c, v in columns.items()})
 
     return spread(documents.filter("path IS NOT NULL AND text IS NOT NULL").select("path", "text")).mapInPandas(run, ROWS)
