@@ -166,13 +166,8 @@ def path_relevance(path: str, query: str) -> Column:
 
 
 def best(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
-    """The first ``k`` rows per ``by``, with their rank.
-
-    Rows of one key are first cut down within pieces of the key, so that no task sorts all rows of a hot key.
-    """
-    part = Window.partitionBy(by, "_piece").orderBy(*order)
-    few = rows.withColumn("_piece", F.pmod(F.xxhash64(*rows.columns), F.lit(32))).withColumn("_rn", F.row_number().over(part)).filter(F.col("_rn") <= k).drop("_rn", "_piece")
-    return few.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
+    """The first ``k`` rows per ``by``, with their rank (each task sends k rows a key at most)."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
 def exact_names(queries: DataFrame, nodes: DataFrame) -> DataFrame:

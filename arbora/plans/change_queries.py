@@ -13,7 +13,7 @@ from arbora.plans.graph_queries import _CHANGED, E_SQL, F_SQL, N_SQL, changed, e
 from arbora.plans.registry import Registry
 from arbora.session import fresh_path
 from arbora.sources.tables import norm_hash, table
-from arbora.streaming import changes
+from arbora.streaming import changes, sync
 
 R = Registry()
 _HASH = "regexp_replace(lower(trim({c})), '^(sha-?256[:=]|0x)', '')"
@@ -118,3 +118,12 @@ def _with_samples(s: SparkSession, d: str) -> DataFrame:
 R.add("extract_declarations", sample_sources.values(sample_sources.DECLARATIONS, "file_path, line, kind, name, framework"))(lambda s, d: frameworks.extracted_declarations(_with_samples(s, d)))
 R.add("extract_routes", sample_sources.values(sample_sources.ROUTES, "file_path, line, verb, path, handler, framework"))(
     lambda s, d: frameworks.extracted_routes(_with_samples(s, d)).drop("route_id"))
+
+
+@R.add("sync_cycle", f"""WITH {F_SQL}, {SEEN_SQL}, diff AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed'
+  WHEN a.modified_at IS DISTINCT FROM b.modified_at OR (a.size IS DISTINCT FROM b.size AND a.content_hash IS DISTINCT FROM {_HASH.format(c='b.content_hash')}) THEN 'modified' ELSE 'unchanged' END AS action FROM seen a FULL JOIN f b ON a.path = b.path)
+ SELECT path, action, action <> 'removed' AS stored FROM diff""")
+def sync_cycle(s: SparkSession, d: str) -> DataFrame:
+    """Every path with its action and whether the index holds it after the cycle."""
+    c = sync.cycle(seen(s, d), table(s, d, "documents").select("path", "text"), nodes(s, d), edges(s, d), files(s, d).withColumn("content_hash", norm_hash()), refs(s, d), 0)
+    return c.diff.join(c.files.select("path", F.lit(True).alias("stored")).distinct(), "path", "left").select("path", "action", F.coalesce("stored", F.lit(False)).alias("stored"))
