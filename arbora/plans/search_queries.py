@@ -94,7 +94,7 @@ def search_composite(s: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ context of a question
 
 #: The search runs over all nodes but files, the rest over all nodes.
-_ASKED = f"WITH RECURSIVE {N_SQL.replace('n AS (', 'nall AS (', 1)}, n AS (SELECT * FROM nall WHERE kind <> 'file'), {Q_SQL}, {P_SQL}, {T_SQL}, {H_SQL}, {SEARCH_SQL}"
+_BEFORE = f"WITH RECURSIVE {N_SQL.replace('n AS (', 'nall AS (', 1)}, n AS (SELECT * FROM nall WHERE kind <> 'file'), {Q_SQL}, {P_SQL}, {T_SQL}, {H_SQL}, {SEARCH_SQL}"
 _TEST = TEST_SQL.format(p="file_path")
 _ROOTS = f"""hit AS (SELECT h.qid, h.node, h.score + 20 * (count(*) OVER (PARTITION BY h.qid, n.file_path) - 1) AS score, n.file_path FROM searched h JOIN n ON n.id = h.node),
  roots AS (SELECT qid, node, score, rank FROM (SELECT qid, node, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node) AS rank FROM (
@@ -108,9 +108,9 @@ def _context_sql(depth: int, most: int) -> str:
   FROM (SELECT qid, node, min(depth) AS depth FROM around GROUP BY 1, 2) m JOIN nall ON nall.id = m.node) WHERE place <= {most})"""
 
 
-R.add("context_roots", f"{_ASKED}, {_ROOTS} SELECT * FROM roots")(lambda s, d: X.roots(queries(s, d), nodes(s, d)))
-R.add("context_nodes", f"{_ASKED}, {_ROOTS}, {_context_sql(1, 20)} SELECT qid, node, CAST(depth AS INTEGER) AS depth, place FROM ctx")(lambda s, d: X.context(queries(s, d), nodes(s, d), edges(s, d)))
-R.add("explore_files", f"""{_ASKED}, {_ROOTS}, {_context_sql(2, 200)},
+R.add("context_roots", f"{_BEFORE}, {_ROOTS} SELECT * FROM roots")(lambda s, d: X.roots(queries(s, d), nodes(s, d)))
+R.add("context_nodes", f"{_BEFORE}, {_ROOTS}, {_context_sql(1, 20)} SELECT qid, node, CAST(depth AS INTEGER) AS depth, place FROM ctx")(lambda s, d: X.context(queries(s, d), nodes(s, d), edges(s, d)))
+R.add("explore_files", f"""{_BEFORE}, {_ROOTS}, {_context_sql(2, 200)},
  per AS (SELECT c.qid, file_path, round(sum((1.0 + {_KIND}) / (1 + c.depth)), 6) AS points, count(*) AS n_nodes FROM ctx c JOIN nall ON nall.id = c.node WHERE file_path IS NOT NULL GROUP BY 1, 2),
  rel AS (SELECT per.qid, file_path, n_nodes, round((points + {_PATH}) * CASE WHEN {_TEST} THEN 0.7 ELSE 1.0 END * CASE WHEN regexp_matches(lower(file_path), 'icon|i18n|locale') THEN 0.5 ELSE 1.0 END, 6) AS relevance FROM per JOIN q ON q.qid = per.qid)
  SELECT qid, file_path, relevance, n_nodes, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY relevance DESC, file_path) AS place FROM rel) WHERE place <= 12""")(
