@@ -1,7 +1,7 @@
 """Ranked symbol search: postings, BM25, substring and fuzzy matching, score adjustments.
 
 Searches take a set of queries (qid, query) and run against all nodes at once.  Prefixes are looked up in the
-vocabulary (each token once, under its first one to three letters), substrings by pieces of two or three letters
+vocabulary (each token once, under its prefixes of the lengths asked for), substrings by pieces of two or three letters
 and near names by pieces of a third, all by equi-joins followed by the exact test, so no query meets a name with
 which it shares nothing.
 """
@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.session import materialise
+from arbora.session import materialise, sent
 
 #: Column weights of the ranking (fixed values); the id counts for the length of a row only.
 WEIGHTS = {"id": 0.0, "name": 20.0, "qualified_name": 5.0, "docstring": 1.0, "signature": 2.0}
@@ -54,41 +54,70 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(words).alias("w")).select("qid", F.array_join(tokens(F.col("w")), " ").alias("term")).filter("term <> ''").distinct()
 
 
-def term_hits(terms: DataFrame, posts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(qid, term, node, tf): weighted hits of each term, whose last token is a prefix.
+def texts(nodes: DataFrame) -> DataFrame:
+    """(row, node, size, cols): of each row the number of all its tokens, and weight and tokens of the columns that are searched."""
+    cols = F.array(*[F.struct(F.lit(w).alias("weight"), F.col(c).alias("toks")) for c, w in WEIGHTS.items() if c != "id"])
+    size = sum((F.size(c) for c in WEIGHTS), F.lit(0))
+    return nodes.select(F.col("id").alias("node"), *[tokens(F.col(c)).alias(c) for c in WEIGHTS]).select(F.monotonically_increasing_id().alias("row"), "node", size.alias("size"), cols.alias("cols"))
 
-    Equal terms of different queries are matched once.
+
+def term_hits(terms: DataFrame, held: DataFrame) -> DataFrame:
+    """(term, node, tf): weighted hits of each term, whose last token is a prefix, in ``texts`` rows.
+
+    What the terms mean is looked up among the distinct tokens and pairs of neighbouring tokens, by equal prefixes of the
+    lengths that terms have; the rows then meet only what is meant, before any shuffle while that is small.
     """
-    p = posts.filter("col <> 'id'")
-    weight = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
-    one = terms.select("term").distinct()
-    single, phrase = one.filter("instr(term, ' ') = 0"), one.filter("instr(term, ' ') > 0")
-    cuts = F.transform(F.sequence(F.lit(1), F.least(F.length("token"), F.lit(3))), lambda i: F.substring("token", F.lit(1), i))
-    vocabulary = p.select("token").distinct().withColumn("cut", F.explode(cuts))
-    meant = single.withColumn("cut", F.substring("term", 1, 3)).join(vocabulary, "cut").filter(F.startswith("token", "term")).select("term", "token")
-    by_token = meant.join(p, "token").groupBy("term", "node").agg(F.sum(weight[F.col("col")] * F.col("tf")).alias("tf"))
-    # Words of several tokens: the rows that hold the first one are read for the whole.
-    held = phrase.withColumn("token", F.substring_index("term", " ", 1)).join(p.select("token", "node", "col"), "token").select("term", "node", "col")
-    joined = F.element_at(F.create_map(*[x for c in WEIGHTS for x in (F.lit(c), F.concat(F.lit(" "), F.array_join(tokens(F.col(c)), " ")))]), F.col("_col"))
-    texts = nodes.select(F.col("id").alias("node"), *[c for c in WEIGHTS if c != "id"], "id")
-    j = held.withColumnRenamed("col", "_col").join(texts, "node")
-    step = F.length("term") + 1
-    n = (F.length(joined) - F.length(F.replace(joined, F.concat(F.lit(" "), "term"), F.lit("")))) / step
-    by_phrase = j.withColumn("n", n).filter("n > 0").groupBy("term", "node").agg(F.sum(weight[F.col("_col")] * F.col("n")).alias("tf"))
-    return terms.join(by_token.unionByName(by_phrase), "term")
+    one = terms.select("term").distinct().withColumn("words", F.split("term", " ")).select("term", F.size("words").alias("k"), F.col("words")[0].alias("t0"), F.get("words", F.lit(1)).alias("cut"))
+    # As many letters of the last token count; of longer phrases the second token counts whole (0).
+    one = materialise(one.withColumn("l", F.when(F.col("k") == 1, F.length("term")).when(F.col("k") == 2, F.length("cut")).otherwise(0)), "one")
+    single, phrase = one.filter("k = 1"), one.filter("k > 1")
+    lengths: dict[bool, list[int]] = {False: [], True: []}
+    for r in one.select((F.col("k") > 1).alias("long"), "l").distinct().collect():
+        lengths[r["long"]].append(r["l"])
+    cols = held.select("row", "node", F.posexplode("cols").alias("i", "c")).select("row", "node", "i", "c.weight", "c.toks")
+    parts = [held.select(F.lit("").alias("term"), "node", F.lit(0.0).alias("tf")).filter("false")]
+    if lengths[False]:
+        words = cols.select("node", "weight", F.explode("toks").alias("token"))
+        cuts = words.select("token").distinct().withColumn("l", F.explode(F.lit(sorted(lengths[False])))).filter("l <= length(token)").withColumn("term", F.substring("token", F.lit(1), F.col("l")))
+        meant = materialise(cuts.join(sent(single.select("term")), "term", "left_semi").select("term", "token"), "meant")
+        parts.append(words.join(sent(meant), "token").groupBy("term", "node").agg(F.sum("weight").alias("tf")))
+    if lengths[True]:
+        at = cols.select("*", F.posexplode(F.arrays_zip(F.col("toks").alias("t0"), F.slice("toks", F.lit(2), F.size("toks")).alias("t1"))).alias("pos", "z")).select(
+            "row", "node", "i", "weight", "toks", "pos", "z.t0", "z.t1").filter("t1 IS NOT NULL")
+        pairs = at.select("t0", "t1").join(sent(phrase.select("t0").distinct()), "t0", "left_semi").distinct().withColumn("l", F.explode(F.lit(sorted(lengths[True])))).filter("l <= length(t1)")
+        cut = F.when(F.col("l") == 0, F.col("t1")).otherwise(F.substring("t1", F.lit(1), F.col("l")))
+        meant2 = materialise(pairs.withColumn("cut", cut).join(sent(phrase), ["t0", "l", "cut"]).select("term", "k", "t0", "t1"), "meant2")
+        met = at.join(sent(meant2), ["t0", "t1"]).filter((F.col("k") == 2) | F.startswith(F.array_join(F.slice("toks", F.col("pos") + 1, F.col("k")), " "), F.col("term")))
+        # A phrase counts as often as it stands in the column without sharing a token with itself.
+        place = F.sort_array(F.collect_list("pos"))
+        told = F.aggregate("places", F.struct(F.lit(0).alias("free"), F.lit(0).alias("n")), lambda a, p: F.when(p >= a["free"], F.struct((p + F.col("k")).alias("free"), (a["n"] + 1).alias("n"))).otherwise(a))["n"]
+        parts.append(met.groupBy("term", "k", "row", "node", "i", "weight").agg(place.alias("places")).groupBy("term", "node").agg(F.sum(F.col("weight") * told).alias("tf")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def bm25(queries: DataFrame, nodes: DataFrame, top: int) -> DataFrame:
-    """(qid, node, score, rank): the ``top`` best nodes per query."""
-    posts = materialise(postings(nodes), "postings")  # read three times below
-    size = posts.groupBy("node").agg(F.sum("tf").alias("size"))
-    mean, total = size.agg(F.avg("size").alias("m")).scalar(), size.agg(F.count(F.lit(1)).alias("t")).scalar()
-    hits = materialise(term_hits(query_terms(queries), posts, nodes), "hits")  # read twice
-    df = hits.select("term", "node").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    j = hits.join(df, "term").join(size, "node").withColumn("mean", mean).withColumn("total", total)
-    idf = F.greatest(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    scored = j.groupBy("qid", "node").agg(F.round(F.sum(part), 6).alias("score"))
+    """(qid, node, score, rank): the ``top`` best nodes per query.
+
+    A node that meets only the commonest term of a query is among the best only if it is among the best of that term, so of
+    that term the ``top`` best are taken, once for all queries, and of the others all; these are scored over all terms.
+    """
+    held = materialise(texts(nodes), "texts")
+    size = materialise(held.groupBy("node").agg(F.sum("size").alias("size")).filter("size > 0"), "sizes")
+    mean, total = size.agg(F.avg("size"), F.count(F.lit(1))).first()
+    terms = materialise(query_terms(queries), "terms")
+    hits = materialise(term_hits(terms, held), "hits")
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.greatest(F.log((F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean)))
+    weighed = materialise(hits.join(df, "term").join(size, "node").select("term", "node", part.alias("part")), "weighed")
+    asked = terms.join(df, "term")
+    common = asked.groupBy("qid").agg(F.max(F.struct("df", "term")).alias("c")).select("qid", "c.term")
+    first = best(weighed.select("term", "node", F.round("part", 6).alias("p")), "term", [F.desc("p"), F.col("node")], top)
+    wanted = common.join(first, "term").select("qid", "node").unionByName(asked.join(common, ["qid", "term"], "left_anti").join(weighed, "term").select("qid", "node")).distinct()
+    scored = wanted.join(terms, "qid").join(weighed, ["term", "node"]).groupBy("qid", "node").agg(F.round(F.sum("part"), 6).alias("score"))
     return best(scored, "qid", [F.desc("score"), F.col("node")], top)
 
 

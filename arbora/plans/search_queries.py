@@ -36,7 +36,7 @@ R.add("postings", f"WITH {N_SQL}, {P_SQL} SELECT node, col, token, tf FROM p")(l
 R.add("doc_freq", f"WITH {N_SQL}, {P_SQL} SELECT token, count(DISTINCT node) AS df FROM p WHERE col <> 'id' GROUP BY 1")(
     lambda s, d: S.postings(nodes(s, d)).filter("col <> 'id'").select("token", "node").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df")))
 R.add("term_idf", f"{_ALL} SELECT t.term, round(greatest(1.0, ln((SELECT count(*) FROM n) / (coalesce(max(c.df), 0) + 1.0)) + 1.0), 6) AS idf FROM (SELECT DISTINCT term FROM t) t LEFT JOIN (SELECT term, count(DISTINCT node) AS df FROM h GROUP BY 1) c ON c.term = t.term GROUP BY 1")(
-    lambda s, d: (lambda n, t: t.select("term").distinct().join(S.term_hits(t, S.postings(n), n).select("term", "node").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", "left").withColumn(
+    lambda s, d: (lambda n, t: t.select("term").distinct().join(S.term_hits(t, S.texts(n)).select("term", "node").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", "left").withColumn(
         "total", n.agg(F.count(F.lit(1)).alias("t")).scalar()).select("term", F.round(F.greatest(F.lit(1.0), F.log(F.col("total") / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0), 6).alias("idf")))(
         nodes(s, d), S.query_terms(queries(s, d))))
 R.add("bm25_top", f"{_ALL}, {BM_SQL} SELECT qid, node, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node) AS rank FROM scored) WHERE rank <= 10")(

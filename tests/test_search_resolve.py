@@ -1,3 +1,7 @@
+import math
+import re
+from collections import defaultdict
+
 from pyspark.sql import functions as F
 
 from arbora.extract.imports import bindings
@@ -47,3 +51,47 @@ def test_structural(spark):
     i = spark.createDataFrame([("I", "Read", 1), ("I", "Close", 0), ("J", "Read", 1)], "iface_id string, name string, arity int")
     t = spark.createDataFrame([("T", "Read", 1), ("T", "Close", 0), ("T", "Other", 2), ("U", "Read", 2), ("V", "Read", 1)], "type_id string, name string, arity int")
     assert {tuple(r) for r in V.structural_implements(i, t).collect()} == {("T", "I", 0.75), ("T", "J", 0.55), ("V", "J", 0.55)}
+
+
+def bm25_by_hand(queries, nodes, top):
+    """Every word of every query against every text of every row."""
+    cut = lambda x: re.findall(r"[^\W_]+", (x or "").lower())
+    rows = [(r[0], {"id": cut(r[0]), "name": cut(r[2]), "qualified_name": cut(r[3]), "signature": cut(r[8]), "docstring": cut(r[9])}) for r in nodes]
+    size = {i: sum(map(len, c.values())) for i, c in rows}
+    mean, terms, hits = sum(size.values()) / len(size), {q: {" ".join(cut(w)) for w in text.split()} - {""} for q, text in queries}, defaultdict(dict)
+    for t in set().union(*terms.values()):
+        for i, c in rows:
+            tf = sum(w * ((x := "".join(f" {y}" for y in c[k])).count(" " + t)) for k, w in S.WEIGHTS.items() if k != "id")
+            if tf:
+                hits[t][i] = tf
+    out = set()
+    for q, words in terms.items():
+        score = defaultdict(float)
+        for t in words:
+            idf = max(math.log((len(size) - len(hits[t]) + 0.5) / (len(hits[t]) + 0.5)) if hits[t] else 0, 1e-6)
+            for i, tf in hits[t].items():
+                score[i] += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size[i] / mean))
+        out |= {(q, i, round(s, 6), k) for k, (i, s) in enumerate(sorted(((i, round(s, 6)) for i, s in score.items()), key=lambda x: (-x[1], x[0]))[:top], 1)}
+    return out
+
+
+def written(monkeypatch):
+    """(name, rows) of all tables that a search writes on its way."""
+    seen, write = [], S.materialise
+
+    def keep(df, name):
+        out = write(df, name)
+        seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(S, "materialise", keep)
+    return seen
+
+
+def test_common_word_of_many_queries(spark, monkeypatch):
+    rows = [node(f"n{i:03}", name=f"common word{i % 40}" + " common" * (i % 3) + " lock lock lock" * (i % 50 == 0)) for i in range(200)] + [node("x1", name="lock"), node("x2", name="a::b")]
+    asked = [(i, f"common word{i}") for i in range(60)] + [(70, "lock.lo"), (71, "lock_lock.l common"), (72, "b.a"), (73, "comm wor word1 lo"), (74, "common.word3.comm"), (75, "::")]
+    seen = written(monkeypatch)
+    got = {(r["qid"], r["node"], r["score"], r["rank"]) for r in S.bm25(spark.createDataFrame(asked, "qid long, query string"), spark.createDataFrame(rows, NODES), 5).collect()}
+    assert got == bm25_by_hand(asked, rows, 5)
+    assert max(n for _, n in seen) < 10 * len(rows)  # no table holds the hits of a word once for each of its queries
