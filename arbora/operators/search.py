@@ -1,8 +1,8 @@
 """Ranked symbol search: postings, BM25, substring and fuzzy matching, score adjustments.
 
 Searches take a set of queries (qid, query) and run against all nodes at once.  Prefixes are looked up in the
-vocabulary (each token once, under its prefixes of the lengths asked for), substrings by pieces of two or three letters
-and near names by pieces of a third, all by equi-joins followed by the exact test, so no query meets a name with
+vocabulary (each token once, under its prefixes of the lengths asked for), substrings by the rarest of
+their pieces of two or three letters and near names by pieces of a third, all by equi-joins followed by the exact test, so no query meets a name with
 which it shares nothing.
 """
 
@@ -127,13 +127,21 @@ def _grams(c: Column, n: int) -> Column:
 
 def like_tiers(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """(qid, node, score): 1.0 equal, 0.9 prefix, 0.8 inside the name, 0.7 inside the qualified name, without regard to case
-    (1.0 with it); for queries of two letters or more."""
-    n = nodes.select(F.col("id").alias("node"), "name", F.lower("name").alias("ln"), F.lower(F.coalesce("qualified_name", F.lit(""))).alias("lq"))
+    (1.0 with it); for queries of two letters or more.
+
+    A query meets the names that hold the rarest of its pieces; one with a piece that no name holds meets none.
+    """
+    n = nodes.select(F.col("id").alias("node"), "name", F.lower("name").alias("ln"), F.lower(F.coalesce("qualified_name", F.lit(""))).alias("lq")).withColumn("both", F.concat_ws("\n", "ln", "lq"))
     q = queries.select("qid", "query", F.lower("query").alias("lw")).filter("length(lw) >= 2")
     parts = []
     for size, some in ((2, q.filter("length(lw) = 2")), (3, q.filter("length(lw) > 2"))):
-        keyed = n.select("*", F.explode(F.array_union(_grams(F.col("ln"), size), _grams(F.col("lq"), size))).alias("cut"))
-        parts.append(some.withColumn("cut", F.substring("lw", 1, size)).join(keyed, "cut"))
+        asked = materialise(some.select("lw").distinct().withColumn("cut", F.explode(_grams(F.col("lw"), size))), "asked")
+        at = n.withColumn("pos", F.explode(F.sequence(F.lit(1), F.greatest(F.length("both") - size + 1, F.lit(1))))).withColumn("cut", F.substring("both", F.col("pos"), F.lit(size)))
+        first = F.expr("instr(both, cut) = pos")  # a name counts once for each of its pieces
+        held = at.join(sent(asked.select("cut").distinct()), "cut", "left_semi").filter(first).groupBy("cut").agg(F.count(F.lit(1)).alias("n"))
+        rare = asked.join(held, "cut", "left").groupBy("lw").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "cut")).alias("r")).filter("r.n > 0").select("lw", "r.cut")
+        met = at.join(sent(materialise(rare, "rare")), "cut").filter(first & (F.contains("ln", "lw") | F.contains("lq", "lw"))).drop("cut", "pos", "both")
+        parts.append(some.join(met, "lw"))
     score = (F.when(F.col("name") == F.col("query"), 1.0).when(F.col("ln").startswith(F.col("lw")), 0.9)
              .when(F.col("ln").contains(F.col("lw")), 0.8).when(F.col("lq").contains(F.col("lw")), 0.7))
     return parts[0].unionByName(parts[1]).select("qid", "node", score.alias("score"), F.length("name").alias("size")).filter("score IS NOT NULL")
@@ -151,13 +159,15 @@ def fuzzy_names(queries: DataFrame, names: DataFrame) -> DataFrame:
     third = F.floor(F.col("len") / 3).cast("int")
     pieces = F.array(*[F.struct(F.lit(i).alias("i"), F.substring(F.col("ln"), F.lit(1) + third * i, third if i < 2 else F.col("len") - 2 * third).alias("seg")) for i in range(3)])
     left = n.select("name", "ln", "len", F.explode(pieces).alias("p")).select("name", "ln", "len", "p.i", "p.seg")
-    q = queries.select("qid", F.lower("query").alias("lw")).filter("length(lw) >= 3").withColumn("len", F.explode(F.sequence(F.length("lw") - 2, F.length("lw") + 2))).filter("len >= 3")
+    asked = queries.select("qid", F.lower("query").alias("lw"))
+    q = asked.select("lw").distinct().filter("length(lw) >= 3").withColumn("len", F.explode(F.sequence(F.length("lw") - 2, F.length("lw") + 2))).filter("len >= 3")
     size = F.when(F.col("i") < 2, third).otherwise(F.col("len") - 2 * third)
     right = q.withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(3)]))).withColumn("shift", F.explode(F.array(*[F.lit(k) for k in range(-2, 3)]))).withColumn(
-        "at", F.lit(1) + third * F.col("i") + F.col("shift")).filter("at >= 1").withColumn("seg", F.substring(F.col("lw"), F.col("at"), size)).select("qid", "lw", "len", "i", "seg").distinct()
-    j = right.join(left, ["len", "i", "seg"]).select("qid", "lw", "name", "ln").distinct()
+        "at", F.lit(1) + third * F.col("i") + F.col("shift")).filter("at >= 1").withColumn("seg", F.substring(F.col("lw"), F.col("at"), size)).select("lw", "len", "i", "seg").distinct()
     limit = F.when(F.length("lw") <= 4, 1).otherwise(2)
-    near = j.withColumn("distance", F.levenshtein("lw", "ln")).filter(F.col("distance") <= limit).select("qid", "name", "distance")
+    # Measured up to two edits (-1 beyond) and before the pairs are moved.
+    j = right.join(left, ["len", "i", "seg"]).withColumn("distance", F.levenshtein("lw", "ln", 2)).filter((F.col("distance") >= 0) & (F.col("distance") <= limit)).select("lw", "name", "distance").distinct()
+    near = j.join(asked, "lw").select("qid", "name", "distance")
     less = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.concat(F.substring("lw", F.lit(1), i - 1), F.substring("lw", i + 1, F.lit(3)))))
     short = queries.select("qid", F.lower("query").alias("lw")).filter("length(lw) = 3").select("qid", F.explode(less).alias("ln")).join(every.filter("len = 2"), "ln").select("qid", "name", F.lit(1).alias("distance"))
     return near.unionByName(short)
@@ -202,19 +212,30 @@ def best(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
 def exact_names(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """(qid, node): nodes named like a word of the query without regard to case, the twenty smallest ids per word."""
     words = queries.select("qid", F.explode(F.array_distinct(F.split("query", r"\s+"))).alias("word")).filter("length(word) >= 2").select("qid", F.lower("word").alias("key"))
-    named = best(nodes.select(F.lower("name").alias("key"), F.col("id").alias("node")), "key", [F.col("node")], 20)
+    wanted = nodes.select(F.lower("name").alias("key"), F.col("id").alias("node")).join(sent(words.select("key").distinct()), "key", "left_semi")
+    named = best(wanted, "key", [F.col("node")], 20)
     return words.join(named, "key").select("qid", "node").distinct()
 
 
+def kept(nodes: DataFrame) -> DataFrame:
+    """What a search reads of the nodes, written once."""
+    return materialise(nodes.select("id", "kind", "name", "qualified_name", "docstring", "signature", "file_path"), "nodes")
+
+
 def search(queries: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
     """(qid, node, score, rank): BM25, else substrings, else near names; nodes that bear a word of the query as their
     name join with the best score; then the bonuses by kind, name and path."""
+    return search_kept(queries, kept(nodes), limit)
+
+
+def search_kept(queries: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
+    """``search`` over nodes that are read several times at no other cost."""
     base = materialise(bm25(queries, nodes, max(5 * limit, 100)).select("qid", "node", "score"), "ranked")
     rest = queries.join(base.select("qid").distinct(), "qid", "left_anti")
     like = materialise(best(like_tiers(rest, nodes), "qid", [F.desc("score"), F.col("size"), F.col("node")], limit).select("qid", "node", "score"), "inside")
     rest2 = rest.join(like.select("qid").distinct(), "qid", "left_anti")
-    names = best(fuzzy_names(rest2, nodes.select("name")), "qid", [F.col("distance"), F.col("name")], max(2 * limit, 50)).drop("rank")
-    bearers = best(nodes.select("name", F.col("id").alias("node")), "name", [F.col("node")], 5).drop("rank")
+    names = materialise(best(fuzzy_names(rest2, nodes.select("name")), "qid", [F.col("distance"), F.col("name")], max(2 * limit, 50)).drop("rank"), "names")
+    bearers = best(nodes.select("name", F.col("id").alias("node")).join(sent(names.select("name").distinct()), "name", "left_semi"), "name", [F.col("node")], 5).drop("rank")
     near = best(names.join(bearers, "name"), "qid", [F.col("distance"), F.col("name"), F.col("node")], limit).select("qid", "node", (1.0 / (1 + F.col("distance"))).alias("score"))
     hits = materialise(base.unionByName(like).unionByName(near), "found")
     top = hits.groupBy("qid").agg(F.max("score").alias("score"))

@@ -95,3 +95,22 @@ def test_common_word_of_many_queries(spark, monkeypatch):
     got = {(r["qid"], r["node"], r["score"], r["rank"]) for r in S.bm25(spark.createDataFrame(asked, "qid long, query string"), spark.createDataFrame(rows, NODES), 5).collect()}
     assert got == bm25_by_hand(asked, rows, 5)
     assert max(n for _, n in seen) < 10 * len(rows)  # no table holds the hits of a word once for each of its queries
+
+
+def test_substrings_meet_by_their_rarest_piece(spark, monkeypatch):
+    rows = [node(f"n{i:03}", name=f"lockLock{'Zebra' if i % 50 == 0 else 'Horse'}{i}") for i in range(200)]
+    rows += [("x1", "class", None, "m::lockzebra", "/w/r/b.py", "python", 1, 3, "()", None, True, False), ("x2", "class", "Lo", None, "/w/r/b.py", "python", 1, 3, "()", None, True, False)]
+    asked = [(i, t) for i, t in enumerate(["lockzebra", "LockZebra", "lockLockZebra0", "lockqqq", "locklockhorse", "lo", "LO", "x", "lock::zebra", "k\nl"])]
+    want = set()
+    for q, text in asked:
+        t = text.lower()
+        for r in rows:
+            low, long = (r[2] or "").lower(), (r[3] or "").lower()
+            score = 1.0 if r[2] == text else 0.9 if low.startswith(t) else 0.8 if t in low else 0.7 if t in long else None
+            want |= {(q, r[0], score)} if score and len(text) > 1 else set()
+    seen = written(monkeypatch)
+    n = spark.createDataFrame(rows, NODES)
+    assert {(r["qid"], r["node"], r["score"]) for r in S.like_tiers(spark.createDataFrame(asked, "qid long, query string"), n).collect()} == want
+    assert [k for name, k in seen if name == "rare"] == [1, 3]  # those with a piece that no name holds meet none
+    again = S.fuzzy_names(spark.createDataFrame([(1, "lock"), (2, "LOCK"), (3, "horse"), (4, "lo")], "qid long, query string"), spark.createDataFrame([("lck",), ("lo",), ("Lock",), ("norsk",), ("house1",), ("loc",)], "name string"))
+    assert {tuple(r) for r in again.collect()} == {(1, "lck", 1), (1, "Lock", 0), (1, "loc", 1), (2, "lck", 1), (2, "Lock", 0), (2, "loc", 1), (3, "norsk", 2), (3, "house1", 2)}
