@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from arbora.extract.imports import bindings
 from arbora.operators import context as X
+from arbora.operators import graph as G
 from arbora.operators import resolve as V
 from arbora.operators import search as S
-from tests.test_graph import NODES, node
+from tests.test_graph import EDGES, NODES, node
 
 
 def test_parse_query():
@@ -75,7 +76,7 @@ def bm25_by_hand(queries, nodes, top):
     return out
 
 
-def written(monkeypatch):
+def written(monkeypatch, *modules):
     """(name, rows) of all tables that a search writes on its way."""
     seen, write = [], S.materialise
 
@@ -84,7 +85,8 @@ def written(monkeypatch):
         seen.append((name, out.count()))
         return out
 
-    monkeypatch.setattr(S, "materialise", keep)
+    for m in modules or (S,):
+        monkeypatch.setattr(m, "materialise", keep, raising=False)
     return seen
 
 
@@ -114,3 +116,28 @@ def test_substrings_meet_by_their_rarest_piece(spark, monkeypatch):
     assert [k for name, k in seen if name == "rare"] == [1, 3]  # those with a piece that no name holds meet none
     again = S.fuzzy_names(spark.createDataFrame([(1, "lock"), (2, "LOCK"), (3, "horse"), (4, "lo")], "qid long, query string"), spark.createDataFrame([("lck",), ("lo",), ("Lock",), ("norsk",), ("house1",), ("loc",)], "name string"))
     assert {tuple(r) for r in again.collect()} == {(1, "lck", 1), (1, "Lock", 0), (1, "loc", 1), (2, "lck", 1), (2, "Lock", 0), (2, "loc", 1), (3, "norsk", 2), (3, "house1", 2)}
+
+
+def test_context_around_a_hub(spark, monkeypatch):
+    kinds = ["function", "class", "file", "variable", "interface"]
+    rows = [node(f"a{i:02}", name=f"alpha{i:02}") for i in range(20)] + [node("hub", name="middle")]
+    rows += [node(f"b{i:03}", kinds[i % 5], name=f"leaf{i % 7}", path=f"/w/r/{'test_' * (i % 3 == 0)}{i}.py") for i in range(150)] + [node("b007", "struct", name="another")]
+    pairs = [(f"a{i:02}", "hub") for i in range(20)] + [(f"b{i:03}", "hub") if i % 2 else ("hub", f"b{i:03}") for i in range(150)]
+    pairs += [(f"a{i:02}", f"b{k:03}") for i in range(20) for k in range(i)] + [("a00", "absent"), ("absent", "a01"), ("hub", "hub")]
+    n, e = spark.createDataFrame(rows, NODES), spark.createDataFrame([(k, a, b, "calls", 1, 0, None) for k, (a, b) in enumerate(pairs)], EDGES)
+    asked = [(i, f"alpha{i:02}") for i in range(20)]
+    seen = written(monkeypatch, X, G)
+    got = {tuple(r) for r in X.context(spark.createDataFrame(asked, "qid long, query string"), n, e, 2, 12).collect()}
+    near, want = defaultdict(set), set()
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    for q, _ in asked:
+        depth, last = {f"a{q:02}": 0}, {f"a{q:02}"}
+        for k in (1, 2):
+            last = {b for a in last for b in near[a] if b != "absent"} - set(depth)
+            depth |= dict.fromkeys(last, k)
+        order = sorted((depth[r[0]], "/test_" in r[4], r[1] == "file", -S.KIND_BONUS.get(r[1], 0), r[2], r[0]) for r in rows if r[0] in depth)
+        want |= {(q, x[-1], x[0], k) for k, x in enumerate(order[:12], 1)}
+    assert got == want
+    assert max(k for name, k in seen if name == "level") <= 20 * 12  # not all neighbours of the hub for each question
